@@ -1,0 +1 @@
+"""Empty on purpose: late data is handled bitemporally, in batch (see operators.vintage)."""
