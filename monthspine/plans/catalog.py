@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import panel_queries, vintage_queries  # noqa: F401
+from . import panel_queries, quality_queries, scoring_queries, vintage_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
