@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from . import panel_queries, quality_queries, scoring_queries, vintage_queries  # noqa: F401
-from .registry import ORACLES, QUERIES
+from . import (  # noqa: F401
+    attribution_queries,
+    panel_queries,
+    quality_queries,
+    scoring_queries,
+    vintage_queries,
+)
+from .registry import QUERIES, oracles
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["QUERIES", "oracles"]

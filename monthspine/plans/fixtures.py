@@ -172,10 +172,11 @@ class Fixtures:
             (F.col("l_suppkey") % 5).cast("int").alias("seed"),
             cents("l_discount").alias("c"),
         )
-        part = self.table("part").select("p_partkey", "p_type", "p_brand")
+        head = F.when(F.col("p_type") == "ECONOMY", "forward").otherwise(F.concat(F.lit("fred::"), "p_type"))
+        part = self.table("part").select("p_partkey", F.concat_ws("::", head, "p_brand").alias("feature"))
         return (
             line.join(part, line.l_partkey == part.p_partkey)
-            .groupBy("date", "maturity", "seed", F.concat("p_type", F.lit("::"), "p_brand").alias("feature"))
+            .groupBy("date", "maturity", "seed", "feature")
             .agg(
                 (
                     (F.sum("c") - F.lit(5) * F.count("*")) / (F.lit(100.0) * F.count("*"))
@@ -287,7 +288,7 @@ SQL_VIEWS: dict[str, tuple[list[str], str]] = {
         FROM lineitem GROUP BY 1,2,3"""),
     "fx_attr": ([], """
         SELECT last_day(l_shipdate) AS date, CAST(l_linenumber*12 AS INTEGER) AS maturity,
-               CAST(l_suppkey%5 AS INTEGER) AS seed, concat(p_type,'::',p_brand) AS feature,
+               CAST(l_suppkey%5 AS INTEGER) AS seed, CASE WHEN p_type = 'ECONOMY' THEN concat('forward::', p_brand) ELSE concat('fred::', p_type, '::', p_brand) END AS feature,
                CAST(sum(CAST(round(l_discount*100) AS BIGINT)) - 5*count(*) AS DOUBLE)/(100e0*count(*)) AS shap_value
         FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1,2,3,4"""),
     "fx_sparse": ([], """

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .fixtures import Fixtures, with_fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+_SQL: dict[str, tuple[list[str], str]] = {}
 
 
 def query(name: str, sql: str | None = None, needs: str = ""):
@@ -20,7 +20,12 @@ def query(name: str, sql: str | None = None, needs: str = ""):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = lambda spark, sf_dir: fn(Fixtures(spark, sf_dir))
         if sql is not None:
-            ORACLES[name] = with_fixtures(needs.split(), sql)
+            _SQL[name] = (needs.split(), sql)
         return fn
 
     return deco
+
+
+def oracles() -> dict[str, str]:
+    """DuckDB text of every checked query, with the views it needs."""
+    return {name: with_fixtures(needs, sql) for name, (needs, sql) in _SQL.items()}
