@@ -70,20 +70,25 @@ def feature_rows(s: np.ndarray, steps: list[tuple], width: int) -> np.ndarray:
     return np.array(rows)
 
 
-def descend(corr: np.ndarray, cross: np.ndarray, l1: np.ndarray, l2: np.ndarray) -> np.ndarray:
-    """Coordinate descent for many penalties at once: minimise b'Cb/2 - b'c + l1|b| + l2 b'b/2."""
-    p = len(cross)
-    b = np.zeros((p, len(l1)))
+def descend(corr: np.ndarray, cross: np.ndarray, l1: np.ndarray, l2: np.ndarray, tol: float = 1e-5) -> np.ndarray:
+    """Coordinate descent for many penalties at once: minimise b'Cb/2 - b'c + l1|b| + l2 b'b/2.
+
+    A penalty stops when a sweep moves no slope by more than ``tol`` of its largest one.
+    """
+    out = np.zeros((len(cross), len(l1)))
+    live = np.arange(len(l1))
+    b = out.copy()
     for _ in range(MAX_ITER):
-        change = 0.0
-        for j in range(p):
+        before = b.copy()
+        for j in range(len(cross)):
             rho = cross[j] - corr[j] @ b + corr[j, j] * b[j]
-            new = np.sign(rho) * np.maximum(np.abs(rho) - l1, 0.0) / (corr[j, j] + l2)
-            change = max(change, float(np.abs(new - b[j]).max(initial=0.0)))
-            b[j] = new
-        if change < 1e-7 * max(1e-3, float(np.abs(b).max(initial=0.0))):
+            b[j] = np.sign(rho) * np.maximum(np.abs(rho) - l1[live], 0.0) / (corr[j, j] + l2[live])
+        going = np.abs(b - before).max(axis=0) > tol * np.abs(b).max(axis=0)
+        out[:, live] = b
+        if not going.any():
             break
-    return b
+        live, b = live[going], b[:, going]
+    return out
 
 
 def penalised(corr: np.ndarray, cross: np.ndarray, n: float, kind: str, alphas: np.ndarray, mix: np.ndarray) -> np.ndarray:

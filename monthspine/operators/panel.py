@@ -64,12 +64,12 @@ def drop_series(df: DataFrame, names: list[str], extra: list[str] = (), col: str
     return df.where(~F.col(col).isin(drop)) if drop else df
 
 
-def coalesce_aliases(df: DataFrame, aliases: dict[str, str], position: str, col: str = "series") -> DataFrame:
+def coalesce_aliases(df: DataFrame, aliases: dict[str, str], position: str, col: str = "series", keys: list[str] = ("date",)) -> DataFrame:
     """Rename aliases and merge columns that now share a name: first non-null by position."""
     old = F.col(col)
     renamed = F.coalesce(*[F.when(old == k, F.lit(v)) for k, v in aliases.items()], old)
     first = F.min_by(F.col("value"), F.when(F.col("value").isNotNull(), F.col(position)))
-    return df.withColumn(col, renamed).groupBy("date", col).agg(first.alias("value"))
+    return df.withColumn(col, renamed).groupBy(*keys, col).agg(first.alias("value"))
 
 
 def common_dates(*frames: DataFrame) -> DataFrame:

@@ -146,35 +146,30 @@ def _split_end(c: str, gap: int, share: float = 0.85) -> Column:
 
 
 def solver(layout: Design, steps: list[tuple], kind: str) -> Callable:
-    """Pandas function: (moments, penalties) to the coefficients of every target, flattened."""
-    size, width, goals = layout.size, layout.width, [layout.target(t) for t in layout.targets if not t.startswith("_")]
+    """Pandas function: (moments, target, alpha, mix) to intercept and slopes on the predictors."""
+    size, width = layout.size, layout.width
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for moments, penalties in batches:
-            out = []
-            for m, pen in zip(moments, penalties):
-                s = linear.unpack(np.asarray(m), size)
-                pen = [0.0, 1.0] * len(goals) if pen is None else pen
-                fits = [linear.fit(s, steps, width, t, kind, pen[2 * i], pen[2 * i + 1]) for i, t in enumerate(goals)]
-                out.append(np.concatenate(fits).tolist())
-            yield pd.Series(out)
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([
+                linear.fit(linear.unpack(np.asarray(m), size), steps, width, int(t), kind, a, mix).tolist() for m, t, a, mix in zip(*batch)
+            ])
 
     return run
 
 
 def tuner(layout: Design, steps: list[tuple], kind: str) -> Callable:
-    """Pandas function: (training moments, all moments) to (alpha, mix) of every target."""
-    size, width, goals = layout.size, layout.width, [layout.target(t) for t in layout.targets if not t.startswith("_")]
+    """Pandas function: (training moments, all moments, target) to [alpha, mix]."""
+    size, width = layout.size, layout.width
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for train, whole in batches:
-            out = []
-            for a, b in zip(train, whole):
-                sa, sb = linear.unpack(np.asarray(a), size), linear.unpack(np.asarray(b), size)
-                out.append([v for t in goals for v in linear.tune(sa, sb, steps, width, t, kind)])
-            yield pd.Series(out)
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([
+                list(linear.tune(linear.unpack(np.asarray(a), size), linear.unpack(np.asarray(b), size), steps, width, int(t), kind))
+                for a, b, t in zip(*batch)
+            ])
 
     return run
 
@@ -183,63 +178,70 @@ def dot(coef: Column, z: Column, width: int) -> Column:
     return F.aggregate(F.zip_with(coef, F.slice(z, 1, width), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
 
 
+def per_target(df: DataFrame, layout: Design, key: str) -> DataFrame:
+    """One row per target (columns target, t), spread over all cores: each is a solve of its own."""
+    goals = [F.struct(F.lit(g).alias("target"), F.lit(layout.target(g)).alias("t")) for g in layout.targets if not g.startswith("_")]
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.withColumn("_g", F.explode(F.array(*goals))).select("*", "_g.target", "_g.t").drop("_g").repartition(cores, key, "target")
+
+
+def solve(ready: DataFrame, tuning: DataFrame | None, layout: Design, steps: list[tuple], kind: str) -> DataFrame:
+    """Fit every (fit_m, target) of ``ready`` (fit_m, tune_m, mom), with the penalties of ``tuning``
+    (tune_m, cut moments a, all moments b) when the model has one."""
+    each = per_target(ready, layout, "fit_m")
+    if tuning is None:
+        each = each.withColumn("alpha", F.lit(0.0)).withColumn("mix", F.lit(1.0))
+    else:
+        pen = per_target(tuning, layout, "tune_m").select("tune_m", "target", tuner(layout, steps, kind)("a", "b", "t").alias("_p"))
+        pen = pen.select("tune_m", "target", F.get("_p", F.lit(0)).alias("alpha"), F.get("_p", F.lit(1)).alias("mix"))
+        each = each.join(F.broadcast(pen), ["tune_m", "target"])
+    keep = [c for c in ready.columns if c not in ("tune_m", "mom")]
+    return each.select(*keep, "target", solver(layout, steps, kind)("mom", "t", "alpha", "mix").alias("coef"))
+
+
 def coefficients(
     rows: DataFrame, layout: Design, steps: list[tuple], start: str, gap: int, kind: str = "ols",
     refit_every: int = 1, tune_every: int = 1, moments: DataFrame | None = None,
 ) -> DataFrame:
-    """(fit_m, coef): flattened coefficients of all targets at every refit.
+    """(fit_m, target, coef) at every refit.
 
     Penalised models are tuned on the last 15% of their training months at every ``tune_every``-th
     refit; refits in between keep the penalty.
     """
     acc = cumulative_moments(rows, layout) if moments is None else moments
     o = origins(rows, start, gap, refit_every, tune_every)
-    fits = o.select("fit_m", "tune_m", "_first").distinct().withColumn("end", _train_end("fit_m", gap))
-    at = lambda name: acc.select(F.col("m").alias(name), F.col("moments").alias(f"mom_{name}"))
-    ready = fits.join(at("end"), "end")
-    if kind == "ols":
-        ready = ready.withColumn("pen", F.lit(None).cast("array<double>"))
-    else:
+    at = lambda name, out: acc.select(F.col("m").alias(name), F.col("moments").alias(out))
+    fits = o.select("fit_m", "tune_m").distinct().withColumn("end", _train_end("fit_m", gap))
+    ready = fits.join(at("end", "mom"), "end").drop("end")
+    tuning = None
+    if kind != "ols":
         t = o.select("tune_m", "_first").distinct().withColumn("end", _train_end("tune_m", gap)).withColumn("cut", _split_end("tune_m", gap))
-        t = t.join(at("end"), "end").join(at("cut"), "cut")
-        tuned = t.select("tune_m", tuner(layout, steps, kind)("mom_cut", "mom_end").alias("pen"))
-        ready = ready.join(tuned, "tune_m")
-    solved = ready.repartition("fit_m").select("fit_m", solver(layout, steps, kind)("mom_end", "pen").alias("coef"))
-    return solved
+        tuning = t.join(at("end", "b"), "end").join(at("cut", "a"), "cut").select("tune_m", "a", "b")
+    return solve(ready, tuning, layout, steps, kind)
 
 
 def predict(rows: DataFrame, coefs: DataFrame, layout: Design, start: str, gap: int, refit_every: int) -> DataFrame:
     """(date, target, y_hat) of every out-of-sample month under the fit in force."""
-    goals = [t for t in layout.targets if not t.startswith("_")]
     o = origins(rows, start, gap, refit_every, 1).join(coefs, "fit_m")
-    w = layout.width
-    each = F.array(*[
-        F.struct(F.lit(t).alias("target"), dot(F.slice("coef", i * w + 1, w), F.col("z"), w).alias("y_hat"))
-        for i, t in enumerate(goals)
-    ])
-    return o.select("date", F.explode(each).alias("_p")).select("date", "_p.target", "_p.y_hat")
+    return o.select("date", "target", dot(F.col("coef"), F.col("z"), layout.width).alias("y_hat"))
 
 
 def linear_forecast(
-    features: DataFrame, targets: DataFrame, layout: Design, steps: list[tuple], start: str, gap: int,
+    rows: DataFrame, layout: Design, steps: list[tuple], start: str, gap: int,
     kind: str = "ols", refit_every: int = 1, tune_every: int = 1,
 ) -> DataFrame:
     """Walk-forward forecasts of a linear model over the features ``steps`` builds."""
-    rows = design_rows(features, targets, layout)
     coefs = coefficients(rows, layout, steps, start, gap, kind, refit_every, tune_every)
     return predict(rows, coefs, layout, start, gap, refit_every)
 
 
 def importance(coefs: DataFrame, layout: Design) -> DataFrame:
     """Mean absolute coefficient of every predictor and target over refits."""
-    goals = [t for t in layout.targets if not t.startswith("_")]
     names = F.array(*[F.lit(n) for n in ["(intercept)", *layout.names]])
-    w = layout.width
-    cells = coefs.select("fit_m", F.posexplode("coef").alias("i", "c"))
-    return cells.groupBy(
-        F.element_at(F.array(*map(F.lit, goals)), (F.floor(F.col("i") / w) + 1).cast("int")).alias("target"),
-        F.element_at(names, (F.col("i") % w + 1).cast("int")).alias("name"),
-    ).agg(F.avg(F.abs("c")).alias("mean_abs"), F.count("*").alias("n_refits"))
+    cells = coefs.select("target", F.posexplode("coef").alias("i", "c"))
+    return cells.groupBy("target", F.element_at(names, F.col("i") + 1).alias("name")).agg(
+        F.avg(F.abs("c")).alias("mean_abs"), F.count("*").alias("n_refits")
+    )
 
 
 # ---- factor models with a cubic term ------------------------------------------------------------
@@ -259,7 +261,7 @@ def mapper(layout: Design, steps: list[tuple]) -> Callable:
 
 
 def cubic_forecast(
-    features: DataFrame, targets: DataFrame, layout: Design, lead: list[tuple], macro: list[int], start: str, gap: int,
+    rows: DataFrame, layout: Design, lead: list[tuple], macro: list[int], start: str, gap: int,
     kind: str = "ols", refit_every: int = 1, tune_every: int = 1, picked: tuple[int, ...] = (0, 2, 3, 7),
 ) -> DataFrame:
     """Walk-forward model on leading features and macro factors 1, 1 cubed, 3, 4 and 8.
@@ -268,7 +270,6 @@ def cubic_forecast(
     each fit's feature map is applied to its own months in Spark and the moments of the mapped
     features are summed per fit. Tuning maps the months with what the training part alone gives.
     """
-    rows = design_rows(features, targets, layout)
     acc = cumulative_moments(rows, layout)
     o = origins(rows, start, gap, refit_every, tune_every)
     steps = [*lead, ("pca", macro, max(picked) + 1, True)]
@@ -297,28 +298,22 @@ def cubic_forecast(
         return _pack(cells.groupBy(key, "pos").agg(F.sum("v").alias("s")), [key], out)
 
     at = lambda name: acc.select(F.col("m").alias(name), F.col("moments").alias("_mom"))
+    cores = rows.sparkSession.sparkContext.defaultParallelism
     fits = o.select("fit_m", "tune_m", "_first").distinct().withColumn("end", _train_end("fit_m", gap))
-    maps = fits.join(at("end"), "end").repartition("fit_m").select(
+    maps = fits.join(at("end"), "end").repartition(cores, "fit_m").select(
         "fit_m", "tune_m", "_first", "end", mapper(layout, steps)("_mom").alias("map")
     )
     plain = [("raw", list(range(1, mapped.width)))]
-    ready = maps.join(moments_of(maps.select("fit_m", "_first", "end", "map"), "fit_m", "end", "mom"), "fit_m")
-    if kind == "ols":
-        ready = ready.withColumn("pen", F.lit(None).cast("array<double>"))
-    else:
+    own = moments_of(maps.select("fit_m", "_first", "end", "map"), "fit_m", "end", "mom")
+    ready = maps.join(own, "fit_m").select("fit_m", "tune_m", "map", "mom")
+    tuning = None
+    if kind != "ols":
         t = o.select("tune_m", "_first").distinct().withColumn("end", _train_end("tune_m", gap)).withColumn("cut", _split_end("tune_m", gap))
-        t = t.join(at("cut"), "cut").repartition("tune_m").select("tune_m", "_first", "end", "cut", mapper(layout, steps)("_mom").alias("map"))
-        part = t.select("tune_m", "_first", "end", "cut", "map")
-        both = moments_of(part, "tune_m", "cut", "a").join(moments_of(part, "tune_m", "end", "b"), "tune_m")
-        ready = ready.join(both.select("tune_m", tuner(mapped, plain, kind)("a", "b").alias("pen")), "tune_m")
-    solved = ready.select("fit_m", "map", solver(mapped, plain, kind)("mom", "pen").alias("coef"))
+        part = t.join(at("cut"), "cut").repartition(cores, "tune_m").select("tune_m", "_first", "end", "cut", mapper(layout, steps)("_mom").alias("map"))
+        tuning = moments_of(part, "tune_m", "cut", "a").join(moments_of(part, "tune_m", "end", "b"), "tune_m")
+    solved = solve(ready, tuning, mapped, plain, kind)
     now = expand(o.select("date", "fit_m", "z").join(solved, "fit_m"))
-    w2 = mapped.width
-    each = F.array(*[
-        F.struct(F.lit(g).alias("target"), dot(F.slice("coef", i * w2 + 1, w2), F.col("z2"), w2).alias("y_hat"))
-        for i, g in enumerate(goals)
-    ])
-    return now.select("date", F.explode(each).alias("_p")).select("date", "_p.target", "_p.y_hat")
+    return now.select("date", "target", dot(F.col("coef"), F.col("z2"), mapped.width).alias("y_hat"))
 
 
 # ---- forests and models of the user's own -------------------------------------------------------

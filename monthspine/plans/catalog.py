@@ -8,6 +8,7 @@ from . import (  # noqa: F401
     panel_queries,
     quality_queries,
     scoring_queries,
+    source_queries,
     vintage_queries,
 )
 from .registry import QUERIES, oracles

@@ -152,8 +152,7 @@ def _penalised(name: str, kind: str, steps: list[tuple]) -> None:
 def _cubic(name: str, kind: str, lead: list[tuple]) -> None:
     @query(name)
     def q(fx):
-        features, goals = inputs(fx)
-        return W.cubic_forecast(features, goals, LAYOUT, lead, ALL_MACRO, OOS, WGAP, kind, refit_every=6, tune_every=2)
+        return W.cubic_forecast(design(fx), LAYOUT, lead, ALL_MACRO, OOS, WGAP, kind, refit_every=6, tune_every=2)
 
 
 for _n, _s in STEPS.items():
