@@ -11,7 +11,7 @@ from .. import fixed_values as fv
 from ..functions.columns import clean_text, json_list
 from .lags import resolve_policies
 
-RULE_SCHEMA = "series string, step int, kind string, target string, components string, formula string, revision_class string"
+RULE_SCHEMA = "series string, step int, kind string, target string, components string, formula string, revision_class string, notes string"
 
 
 def rule_rows(
@@ -22,11 +22,11 @@ def rule_rows(
     """Overrides as rows; where several touch a field, the later step wins."""
     listed = lambda xs: json.dumps(list(xs), separators=(",", ":"))
     return (
-        [(s, 1, None, None, None, None, "market_effectively_nonrevised") for s in never_revised]
-        + [(s, 2, None, t, None, None, None) for s, t in aliases.items()]
-        + [(s, 3, "direct_fred", t, None, None, None) for s, t in unrevised_sources.items()]
-        + [(s, 4, "derived_formula", "", listed(c), " / ".join(c), "component_revisions") for s, c in ratios.items()]
-        + [(s, 5, "public_proxy", "", "[]", "", "public_proxy_only") for s in local_only]
+        [(s, 1, None, None, None, None, "market_effectively_nonrevised", None) for s in never_revised]
+        + [(s, 2, None, t, None, None, None, "alias of another history") for s, t in aliases.items()]
+        + [(s, 3, "direct_fred", t, None, None, None, "source without vintages") for s, t in unrevised_sources.items()]
+        + [(s, 4, "derived_formula", "", listed(c), " / ".join(c), "component_revisions", "ratio of two histories") for s, c in ratios.items()]
+        + [(s, 5, "public_proxy", "", "[]", "", "public_proxy_only", "kept locally only") for s in local_only]
     )
 
 
@@ -37,12 +37,12 @@ def build_registry(names: DataFrame, rules: list[tuple], lags: DataFrame) -> Dat
     series, numbered by name.
     """
     spark = names.sparkSession
-    fields = ["kind", "target", "components", "formula", "revision_class"]
+    fields = ["kind", "target", "components", "formula", "revision_class", "notes"]
     won = spark.createDataFrame(rules, RULE_SCHEMA).groupBy("series").agg(
         *[F.max_by(f, F.when(F.col(f).isNotNull(), F.col("step"))).alias(f) for f in fields]
     )
     base = {"kind": F.lit("direct_alfred"), "target": F.col("series"), "components": F.lit("[]"),
-            "formula": F.lit(""), "revision_class": F.lit("observable_revisions")}
+            "formula": F.lit(""), "revision_class": F.lit("observable_revisions"), "notes": F.lit("own history")}
     code = F.when(F.col("tcode").isNotNull(), F.col("tcode")).otherwise(
         F.raise_error(F.concat(F.lit("series without transform code: "), F.col("series"))).cast("int")
     )
