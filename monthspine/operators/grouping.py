@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
+from ..functions.literal import literal_rows
 from .transforms import zscore
 
 
@@ -30,7 +31,7 @@ def mapping_gaps(df: DataFrame, mapping: DataFrame, series: str = "series") -> D
 def full_mapping(macro: DataFrame, forwards: DataFrame, yields: DataFrame) -> DataFrame:
     """Mapping of macro series (the fixed grouping), forward rates and yields, each one group."""
     spark = macro.sparkSession
-    known = spark.createDataFrame(fv.series_groups(), "series string, grp string")
+    known = literal_rows(spark, fv.series_groups(), "series string, grp string")
     block = lambda d, g: d.select(F.col("series").cast("string").alias("series")).distinct().withColumn("grp", F.lit(g))
     grouped = attach_group(macro.select("series").distinct(), known)
     return grouped.unionByName(block(forwards, fv.FORWARD_GROUP)).unionByName(block(yields, fv.YIELD_GROUP))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from ..functions.calendar import shift_months
 from ..functions.columns import clean_text, json_int_map
+from ..functions.literal import literal_rows
 
 POLICY_SCHEMA = "series string, lag_mode string, lag_months int, lag_schedule string"
 SCHEDULED = "decision_month_schedule"
@@ -17,7 +18,7 @@ def default_policies(spark: SparkSession) -> DataFrame:
     """The table of known lags; series not in it have ``DEFAULT_LAG``."""
     fixed = [(s, "fixed", n, "") for s, n in fv.FIXED_LAGS.items()]
     timed = [(s, SCHEDULED, fv.DEFAULT_LAG, j) for s, j in fv.SCHEDULED_LAGS.items()]
-    return spark.createDataFrame(fixed + timed, POLICY_SCHEMA)
+    return literal_rows(spark, fixed + timed, POLICY_SCHEMA)
 
 
 def resolve_policies(series: DataFrame, table: DataFrame, registry: DataFrame | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions.columns import clean_text, json_list
+from ..functions.literal import literal_rows
 from .lags import resolve_policies
 
 RULE_SCHEMA = "series string, step int, kind string, target string, components string, formula string, revision_class string, notes string"
@@ -38,7 +39,7 @@ def build_registry(names: DataFrame, rules: list[tuple], lags: DataFrame) -> Dat
     """
     spark = names.sparkSession
     fields = ["kind", "target", "components", "formula", "revision_class", "notes"]
-    won = spark.createDataFrame(rules, RULE_SCHEMA).groupBy("series").agg(
+    won = literal_rows(spark, rules, RULE_SCHEMA).groupBy("series").agg(
         *[F.max_by(f, F.when(F.col(f).isNotNull(), F.col("step"))).alias(f) for f in fields]
     )
     base = {"kind": F.lit("direct_alfred"), "target": F.col("series"), "components": F.lit("[]"),

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.calendar import month_end, shift_months
+from ..functions.literal import literal_rows
 from ..operators.vintage import expand_validity
 from ..session import ensure_checkpoint_dir
 
@@ -19,7 +20,8 @@ FIRST_VINTAGE = "1996-01-31"
 
 
 def cents(c: str) -> Column:
-    return F.round(F.col(c) * 100).cast("bigint")
+    """Whole cents; the half added before the floor only absorbs the binary error of x * 100."""
+    return F.floor(F.col(c) * 100 + 0.5)
 
 
 class Fixtures:
@@ -33,7 +35,7 @@ class Fixtures:
 
     def rows(self, values: list[tuple], schema: str) -> DataFrame:
         """A literal dimension table."""
-        return self.spark.createDataFrame(values, schema)
+        return literal_rows(self.spark, values, schema)
 
     def shared(self, df: DataFrame) -> DataFrame:
         """Compute once what a plan reads several times: a checkpoint in the shared folder."""
@@ -76,17 +78,18 @@ class Fixtures:
         """Panel (date, series, grp, value, n, tag) with gaps at small scale."""
         return (
             self.table("orders")
-            .groupBy(
-                month_end("o_orderdate").alias("date"),
+            .groupBy(month_end("o_orderdate").alias("date"), "o_orderpriority", "o_orderstatus")
+            .agg(F.sum(cents("o_totalprice")).alias("c"), F.count("*").alias("n"))
+            .select(
+                "date",
                 F.concat("o_orderpriority", F.lit("|"), "o_orderstatus").alias("series"),
                 F.col("o_orderpriority").alias("grp"),
-            )
-            .agg((F.sum(cents("o_totalprice")) / 100.0).alias("value"), F.count("*").alias("n"))
-            .withColumn(
-                "tag",
+                (F.col("c") / 100.0).alias("value"),
+                "n",
                 F.when(F.col("n") % 7 == 0, "ARCHIVE_FALLBACK")
                 .when(F.col("n") % 7 == 1, "EARLIEST_ARCHIVE_ANCHOR")
-                .otherwise("ALFRED_ASOF"),
+                .otherwise("ALFRED_ASOF")
+                .alias("tag"),
             )
         )
 
@@ -172,16 +175,17 @@ class Fixtures:
             (F.col("l_suppkey") % 5).cast("int").alias("seed"),
             cents("l_discount").alias("c"),
         )
+        part = self.table("part").select("p_partkey", "p_type", "p_brand")
         head = F.when(F.col("p_type") == "ECONOMY", "forward").otherwise(F.concat(F.lit("fred::"), "p_type"))
-        part = self.table("part").select("p_partkey", F.concat_ws("::", head, "p_brand").alias("feature"))
         return (
             line.join(part, line.l_partkey == part.p_partkey)
-            .groupBy("date", "maturity", "seed", "feature")
+            .groupBy("date", "maturity", "seed", "p_type", "p_brand")
             .agg(
                 (
                     (F.sum("c") - F.lit(5) * F.count("*")) / (F.lit(100.0) * F.count("*"))
                 ).alias("shap_value")
             )
+            .select("date", "maturity", "seed", F.concat_ws("::", head, "p_brand").alias("feature"), "shap_value")
         )
 
     @cached_property

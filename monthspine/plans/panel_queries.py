@@ -10,7 +10,7 @@ from ..operators import curve as CV
 from ..operators import lags as L
 from ..operators import panel as P
 from ..operators import transforms as T
-from .fixtures import SCHEDULE, Fixtures, add_view
+from .fixtures import SCHEDULE, Fixtures, add_view, cents
 from .registry import query
 
 # ---- derived DuckDB views ---------------------------------------------------------------------
@@ -56,9 +56,8 @@ def q_month_spine(fx):
     SELECT date, series, value FROM fx_panel WHERE date BETWEEN DATE '1996-01-31' AND DATE '1998-12-31'""", "fx_panel")
 def q_panel_slice(fx):
     sliced = P.slice_months(fx.table("orders"), "1996-01-31", "1998-12-31", "o_orderdate")
-    return sliced.groupBy("date", F.concat("o_orderpriority", F.lit("|"), "o_orderstatus").alias("series")).agg(
-        (F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")) / 100.0).alias("value")
-    )
+    sums = sliced.groupBy("date", "o_orderpriority", "o_orderstatus").agg((F.sum(cents("o_totalprice")) / 100.0).alias("value"))
+    return sums.select("date", F.concat("o_orderpriority", F.lit("|"), "o_orderstatus").alias("series"), "value")
 
 
 @query("resample_month_last", """
@@ -269,7 +268,7 @@ LAG_ROWS = [("2-HIGH|O", " ", 2, None), ("3-MEDIUM|P", "fixed", 4, ""), ("4-NOT
     FROM l LEFT JOIN fx_dense d ON d.series = l.series AND d.date = last_day(l.date - to_months(CAST(l.lag AS INTEGER)))""", "fx_dense")
 def q_publication_lag(fx):
     d = dense(fx)
-    policies = L.resolve_policies(d, fx.rows(LAG_TABLE, L.POLICY_SCHEMA), fx.rows(LAG_ROWS, L.POLICY_SCHEMA))
+    policies = L.resolve_policies(fx.panel, fx.rows(LAG_TABLE, L.POLICY_SCHEMA), fx.rows(LAG_ROWS, L.POLICY_SCHEMA))
     return L.apply_publication_lag(d, F.broadcast(policies))
 
 

@@ -29,7 +29,7 @@ def q_wide_csv(fx):
     path = folder(fx, "wide")
     wide = fx.panel.groupBy(F.date_format(F.trunc("date", "MM"), "M/d/yyyy").alias("date")).pivot("series", SERIES).agg(F.max("value"))
     text = wide.select("date", *[F.col(f"`{s}`").cast("string").alias(s) for s in SERIES])
-    names = fx.spark.createDataFrame([(s,) for s in SERIES], "series string").select("series", tcode_of().cast("string").alias("code"))
+    names = fx.rows([(s,) for s in SERIES], "series string").select("series", tcode_of().cast("string").alias("code"))
     codes = names.groupBy(F.lit("Transform:").alias("date")).pivot("series", SERIES).agg(F.max("code"))
     codes.unionByName(text).write.option("header", True).csv(path)
     values, found = P.read_wide_csv(fx.spark, path)
