@@ -79,6 +79,12 @@ def release_cutoff(decision: Column | str, rule: Column | str) -> Column:
     return shift_months(decision, back)
 
 
+def per_month(df: DataFrame) -> DataFrame:
+    """Broadcast a frame with at most one row per calendar month: twelve small rows a year, however
+    much data there is. Every other join leaves the choice to measured sizes."""
+    return F.broadcast(df)
+
+
 def spine_bounds(df: DataFrame, date: str = "date") -> tuple[Column, Column]:
     """First and last month of a frame as scalar subqueries."""
     return (

@@ -194,7 +194,7 @@ def top_features(sm: DataFrame, n: int, keep_forward: bool = False) -> DataFrame
 def keep_top_features(df: DataFrame, k: int, value: str = "shap_value") -> DataFrame:
     """Rows of the k features with the largest mean |value|."""
     lead = df.groupBy("feature").agg(F.avg(F.abs(value)).alias("_v")).orderBy(F.round("_v", 9).desc(), "feature").limit(k)
-    return df.join(F.broadcast(lead.select("feature")), "feature", "left_semi")
+    return df.join(lead.select("feature"), "feature", "left_semi")
 
 
 # ---- stability over seeds ---------------------------------------------------------------------

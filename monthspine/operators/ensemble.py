@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.calendar import month_number
+from ..functions.calendar import month_number, per_month
 from .panel import densify
 from .transforms import by_date
 
@@ -122,7 +122,7 @@ def expanding_quantiles(df: DataFrame, value: str, qs: dict[str, float], bins: i
 
 def combine_winsorised(members: DataFrame, cube: DataFrame, q_low: float = 0.001, q_high: float = 0.999) -> DataFrame:
     """Ensemble of members clipped to quantiles of every seed's forecasts up to the date."""
-    bounds = F.broadcast(expanding_quantiles(cube, "y_hat", {"lo": q_low, "hi": q_high}))
+    bounds = per_month(expanding_quantiles(cube, "y_hat", {"lo": q_low, "hi": q_high}))
     clipped = members.join(bounds, "date").withColumn("y_hat", F.greatest(F.least("y_hat", "hi"), "lo"))
     return combine(clipped)
 

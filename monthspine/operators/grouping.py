@@ -12,7 +12,7 @@ from .transforms import zscore
 
 def attach_group(df: DataFrame, mapping: DataFrame, default: str | None = None, series: str = "series") -> DataFrame:
     """Add ``grp`` from (series, grp) rows. Without a default an unmapped series fails the query."""
-    out = df.join(F.broadcast(mapping.select(F.col("series").alias(series), "grp")), series, "left")
+    out = df.join(mapping.select(F.col("series").alias(series), "grp"), series, "left")
     if default is not None:
         return out.withColumn("grp", F.coalesce("grp", F.lit(default)))
     lost = F.raise_error(F.concat(F.lit("series without a group: "), F.col(series).cast("string"))).cast("string")
@@ -52,6 +52,6 @@ def group_codes(columns: DataFrame, position: str = "position", group: str = "gr
 
 def coarse_composite(df: DataFrame, mapping: DataFrame, series: str = "series") -> DataFrame:
     """Equal-weight composite per coarse group; series whose group is not mapped are left out."""
-    mapped = df.join(F.broadcast(mapping.select("grp", "coarse")), "grp")
+    mapped = df.join(mapping.select("grp", "coarse"), "grp")
     z = F.coalesce(zscore("value", [series]), F.lit(0.0))
     return mapped.withColumn("_z", z).groupBy("date", "coarse").agg(F.avg("_z").alias("value"))

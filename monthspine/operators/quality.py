@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
+from ..functions.calendar import per_month
 from ..functions.columns import ratio
 from .transforms import by_date, jumps
 
@@ -168,7 +169,7 @@ def membership_changes(selected: DataFrame, origins: DataFrame, key: str = "seri
     the set of one origin is never gathered.
     """
     nxt = Window.orderBy("origin")
-    cal = F.broadcast(origins.select("origin").distinct().select(
+    cal = per_month(origins.select("origin").distinct().select(
         "origin", F.lag("origin").over(nxt).alias("_prev"), F.lead("origin").over(nxt).alias("_next")
     ))
     w = Window.partitionBy(key).orderBy("origin")
@@ -246,7 +247,7 @@ def revision_by_group(stats: DataFrame, groups: DataFrame) -> DataFrame:
         *[F.avg(c).alias(c) for c in ["rt_acf1", "acf1_diff", "rt_sd", "rev_sd", "revision_sd", "mae_revision"]]
     )
     per = per.withColumn("noise", ratio(F.col("revision_sd"), F.col("rt_sd"))).withColumn("vol", ratio(F.col("rev_sd"), F.col("rt_sd")))
-    return per.join(F.broadcast(groups), "series").groupBy("grp").agg(
+    return per.join(groups, "series").groupBy("grp").agg(
         F.avg("rt_acf1").alias("avg_rt_ar1"), F.avg("acf1_diff").alias("avg_ar1_diff"),
         F.avg("vol").alias("avg_volatility_ratio"), F.avg("noise").alias("avg_revision_noise"), F.avg("mae_revision").alias("avg_mae"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.calendar import with_months
+from ..functions.calendar import per_month, with_months
 from .panel import latest_at_or_before
 
 
@@ -22,7 +22,7 @@ def flag_regime(dates: DataFrame, regimes: DataFrame, by_month: bool = True) ->
         months = with_months(regimes, "start_date", "end_date", "date").where(
             F.col("date").between(F.col("start_date"), F.col("end_date"))
         )
-    inside = F.broadcast(months.select("date").distinct().withColumn("flag", F.lit(True)))
+    inside = per_month(months.select("date").distinct().withColumn("flag", F.lit(True)))
     return dates.join(inside, "date", "left").withColumn("flag", F.coalesce("flag", F.lit(False)))
 
 

@@ -48,8 +48,8 @@ def build_registry(names: DataFrame, rules: list[tuple], lags: DataFrame) -> Dat
         F.raise_error(F.concat(F.lit("series without transform code: "), F.col("series"))).cast("int")
     )
     out = (
-        names.join(F.broadcast(won), "series", "left")
-        .join(F.broadcast(resolve_policies(names, lags)), "series")
+        names.join(won, "series", "left")
+        .join(resolve_policies(names, lags), "series")
         .select(
             F.row_number().over(Window.orderBy("series")).alias("hs_no"), F.lit(0).alias("group"), "series",
             F.col("series").alias("old_name"), F.col("series").alias("description"), code.alias("tcode"),

@@ -48,7 +48,7 @@ def dm_pairs(df: DataFrame, group: str, model: str, h: int = 12) -> DataFrame:
     )
     n_models = df.groupBy(group).agg(F.countDistinct(model).alias("_m"))
     here = loss.groupBy(group, "date").agg(F.count("*").alias("_c"))
-    shared = here.join(F.broadcast(n_models), group).where(F.col("_c") == F.col("_m")).select(group, "date")
+    shared = here.join(n_models, group).where(F.col("_c") == F.col("_m")).select(group, "date")
     arrays = loss.join(shared, [group, "date"], "left_semi").groupBy(group, model).agg(ordered_values("_l").alias("_x"))
     a = arrays.select(group, F.col(model).alias("model_a"), F.col("_x").alias("_xa"))
     b = arrays.select(group, F.col(model).alias("model_b"), F.col("_x").alias("_xb"))
@@ -132,6 +132,6 @@ def mann_whitney(df: DataFrame, keys: list[str], value: str, flag: str) -> DataF
 def episode_means(df: DataFrame, keys: list[str], value: str, months: DataFrame) -> DataFrame:
     """Mean value and months per regime episode; ``months`` is (date, episode)."""
     return (
-        df.where(F.col(value).isNotNull()).join(F.broadcast(months), "date")
+        df.where(F.col(value).isNotNull()).join(months, "date")
         .groupBy(*keys, "episode").agg(F.avg(value).alias("mean"), F.count("*").alias("n_months"))
     )

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
-from ..functions.calendar import month_end, month_number, months_apart, release_cutoff, shift_literal, shift_months, with_months
+from ..functions.calendar import month_end, month_number, months_apart, per_month, release_cutoff, shift_literal, shift_months, with_months
 from ..functions.columns import ratio, to_number
 from .lags import lag_in_force
 from .panel import densify, latest_at_or_before
@@ -86,7 +86,7 @@ def vintage_selection(dates: DataFrame, archive_months: DataFrame, offset: int =
     )
 
 
-def source_roles(registry: DataFrame) -> DataFrame:
+def source_roles(registry: DataFrame, carry: list[str] = ()) -> DataFrame:
     """Registry rows unfolded to the histories they read: direct, numerator, denominator."""
     derived = F.col("kind") == "derived_formula"
     parts = F.when(
@@ -98,7 +98,7 @@ def source_roles(registry: DataFrame) -> DataFrame:
     ).otherwise(
         F.array(F.struct(F.lit("direct").alias("role"), F.coalesce("target", "series").alias("series_id")))
     )
-    return registry.select("series", F.explode(parts).alias("_p")).select("series", "_p.role", "_p.series_id")
+    return registry.select("series", *carry, F.explode(parts).alias("_p")).select("series", "_p.role", "_p.series_id", *carry)
 
 
 def combine_roles(values: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -111,8 +111,8 @@ def combine_roles(values: DataFrame, keys: list[str], value: str = "value") -> D
 
 def asof_cells(history: DataFrame, registry: DataFrame, selection: DataFrame, first: str, last: str, start: str) -> DataFrame:
     """As-of values of registry series for every forecast date (forecast_date, date, series, value)."""
-    roles = F.broadcast(source_roles(registry))
-    dates = F.broadcast(selection.select("forecast_date", "as_of"))
+    roles = source_roles(registry)
+    dates = per_month(selection.select("forecast_date", "as_of"))
     valid = expand_validity(history, first, last).where(F.col("obs_date") >= F.lit(start).cast("date"))
     cells = (
         valid.join(dates, "as_of")
@@ -126,7 +126,7 @@ def asof_cells(history: DataFrame, registry: DataFrame, selection: DataFrame, fi
 
 def fill_from_archive(cells: DataFrame, archive: DataFrame, selection: DataFrame, start: str) -> DataFrame:
     """Fill cells without an as-of value from the selected archive month and tag the source."""
-    chosen = F.broadcast(
+    chosen = per_month(
         selection.select(
             "forecast_date", F.col("selected_archive_month").alias("vintage_month"), "archive_source_tag"
         )
@@ -183,7 +183,7 @@ def vintage_panels(
         .select("forecast_date", "series", "date", cell["raw"].alias("raw"),
                 F.coalesce(cell["tag"], F.lit(fv.TAG_MISSING)).alias("tag"))
     )
-    coded = spread.join(F.broadcast(names.select("series", "tcode")), "series")
+    coded = spread.join(names.select("series", "tcode"), "series")
     done = apply_tcodes(coded, ["forecast_date", "series"], value="raw")
     keep = F.col("date") == F.col("forecast_date") if diagonal else F.col("date") >= F.lit(start).cast("date")
     return done.where(keep).select("forecast_date", "date", "series", "raw", "transformed", "tag")
@@ -199,10 +199,10 @@ def first_vintages(history: DataFrame) -> DataFrame:
 def pick_strict(history: DataFrame, reads: DataFrame, first: str, last: str) -> DataFrame:
     """Last observation at or before the cutoff among vintages valid at the decision.
 
-    ``reads`` (series_id, rule, plus anything) is a broadcast dimension: one row per rule a
-    history is read under.
+    ``reads`` (series_id, rule, plus anything) is a dimension: one row per rule a history is read
+    under.
     """
-    valid = expand_validity(history, first, last, "decision").join(F.broadcast(reads), "series_id")
+    valid = expand_validity(history, first, last, "decision").join(reads, "series_id")
     valid = valid.withColumn("cutoff", release_cutoff("decision", "rule")).where(F.col("obs_date") <= F.col("cutoff"))
     # order by observation month, then vintage, packed into one long
     last_seen = (month_number("obs_date") % 100_000).cast("bigint") * 10_000_000_000_000
@@ -262,8 +262,7 @@ def guard_stale(picks: DataFrame, max_gap: int, limit: Column | None = None) ->
 
 def decision_reads(registry: DataFrame) -> DataFrame:
     """Every history a registry row reads, with its rule, lag policy and start override."""
-    policy = registry.select("series", "kind", "rule", "lag_mode", "lag_months", "lag_schedule")
-    return source_roles(registry).join(policy, "series")
+    return source_roles(registry, ["kind", "rule", "lag_mode", "lag_months", "lag_schedule"])
 
 
 def balanced_cascade(
@@ -281,7 +280,7 @@ def balanced_cascade(
         own = component_policies.select(
             F.col("series").alias("series_id"), F.struct("lag_mode", "lag_months", "lag_schedule").alias("own_lag")
         )
-        reads = reads.join(F.broadcast(own), "series_id", "left")
+        reads = reads.join(own, "series_id", "left")
         own_lag = F.when(
             F.col("role") != "direct",
             lag_in_force("decision", F.col("own_lag.lag_mode"), F.col("own_lag.lag_months"), F.col("own_lag.lag_schedule")),
@@ -354,11 +353,11 @@ def anchor_backfill(
     the first anchor fill itself starts a series, every earlier anchor candidate counts as well.
     """
     reg = registry.select("series", "rule", "lag_mode", "lag_months", "lag_schedule")
-    cells = balanced.join(F.broadcast(reg), "series").withColumn("cutoff", release_cutoff("decision", "rule"))
+    cells = balanced.join(reg, "series").withColumn("cutoff", release_cutoff("decision", "rule"))
     open_now = F.lit(True)
     for s, d in (starts or {}).items():
         open_now = open_now & ~((F.col("series") == s) & (F.col("decision") < F.last_day(F.lit(d).cast("date"))))
-    anchors = F.broadcast(earliest_vintage(archive).withColumnRenamed("series_id", "series"))
+    anchors = earliest_vintage(archive).withColumnRenamed("series_id", "series")
     cells = cells.join(anchors, "series", "left")
     gaps = cells.where(F.col("value").isNull() & open_now).withColumn("max_gap", staleness_limit(max_gap))
     ask = gaps.select("decision", F.col("series").alias("series_id"), "cutoff", "max_gap", "anchor_month")
@@ -419,9 +418,9 @@ def realtime_features(features: DataFrame, panels: DataFrame, first: str, last:
     fixed = features.where(F.col("source") != macro)
     span = fixed.select("date", "source", "series", "value")
     plain = with_months(span, F.greatest("date", F.lit(first).cast("date")), F.lit(last), "origin").join(
-        F.broadcast(origins), "origin", "left_semi"
+        per_month(origins), "origin", "left_semi"
     ).select("origin", "date", "source", "series", "value")
-    live = panels.join(F.broadcast(wanted), "series", "left_semi").select(
+    live = panels.join(wanted, "series", "left_semi").select(
         F.col("forecast_date").alias("origin"), "date", F.lit(macro).alias("source"), "series",
         F.col("transformed").alias("value"),
     )

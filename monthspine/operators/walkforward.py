@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import linear
-from ..functions.calendar import month_number, shift_months, with_months
+from ..functions.calendar import month_number, per_month, shift_months, with_months
 from .transforms import by_date, training_rows, upto_now
 
 
@@ -194,7 +194,7 @@ def solve(ready: DataFrame, tuning: DataFrame | None, layout: Design, steps: lis
     else:
         pen = per_target(tuning, layout, "tune_m").select("tune_m", "target", tuner(layout, steps, kind)("a", "b", "t").alias("_p"))
         pen = pen.select("tune_m", "target", F.get("_p", F.lit(0)).alias("alpha"), F.get("_p", F.lit(1)).alias("mix"))
-        each = each.join(F.broadcast(pen), ["tune_m", "target"])
+        each = each.join(pen, ["tune_m", "target"])
     keep = [c for c in ready.columns if c not in ("tune_m", "mom")]
     return each.select(*keep, "target", solver(layout, steps, kind)("mom", "t", "alpha", "mix").alias("coef"))
 
@@ -371,7 +371,7 @@ def walk_forward(
         (month_number("refit") - month_number(first_day)) % refit_every == 0
     )
     used = with_months(df, F.greatest(shift_months("date", -(refit_every - 1)), first_day), hi, "refit").join(
-        F.broadcast(refits), "refit", "left_semi"
+        per_month(refits), "refit", "left_semi"
     )
     ahead = month_number("refit") - month_number("date")
     tagged = used.withColumn("_part", F.when(F.col("date") >= F.col("refit"), "live").when(ahead > gap, "train")).where(F.col("_part").isNotNull())

@@ -269,7 +269,7 @@ LAG_ROWS = [("2-HIGH|O", " ", 2, None), ("3-MEDIUM|P", "fixed", 4, ""), ("4-NOT
 def q_publication_lag(fx):
     d = dense(fx)
     policies = L.resolve_policies(fx.panel, fx.rows(LAG_TABLE, L.POLICY_SCHEMA), fx.rows(LAG_ROWS, L.POLICY_SCHEMA))
-    return L.apply_publication_lag(d, F.broadcast(policies))
+    return L.apply_publication_lag(d, policies)
 
 
 @query("ffill", """

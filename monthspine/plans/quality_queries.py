@@ -248,11 +248,11 @@ def revised(fx: Fixtures):
     from ..operators.vintage import combine_roles, newest, source_roles
 
     final = fx.stored_history.groupBy("series_id", F.col("obs_date").alias("date")).agg(newest().alias("value"))
-    cells = combine_roles(final.join(F.broadcast(source_roles(fx.registry)), "series_id"), ["date", "series"])
+    cells = combine_roles(final.join(source_roles(fx.registry), "series_id"), ["date", "series"])
     from ..operators.panel import densify
 
     full = densify(cells, ["series"], ["value"], start="1995-01-31", end="2001-08-31").join(
-        F.broadcast(fx.registry.select("series", "tcode")), "series")
+        fx.registry.select("series", "tcode"), "series")
     return T.apply_tcodes(full, ["series"], out="revised").select("date", "series", "revised")
 
 

@@ -33,7 +33,7 @@ def q_wide_csv(fx):
     codes = names.groupBy(F.lit("Transform:").alias("date")).pivot("series", SERIES).agg(F.max("code"))
     codes.unionByName(text).write.option("header", True).csv(path)
     values, found = P.read_wide_csv(fx.spark, path)
-    return values.where(F.col("value").isNotNull()).join(F.broadcast(found), "series").select("date", "series", "value", "tcode")
+    return values.where(F.col("value").isNotNull()).join(found, "series").select("date", "series", "value", "tcode")
 
 
 IDS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]

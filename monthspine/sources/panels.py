@@ -44,7 +44,7 @@ def transformed_panel(values: DataFrame, codes: DataFrame, start: str, end: str,
     its level.
     """
     d = values.withColumn("value", F.when(F.col("series").isin(list(fill_first)), ffill("value", ["series"])).otherwise(F.col("value")))
-    coded = d.join(F.broadcast(codes), "series", "left").withColumn("tcode", F.coalesce("tcode", F.lit(1)))
+    coded = d.join(codes, "series", "left").withColumn("tcode", F.coalesce("tcode", F.lit(1)))
     out = apply_tcodes(coded, ["series"])
     return out.where(F.col("date").between(start, end)).select("date", "series", F.col("transformed").alias("value"))
 
