@@ -15,9 +15,10 @@ CELL = ["date", "maturity"]
 def rank_by(df: DataFrame, loss: str, keys: list[str] = CELL) -> DataFrame:
     """Rank seeds by a loss, lowest first, ties by seed; seeds without a loss are left out.
 
-    A cell holds one row per seed.
+    A cell holds one row per seed. Losses are compared at twelve decimals, so the order in which a
+    mean was summed cannot decide a tie.
     """
-    w = Window.partitionBy(*keys).orderBy(loss, "seed")
+    w = Window.partitionBy(*keys).orderBy(F.round(loss, 12), "seed")
     return df.where(F.col(loss).isNotNull()).withColumn("rank", F.row_number().over(w))
 
 

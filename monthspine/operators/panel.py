@@ -50,11 +50,16 @@ def densify(
 
 
 def resample_last(df: DataFrame, keys: list[str], ts: str, value: str, tie: list[str] = ()) -> DataFrame:
-    """Last observation of each key and month."""
+    """Last observation of each key and month.
+
+    Ordered by the timestamp as one long, which hash-aggregates raw rows; tie columns, where equal
+    timestamps must be told apart, cost a sort.
+    """
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
     return (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, month_end(ts).alias("date"))
-        .agg(F.max_by(value, F.struct(ts, *tie)).alias(value))
+        .agg(F.max_by(value, F.struct(at, *tie) if tie else at).alias(value))
     )
 
 

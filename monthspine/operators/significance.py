@@ -81,7 +81,9 @@ def permutation_test(df: DataFrame, keys: list[str], value: str, flag: str, roun
     order = F.transform(
         "_xs", lambda x: F.struct(F.md5(F.concat(x["d"], F.lit("|"), F.col("_r").cast("string"))).alias("k"), x["v"].alias("v"))
     )
-    spread = one.repartition(*keys, "_r").withColumn("_o", F.sort_array(order))
+    # little data, much work: a fixed number of partitions keeps the rounds on all cores
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    spread = one.repartition(cores, *keys, "_r").withColumn("_o", F.sort_array(order))
     head = F.slice("_o", F.lit(1), F.col("n_in"))
     tail = F.slice("_o", F.col("n_in") + 1, F.col("n_out"))
     add = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x["v"])

@@ -32,7 +32,7 @@ def q_hm(fx):
 
 add_view("fx_xy", """
     SELECT r.date, r.maturity, r.rx AS y, -((r.maturity-12)/12e0)*p.y + (r.maturity/12e0)*c.y AS x
-    FROM fx_rx r JOIN fx_curve c ON c.date = r.date AND c.maturity = r.maturity JOIN fx_curve p ON p.date = r.date AND p.maturity = r.maturity - 12""", "fx_rx fx_curve")
+    FROM fx_rx r JOIN fx_curve c ON c.date = r.date AND c.maturity = r.maturity LEFT JOIN fx_curve p ON p.date = r.date AND p.maturity = r.maturity - 12""", "fx_rx fx_curve")
 
 
 def xy(fx: Fixtures):

@@ -66,7 +66,7 @@ def q_panel_slice(fx):
              row_number() OVER (PARTITION BY user_id, event_type, last_day(ts) ORDER BY ts DESC, event_id DESC) AS rn
       FROM events WHERE value IS NOT NULL) q WHERE rn = 1""")
 def q_resample(fx):
-    return P.resample_last(fx.table("events"), ["user_id", "event_type"], "ts", "value", ["event_id"])
+    return P.resample_last(fx.table("events"), ["user_id", "event_type"], "ts", "value")
 
 
 @query("drop_series", """
