@@ -405,19 +405,20 @@ def anchor_backfill(
     )
 
 
-def realtime_features(features: DataFrame, panels: DataFrame, first: str, last: str, macro: str = "macro") -> DataFrame:
+def realtime_features(
+    features: DataFrame, panels: DataFrame, dates: DataFrame, names: DataFrame, first: str, last: str, macro: str = "macro",
+) -> DataFrame:
     """Predictors per origin with the macro block taken from the origin's own as-of panel.
 
-    ``features`` is (date, source, series, value); ``panels`` comes from ``vintage_panels`` for origins
-    ``first``..``last``. A macro series that no panel carries fails the query.
+    ``features`` is (date, source, series, value); ``panels`` comes from ``vintage_panels`` for the
+    forecast dates ``dates`` within ``first``..``last`` and the registry series ``names``. A macro series
+    the registry does not carry fails the query.
     """
-    origins = panels.select(F.col("forecast_date").alias("origin")).distinct()
     wanted = features.where(F.col("source") == macro).select("series").distinct()
-    lacking = wanted.join(panels.select("series").distinct(), "series", "left_anti")
-    problem = lacking.agg(F.concat_ws(", ", F.collect_set("series"))).scalar()
-    fixed = features.where(F.col("source") != macro)
-    span = fixed.select("date", "source", "series", "value")
-    plain = with_months(span, F.greatest("date", F.lit(first).cast("date")), F.lit(last), "origin").join(
+    problem = wanted.join(names.select("series"), "series", "left_anti").agg(F.concat_ws(", ", F.collect_set("series"))).scalar()
+    origins = dates.select(F.col("forecast_date").alias("origin")).distinct()
+    fixed = features.where(F.col("source") != macro).select("date", "source", "series", "value")
+    plain = with_months(fixed, F.greatest("date", F.lit(first).cast("date")), F.lit(last), "origin").join(
         per_month(origins), "origin", "left_semi"
     ).select("origin", "date", "source", "series", "value")
     live = panels.join(wanted, "series", "left_semi").select(

@@ -194,7 +194,8 @@ def model_share_sql(cond: str) -> str:
     SELECT a.grp, round(avg(abs(a.share - b.share)), 10) + 0 AS mean_abs_diff, round(max(abs(a.share - b.share)), 10) + 0 AS max_abs_diff, round(avg(a.share), 10) + 0 AS share_a, round(avg(b.share), 10) + 0 AS share_b
     FROM {model_share_sql('seed < 3')} a JOIN {model_share_sql('seed >= 3')} b ON b.maturity = a.maturity AND b.grp = a.grp GROUP BY 1""", "fx_attrg")
 def q_model_agreement(fx):
-    side = lambda cond: A.group_shares(A.seed_mean(fx.attr.where(cond)), keep_forward=False)
+    attr = fx.shared(fx.attr)
+    side = lambda cond: A.group_shares(A.seed_mean(attr.where(cond)), keep_forward=False)
     out = A.model_agreement(side(F.col("seed") < 3), side(F.col("seed") >= 3))
     return rounded(out, mean_abs_diff=10, max_abs_diff=10, share_a=10, share_b=10)
 

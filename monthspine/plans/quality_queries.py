@@ -50,7 +50,7 @@ def q_revision_audit(fx):
     SELECT grp, coalesce(tag, 'MISSING') AS tag, CAST(count(*) AS BIGINT) AS n, round(100e0*count(*)/sum(count(*)) OVER (PARTITION BY grp), 6) + 0 AS share_pct FROM fx_dense GROUP BY 1,2
     UNION ALL SELECT 'all', coalesce(tag, 'MISSING'), CAST(count(*) AS BIGINT), round(100e0*count(*)/sum(count(*)) OVER (), 6) + 0 FROM fx_dense GROUP BY 1,2""", "fx_dense")
 def q_mix(fx):
-    d = dense(fx)
+    d = fx.shared(dense(fx))
     per = Q.source_mix(d, ["grp"])
     return rounded(per.unionByName(Q.source_mix(d).withColumn("grp", F.lit("all"))), share_pct=6)
 
@@ -75,7 +75,7 @@ add_view("fx_quality", """
 
 
 def quality(fx: Fixtures):
-    return Q.series_quality(dense(fx))
+    return Q.series_quality(fx.shared(dense(fx)))
 
 
 @query("series_quality", """
@@ -197,7 +197,7 @@ def q_entry(fx):
     SELECT origin, CAST(count(*) FILTER (WHERE inside) AS BIGINT) AS n_train, CAST(count(*) FILTER (WHERE inside AND before = false) AS BIGINT) AS n_new,
            CAST(count(*) FILTER (WHERE NOT inside AND before) AS BIGINT) AS n_exit FROM l GROUP BY 1""", "fx_origins fx_sparse fx_selected")
 def q_counts(fx):
-    s, o = selected(fx), origins(fx)
+    s, o = fx.shared(selected(fx)), origins(fx)
     return Q.membership_counts(s, Q.membership_changes(s, o), o)
 
 

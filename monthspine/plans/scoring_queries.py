@@ -519,7 +519,7 @@ add_view("fx_util", """
     FROM (SELECT model, maturity, CAST(count(*) AS BIGINT) AS obs, round(100*(avg(u_model) - avg(u_bench)), 6) + 0 AS cer_pct, round(avg(w_model), 6) + 0 AS avg_w_model, round(avg(w_bench), 6) + 0 AS avg_w_bench FROM fx_util GROUP BY 1,2) u
     JOIN ({dm_sql('model, maturity', 'fx_util', 'u_model - u_bench')}) d ON d.model = u.model AND d.maturity = u.maturity""", "fx_util")
 def q_cer(fx):
-    return rounded(PF.cer_gain(utils(fx), MM), cer_pct=6, avg_w_model=6, avg_w_bench=6, dm_stat=5, p_value=5)
+    return rounded(PF.cer_gain(fx.shared(utils(fx)), MM), cer_pct=6, avg_w_model=6, avg_w_bench=6, dm_stat=5, p_value=5)
 
 
 @query("cer_delta", f"""

@@ -465,15 +465,17 @@ def q_regime_asof(fx):
 
 
 @query("realtime_features", """
-    WITH o AS (SELECT DISTINCT forecast_date AS origin FROM fx_vpanel)
+    WITH o AS (SELECT forecast_date AS origin FROM fx_fdates)
     SELECT o.origin, c.date, 'curve' AS source, CAST(c.maturity AS VARCHAR) AS series, round(c.y, 6) + 0 AS value FROM o JOIN fx_curve c ON c.date <= o.origin
-    UNION ALL SELECT forecast_date, date, 'macro', series, round(transformed, 6) + 0 FROM fx_vpanel""", "fx_vpanel fx_curve")
+    UNION ALL SELECT forecast_date, date, 'macro', series, round(transformed, 6) + 0 FROM fx_vpanel""", "fx_vpanel fx_curve fx_fdates")
 def q_realtime(fx):
     curve = fx.curve.select("date", F.lit("curve").alias("source"), F.col("maturity").cast("string").alias("series"), F.col("y").alias("value"))
-    macro = fx.stored_history.groupBy(F.col("obs_date").alias("date"), F.col("series_id").alias("series")).agg(F.max_by("value", "realtime_start").alias("value"))
-    macro = macro.where(F.col("series") != "5-LOW").select("date", F.lit("macro").alias("source"), "series", "value")
-    ratio = macro.where(F.col("series") == "1-URGENT").withColumn("series", F.lit("6-RATIO"))
-    return V.realtime_features(curve.unionByName(macro).unionByName(ratio), vpanels(fx), FIRST, LAST).withColumn("value", C.rnd("value"))
+    names = fx.registry.where(F.col("series") != "5-LOW")
+    final = fx.stored_history.groupBy(F.col("obs_date").alias("date"), "series_id").agg(V.newest().alias("value"))
+    macro = V.combine_roles(final.join(V.source_roles(names), "series_id"), ["date", "series"])
+    macro = macro.select("date", F.lit("macro").alias("source"), "series", "value")
+    out = V.realtime_features(curve.unionByName(macro), vpanels(fx), fdates(fx), names, FIRST, LAST)
+    return out.withColumn("value", C.rnd("value"))
 
 
 @query("latest_refit", """

@@ -121,3 +121,11 @@ def test_panel_invariants(spark):
 def test_unknown_rule_fails(spark):
     with pytest.raises(Exception, match="unknown release rule"):
         V.pick_strict(history(spark, ROWS), V.decision_reads(registry(spark, [direct("a", "weekly")])), "2000-01-31", "2000-06-30").collect()
+
+
+def test_features_need_every_macro_series_in_the_registry(spark):
+    f = frame(spark, [("2000-01-31", "macro", "z", 1.0)], "date string, source string, series string, value double", ["date"])
+    p = frame(spark, [("2000-01-31", "2000-01-31", "a", 1.0)], "forecast_date string, date string, series string, transformed double", ["forecast_date", "date"])
+    names = spark.createDataFrame([("a",)], "series string")
+    with pytest.raises(Exception, match="without as-of data: z"):
+        V.realtime_features(f.unionByName(f.withColumn("source", F.lit("curve"))), p, p, names, "2000-01-31", "2000-02-29").collect()
