@@ -344,10 +344,13 @@ def nearest_in_snapshot(asked: DataFrame, archive: DataFrame) -> DataFrame:
 def anchor_backfill(
     balanced: DataFrame, registry: DataFrame, archive: DataFrame, non_revised: DataFrame,
     tag: str = fv.TAG_PRE_VINTAGE, max_gap: int = 1, blocked: list[str] = (), starts: dict[str, str] | None = None,
+    first: str | None = None, last: str | None = None,
 ) -> DataFrame:
     """Fill the gaps of a balanced panel: same-month snapshot, anchor snapshot, non-revised panel.
 
-    ``balanced`` is (decision, series, value, tag), ``non_revised`` (date, series, value). A blocked
+    ``balanced`` is (decision, series, value, tag), ``non_revised`` (date, series, value). ``first`` is
+    the earliest month of the non-revised panel and ``last`` the latest decision; without them the
+    frames are read once more for it. ``balanced`` is read twice: pass a stored table. A blocked
     series that has started takes nothing from before its archive. Started means an earlier row
     tagged by the cascade; fills of this pass count when ``tag`` is one of those tags, and since
     the first anchor fill itself starts a series, every earlier anchor candidate counts as well.
@@ -377,9 +380,9 @@ def anchor_backfill(
         F.max(F.when(F.col("step") == "same", F.col("value"))).alias("same"),
         F.max(F.when(F.col("step") == "anchor", F.col("value"))).alias("anchor"),
     )
-    last = cells.select(F.max("decision")).scalar()
     flat = non_revised.where(F.col("value").isNotNull())
-    carried = densify(flat, ["series"], ["value"], start=flat.select(F.min("date")).scalar(), end=F.greatest(last, flat.select(F.max("date")).scalar()))
+    until = cells.select(F.max("decision")).scalar() if last is None else last
+    carried = densify(flat, ["series"], ["value"], start=flat.select(F.min("date")).scalar() if first is None else first, end=until)
     carried = carried.select("series", F.col("date").alias("cutoff"), ffill("value", ["series"]).alias("plain"))
     all_cells = cells.join(found, ["decision", "series"], "left").join(carried, ["series", "cutoff"], "left")
 

@@ -333,7 +333,8 @@ def backfill(fx, tag):
     final = fx.stored_history.groupBy(F.col("series_id").alias("series"), F.col("obs_date").alias("date")).agg(
         F.max_by("value", "realtime_start").alias("value"))
     return V.anchor_backfill(
-        lost(fx), fx.registry, late_columns(fx), final, tag=tag, blocked=["2-HIGH"], starts=STARTS
+        fx.shared(lost(fx)), fx.registry, late_columns(fx), final, tag=tag, blocked=["2-HIGH"], starts=STARTS,
+        first="1995-01-31", last=LAST,
     )
 
 
