@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import shift_literal
-from .transforms import by_date, upto_now
+from .transforms import upto_now
 
 
 def sq(a: str, b: str) -> Column:
@@ -70,12 +70,6 @@ def in_periods(df: DataFrame, periods: list[tuple[str, str, str]]) -> DataFrame:
     return df.select("*", F.explode(hit).alias("period"))
 
 
-def period_r2(df: DataFrame, keys: list[str], periods: list[tuple[str, str, str]]) -> DataFrame:
-    return in_periods(df, periods).groupBy(*keys, "period").agg(
-        r2(both()).alias("r2"), F.count(F.when(both(), 1)).alias("n")
-    )
-
-
 def cut_periods(log: DataFrame, run_keys: list[str], cuts: dict[str, str], holding: dict[str, int]) -> DataFrame:
     """Rows of a forecast log per evaluation period.
 
@@ -138,10 +132,3 @@ def fragility_summary(scores: DataFrame, key: str, config: str, baseline: str, v
         pct(F.col("max")).alias("max"), pct(F.col("max") - F.col("min")).alias("range"),
         share("positive_configs").alias("positive"), share("significant_configs").alias("significant"),
     )
-
-
-def oos_index(df: DataFrame, keys: list[str], start: str) -> DataFrame:
-    """Number the out-of-sample months of each key from zero."""
-    return df.where(F.col("date") >= F.lit(start).cast("date")).withColumn(
-        "step", F.row_number().over(by_date(keys)) - 1
-    )

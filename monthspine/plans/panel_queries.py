@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions.calendar import month_spine, release_cutoff, spine_bounds
+from ..functions.calendar import month_spine, release_cutoff
 from ..operators import curve as CV
 from ..operators import lags as L
 from ..operators import panel as P

@@ -4,16 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import columns as C
 from ..operators import correlation as K
 from ..operators import quality as Q
-from ..operators import scoring as S
 from ..operators import transforms as T
 from .fixtures import Fixtures, add_view
 from .panel_queries import block, dense, sparse_dense
 from .registry import query
 from .scoring_queries import rounded
-from .vintage_queries import START, balanced, vpanels
+from .vintage_queries import balanced, vpanels
 
 # ---- histories --------------------------------------------------------------------------------
 
@@ -244,7 +242,6 @@ DIGITS = {c: 4 if c not in ("rt_acf1", "rev_acf1", "acf1_diff", "missing_rt", "m
 
 def revised(fx: Fixtures):
     """Fully revised panel: the newest vintage of every month under the same transforms."""
-    from ..functions.calendar import calendar_months, month_end
     from ..operators.vintage import combine_roles, newest, source_roles
 
     final = fx.stored_history.groupBy("series_id", F.col("obs_date").alias("date")).agg(newest().alias("value"))

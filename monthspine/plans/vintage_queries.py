@@ -15,7 +15,6 @@ from ..operators import registry as REG
 from ..operators import vintage as V
 from ..operators.transforms import by_date
 from .fixtures import Fixtures, add_view
-from .panel_queries import block, dense
 from .registry import query
 
 FIRST, LAST = "1995-06-30", "2001-08-31"  # decision and forecast months

@@ -86,3 +86,16 @@ def test_sinks(spark, tmp_path):
     assert sorted(r.v for r in done.collect()) == [1, 3]
     tasks = spark.createDataFrame([("2000-01-31",), ("2000-03-31",)], "date string").select(done.schema["date"].name)
     assert [r.date for r in K.pending(tasks, done.select(done.date.cast("string").alias("date")), ["date"]).collect()] == ["2000-03-31"]
+
+
+def test_transformed_panel_fills_before_it_differences(spark):
+    rows = [("1999-12-31", "UMCSENTx", 1.0), ("2000-01-31", "UMCSENTx", None), ("2000-02-29", "UMCSENTx", 4.0), ("2000-02-29", "Z", 5.0)]
+    values = spark.createDataFrame(rows, "date string, series string, value double").selectExpr("cast(date as date) date", "series", "value")
+    codes = spark.createDataFrame([("UMCSENTx", 2)], "series string, tcode int")
+    out = P.transformed_panel(values, codes, "2000-01-31", "2000-02-29")
+    assert got(out) == [("2000-01-31", "UMCSENTx", 0.0), ("2000-02-29", "UMCSENTx", 3.0), ("2000-02-29", "Z", 5.0)]
+
+
+def test_one_table_per_sheet(spark, tmp_path):
+    K.write_tables({"tags": spark.range(2), "audit": spark.range(3)}, str(tmp_path))
+    assert [K.read_table(spark, str(tmp_path / n)).count() for n in ("tags", "audit")] == [2, 3]
