@@ -25,9 +25,9 @@ def q_rw(fx):
     return truth(fx).select("date", "maturity", B.random_walk("y", M, GAP).alias("y_hat"))
 
 
-@query("fc_hist_mean", f"SELECT date, maturity, round({mean_sql(GAP)}, 8) + 0 AS y_hat FROM fx_curve", "fx_curve")
+@query("fc_hist_mean", f"SELECT date, maturity, round({mean_sql(GAP)}, 10) + 0 AS y_hat FROM fx_curve", "fx_curve")
 def q_hm(fx):
-    return truth(fx).select("date", "maturity", C.rnd(B.hist_mean("y", M, GAP), 8).alias("y_hat"))
+    return truth(fx).select("date", "maturity", C.rnd(B.hist_mean("y", M, GAP), 10).alias("y_hat"))
 
 
 add_view("fx_xy", """

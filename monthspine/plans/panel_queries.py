@@ -204,10 +204,10 @@ MATS = list(range(12, 85, 12))
 
 
 @query("pivot_scores", "SELECT seed, " + ", ".join(
-    f"round(avg(CASE WHEN maturity={m} THEN y_hat END), 8) + 0 AS m{m}" for m in MATS) + " FROM fx_forecast GROUP BY seed", "fx_forecast")
+    f"round(avg(CASE WHEN maturity={m} THEN y_hat END), 10) + 0 AS m{m}" for m in MATS) + " FROM fx_forecast GROUP BY seed", "fx_forecast")
 def q_pivot(fx):
     wide = P.pivot_wide(fx.forecast, ["seed"], "maturity", MATS, F.avg("y_hat"))
-    return wide.select("seed", *[C.rnd(F.col(f"`{m}`"), 8).alias(f"m{m}") for m in MATS])
+    return wide.select("seed", *[C.rnd(F.col(f"`{m}`"), 10).alias(f"m{m}") for m in MATS])
 
 
 @query("unpivot_panel", """
@@ -324,18 +324,18 @@ def q_train_complete(fx):
 
 @query("forward_rates", """
     SELECT c.date, c.maturity, round(CASE WHEN c.maturity = 12 THEN 0e0 ELSE -((c.maturity-12)/12e0)*p.y END
-           + (c.maturity/12e0)*c.y, 8) + 0 AS fwd
+           + (c.maturity/12e0)*c.y, 10) + 0 AS fwd
     FROM fx_curve c LEFT JOIN fx_curve p ON p.date = c.date AND p.maturity = c.maturity - 12""", "fx_curve")
 def q_forward(fx):
-    return CV.forward_rates(fx.curve).withColumn("fwd", C.rnd("fwd", 8))
+    return CV.forward_rates(fx.curve).withColumn("fwd", C.rnd("fwd", 10))
 
 
 @query("forward_rates_step1", """
-    SELECT c.date, c.maturity, round(-((c.maturity-1)/12e0)*p.y + (c.maturity/12e0)*c.y, 8) + 0 AS fwd
+    SELECT c.date, c.maturity, round(-((c.maturity-1)/12e0)*p.y + (c.maturity/12e0)*c.y, 10) + 0 AS fwd
     FROM fx_curve_monthly c LEFT JOIN fx_curve_monthly p ON p.date = c.date AND p.maturity = c.maturity - 1
     WHERE c.maturity % 12 = 0""", "fx_curve_monthly")
 def q_forward1(fx):
-    return CV.forward_rates(fx.curve_monthly, step=1).withColumn("fwd", C.rnd("fwd", 8))
+    return CV.forward_rates(fx.curve_monthly, step=1).withColumn("fwd", C.rnd("fwd", 10))
 
 
 add_view("fx_rx", """
@@ -346,20 +346,20 @@ add_view("fx_rx", """
     WHERE c.maturity > 12 AND c.maturity % 12 = 0""", "fx_curve")
 
 
-@query("excess_returns", "SELECT date, maturity, round(rx, 8) + 0 AS rx FROM fx_rx", "fx_rx")
+@query("excess_returns", "SELECT date, maturity, round(rx, 10) + 0 AS rx FROM fx_rx", "fx_rx")
 def q_excess(fx):
-    return CV.excess_returns(fx.curve, 12).withColumn("rx", C.rnd("rx", 8))
+    return CV.excess_returns(fx.curve, 12).withColumn("rx", C.rnd("rx", 10))
 
 
 @query("excess_returns_1m", """
-    SELECT c.date, c.maturity, round((-((c.maturity-1)/12e0)*s.y) + (c.maturity/12e0)*c.y - (1/12e0)*r.y, 8) + 0 AS rx
+    SELECT c.date, c.maturity, round((-((c.maturity-1)/12e0)*s.y) + (c.maturity/12e0)*c.y - (1/12e0)*r.y, 10) + 0 AS rx
     FROM (SELECT date, CAST(CASE maturity WHEN 7 THEN 1 ELSE maturity END AS INTEGER) AS maturity, y FROM fx_curve_monthly) c
     LEFT JOIN fx_curve_monthly s ON s.date = last_day(c.date + to_months(1)) AND s.maturity = c.maturity - 1
     LEFT JOIN fx_curve_monthly r ON r.date = c.date AND r.maturity = 7
     WHERE c.maturity = 12""", "fx_curve_monthly")
 def q_excess1(fx):
     one = F.when(F.col("maturity") == 7, 1).otherwise(F.col("maturity")).cast("int")
-    return CV.excess_returns(fx.curve_monthly.withColumn("maturity", one), 1).withColumn("rx", C.rnd("rx", 8))
+    return CV.excess_returns(fx.curve_monthly.withColumn("maturity", one), 1).withColumn("rx", C.rnd("rx", 10))
 
 
 @query("curve_ingest", """
@@ -378,10 +378,10 @@ def q_curve_ingest(fx):
 
 
 @query("rolling_mean", """
-    SELECT date, maturity, round(avg(y) OVER (PARTITION BY maturity ORDER BY date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), 8) + 0 AS y_smooth
+    SELECT date, maturity, round(avg(y) OVER (PARTITION BY maturity ORDER BY date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), 10) + 0 AS y_smooth
     FROM fx_curve""", "fx_curve")
 def q_rolling(fx):
-    return fx.curve.select("date", "maturity", C.rnd(T.rolling_mean("y", ["maturity"], 6), 8).alias("y_smooth"))
+    return fx.curve.select("date", "maturity", C.rnd(T.rolling_mean("y", ["maturity"], 6), 10).alias("y_smooth"))
 
 
 add_view("fx_block", """
@@ -394,24 +394,24 @@ def block(fx):
     return T.block_composite(dense(fx))
 
 
-@query("block_composite", "SELECT date, grp, round(value, 8) + 0 AS value FROM fx_block", "fx_block")
+@query("block_composite", "SELECT date, grp, round(value, 10) + 0 AS value FROM fx_block", "fx_block")
 def q_block(fx):
-    return block(fx).withColumn("value", C.rnd("value", 8))
+    return block(fx).withColumn("value", C.rnd("value", 10))
 
 
 @query("category_average", """
-    SELECT date, grp, round(avg(z), 8) + 0 AS value FROM (
+    SELECT date, grp, round(avg(z), 10) + 0 AS value FROM (
       SELECT date, grp, CASE WHEN value IS NOT NULL THEN coalesce((value - avg(value) OVER s)/nullif(stddev_pop(value) OVER s, 0), 0) END AS z
       FROM fx_dense WINDOW s AS (PARTITION BY series)) q GROUP BY date, grp""", "fx_dense")
 def q_category(fx):
-    return T.category_average(dense(fx)).withColumn("value", C.rnd("value", 8))
+    return T.category_average(dense(fx)).withColumn("value", C.rnd("value", 10))
 
 
 COARSE = {"1-URGENT": "fast", "2-HIGH": "fast", "3-MEDIUM": "slow", "5-LOW": "slow"}
 
 
 @query("coarse_composite", """
-    SELECT date, coarse, round(avg(z), 8) + 0 AS value FROM (
+    SELECT date, coarse, round(avg(z), 10) + 0 AS value FROM (
       SELECT date, CASE WHEN grp IN ('1-URGENT','2-HIGH') THEN 'fast' ELSE 'slow' END AS coarse,
              coalesce((value - avg(value) OVER s)/nullif(stddev_pop(value) OVER s, 0), 0) AS z
       FROM fx_dense WHERE grp <> '4-NOT SPECIFIED' WINDOW s AS (PARTITION BY series)) q GROUP BY date, coarse""", "fx_dense")
@@ -419,7 +419,7 @@ def q_coarse(fx):
     from ..operators.grouping import coarse_composite
 
     mapping = fx.rows(list(COARSE.items()), "grp string, coarse string")
-    return coarse_composite(dense(fx), mapping).withColumn("value", C.rnd("value", 8))
+    return coarse_composite(dense(fx), mapping).withColumn("value", C.rnd("value", 10))
 
 
 add_view("fx_jumps", """

@@ -51,9 +51,9 @@ def benches(fx: Fixtures):
 
 for _k in B.BENCHMARKS:
     def _register(kind: str) -> None:
-        @query(f"bench_{kind}", f"SELECT date, maturity, round({kind}, 8) + 0 AS bench FROM fx_bench", "fx_bench")
+        @query(f"bench_{kind}", f"SELECT date, maturity, round({kind}, 10) + 0 AS bench FROM fx_bench", "fx_bench")
         def q_bench(fx):
-            return B.with_benchmarks(truth(fx), M, GAP, 12, 24, kinds=[kind]).select("date", "maturity", C.rnd(kind, 8).alias("bench"))
+            return B.with_benchmarks(truth(fx), M, GAP, 12, 24, kinds=[kind]).select("date", "maturity", C.rnd(kind, 10).alias("bench"))
 
     _register(_k)
 
@@ -141,7 +141,7 @@ HAC = "g0 + " + " + ".join(f"2*(1 - {k}/13e0)*g{k}" for k in range(1, 13))
 
 
 def cw_sql(keys: str, view: str) -> str:
-    return f"""SELECT {keys}, n, round(mean, 8) + 0 AS mean, round(t, 6) + 0 AS t_stat, round({t_tail_sql('t', 'n - 1')}, 6) + 0 AS p_value
+    return f"""SELECT {keys}, n, round(mean, 10) + 0 AS mean, round(t, 6) + 0 AS t_stat, round({t_tail_sql('t', 'n - 1')}, 6) + 0 AS p_value
         FROM (SELECT {keys}, n, mean, CASE WHEN {HAC} > 0 THEN mean*n/sqrt({HAC}) END AS t FROM ({moments_sql(keys, view, CW, 12)}) m) q"""
 
 
@@ -153,7 +153,7 @@ def rounded(df, **digits):
 
 @query("clark_west", cw_sql("model, maturity", "fx_scored"), "fx_scored")
 def q_cw(fx):
-    return rounded(G.clark_west(scored(fx), MM), mean=8, t_stat=6, p_value=6)
+    return rounded(G.clark_west(scored(fx), MM), mean=10, t_stat=6, p_value=6)
 
 
 def hln_sql(h: int) -> str:
@@ -174,11 +174,11 @@ LOSS_DIFF = "pow(y - bench, 2) - pow(y - y_hat, 2)"
 
 
 @query("dm_hln", f"""
-    SELECT model, maturity, n, round(mean, 8) + 0 AS mean, round(dm_stat, 6) + 0 AS dm_stat, round({t_tail_sql('dm_stat', 'n - 1')}, 6) + 0 AS p_value
+    SELECT model, maturity, n, round(mean, 10) + 0 AS mean, round(dm_stat, 6) + 0 AS dm_stat, round({t_tail_sql('dm_stat', 'n - 1')}, 6) + 0 AS p_value
     FROM ({dm_sql('model, maturity', 'fx_scored', LOSS_DIFF, 4)}) q""", "fx_scored")
 def q_dm(fx):
     d = scored(fx).withColumn("d", S.sq("y", "bench") - S.sq("y", "y_hat"))
-    return rounded(G.dm_hln(d, MM, "d", 4), mean=8, dm_stat=6, p_value=6)
+    return rounded(G.dm_hln(d, MM, "d", 4), mean=10, dm_stat=6, p_value=6)
 
 
 add_view("fx_pairs", """
@@ -189,12 +189,12 @@ add_view("fx_pairs", """
 
 
 @query("dm_matrix", f"""
-    SELECT maturity, model_a, model_b, n, round(mean, 8) + 0 AS mean, round(s, 6) + 0 AS dm_stat, round(1 - {t_tail_sql('s', 'n - 1')}, 6) + 0 AS p_value
+    SELECT maturity, model_a, model_b, n, round(mean, 10) + 0 AS mean, round(s, 6) + 0 AS dm_stat, round(1 - {t_tail_sql('s', 'n - 1')}, 6) + 0 AS p_value
     FROM (SELECT *, CASE WHEN {hln_sql(4)} > 0 AND {lrv_sql(4)} > 0 THEN sqrt({hln_sql(4)})*mean/sqrt({lrv_sql(4)}/n) END AS s
           FROM ({moments_sql('maturity, model_a, model_b', 'fx_pairs', 'd', 3)}) m) q""", "fx_pairs")
 def q_dm_matrix(fx):
     rows = fx.models.join(fx.curve, ["date", "maturity"])
-    return rounded(G.dm_pairs(rows, "maturity", "model", 4), mean=8, dm_stat=6, p_value=6)
+    return rounded(G.dm_pairs(rows, "maturity", "model", 4), mean=10, dm_stat=6, p_value=6)
 
 
 # ---- regimes ----------------------------------------------------------------------------------
@@ -212,12 +212,12 @@ def flagged(fx: Fixtures):
          p AS (SELECT f.maturity, k.r, f.y, row_number() OVER (PARTITION BY f.maturity, k.r ORDER BY md5(concat(CAST(f.date AS VARCHAR), '|', CAST(k.r AS VARCHAR)))) AS rn
                FROM fx_flagged f CROSS JOIN (SELECT unnest(range(1, 1000)) AS r) k),
          d AS (SELECT p.maturity, r, sum(y) FILTER (WHERE rn <= ni)/max(ni) - sum(y) FILTER (WHERE rn > ni)/(max(n) - max(ni)) AS nd FROM p JOIN o ON o.maturity = p.maturity GROUP BY 1,2)
-    SELECT o.maturity, CAST(ni AS INTEGER) AS n_in, CAST(n - ni AS INTEGER) AS n_out, round(mi, 8) + 0 AS mean_in, round(mo, 8) + 0 AS mean_out, round(ms, 8) + 0 AS sample_mean,
-           round(mi - mo, 8) + 0 AS diff, round(x.p, 6) + 0 AS perm_p
+    SELECT o.maturity, CAST(ni AS INTEGER) AS n_in, CAST(n - ni AS INTEGER) AS n_out, round(mi, 10) + 0 AS mean_in, round(mo, 10) + 0 AS mean_out, round(ms, 10) + 0 AS sample_mean,
+           round(mi - mo, 10) + 0 AS diff, round(x.p, 6) + 0 AS perm_p
     FROM o JOIN (SELECT d.maturity, avg(CASE WHEN abs(nd) >= abs(mi - mo) THEN 1e0 ELSE 0e0 END) AS p FROM d JOIN o ON o.maturity = d.maturity GROUP BY 1) x ON x.maturity = o.maturity""", "fx_flagged")
 def q_perm(fx):
     out = G.permutation_test(flagged(fx), M, "y", "flag", 999)
-    return rounded(out, mean_in=8, mean_out=8, sample_mean=8, diff=8, perm_p=6)
+    return rounded(out, mean_in=10, mean_out=10, sample_mean=10, diff=10, perm_p=6)
 
 
 def normal_tail_sql(z: str) -> str:
@@ -233,17 +233,17 @@ def normal_tail_sql(z: str) -> str:
                       sum(rk) FILTER (WHERE flag) AS rs, CAST(sum(ties*ties - 1) AS DOUBLE) AS t FROM r GROUP BY 1),
          u AS (SELECT *, rs - n1*(n1 + 1)/2 AS u FROM g),
          z AS (SELECT *, (greatest(u, n1*n2 - u) - n1*n2/2 - 0.5e0)/sqrt(n1*n2/12*((n1 + n2 + 1) - t/((n1 + n2)*(n1 + n2 - 1)))) AS z FROM u)
-    SELECT maturity, round(mi, 8) + 0 AS mean_in, round(mo, 8) + 0 AS mean_out, round(di, 8) + 0 AS median_in, round(dno, 8) + 0 AS median_out, CAST(n1 AS BIGINT) AS n_in, CAST(n2 AS BIGINT) AS n_out,
-           u AS u_stat, round(mi - mo, 8) + 0 AS mean_diff, round(least(1, 2*{normal_tail_sql('z')}), 6) + 0 AS p_value FROM z""", "fx_flagged")
+    SELECT maturity, round(mi, 10) + 0 AS mean_in, round(mo, 10) + 0 AS mean_out, round(di, 10) + 0 AS median_in, round(dno, 10) + 0 AS median_out, CAST(n1 AS BIGINT) AS n_in, CAST(n2 AS BIGINT) AS n_out,
+           u AS u_stat, round(mi - mo, 10) + 0 AS mean_diff, round(least(1, 2*{normal_tail_sql('z')}), 6) + 0 AS p_value FROM z""", "fx_flagged")
 def q_mw(fx):
-    return rounded(G.mann_whitney(flagged(fx), M, "y", "flag"), mean_in=8, mean_out=8, median_in=8, median_out=8, mean_diff=8, p_value=6)
+    return rounded(G.mann_whitney(flagged(fx), M, "y", "flag"), mean_in=10, mean_out=10, median_in=10, median_out=10, mean_diff=10, p_value=6)
 
 
 @query("episode_means", """
-    SELECT c.maturity, r.episode, round(avg(c.y), 8) + 0 AS mean, CAST(count(*) AS BIGINT) AS n_months
+    SELECT c.maturity, r.episode, round(avg(c.y), 10) + 0 AS mean, CAST(count(*) AS BIGINT) AS n_months
     FROM fx_curve c JOIN fx_regimes r ON c.date BETWEEN last_day(r.start_date) AND last_day(r.end_date) GROUP BY 1,2""", "fx_curve fx_regimes")
 def q_episode(fx):
-    return rounded(G.episode_means(fx.curve, M, "y", R.regime_months(fx.regimes)), mean=8)
+    return rounded(G.episode_means(fx.curve, M, "y", R.regime_months(fx.regimes)), mean=10)
 
 
 # ---- score tables -----------------------------------------------------------------------------
@@ -364,12 +364,12 @@ def q_variants(fx):
 
 # ---- ensembles --------------------------------------------------------------------------------
 
-ENS = "SELECT date, maturity, round(avg(y_hat), 8) + 0 AS y_hat, CAST(count(*) AS BIGINT) AS members FROM {v} GROUP BY 1,2"
+ENS = "SELECT date, maturity, round(avg(y_hat), 10) + 0 AS y_hat, CAST(count(*) AS BIGINT) AS members FROM {v} GROUP BY 1,2"
 add_view("fx_topk", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY date, maturity ORDER BY val_loss, seed) AS rank FROM fx_forecast) q WHERE rank <= 5", "fx_forecast")
 
 
 def ensemble(members):
-    return rounded(E.combine(members), y_hat=8)
+    return rounded(E.combine(members), y_hat=10)
 
 
 @query("topk_val_loss", ENS.format(v="fx_topk"), "fx_topk")
@@ -428,10 +428,10 @@ def q_total_trailing(fx):
 
 
 @query("topk_multi_k", " UNION ALL ".join(f"""
-    SELECT date, maturity, {k} AS k, round(avg(y_hat), 8) + 0 AS y_hat FROM (SELECT *, row_number() OVER (PARTITION BY date, maturity ORDER BY val_loss, seed) AS rank FROM fx_forecast) q{k}
+    SELECT date, maturity, {k} AS k, round(avg(y_hat), 10) + 0 AS y_hat FROM (SELECT *, row_number() OVER (PARTITION BY date, maturity ORDER BY val_loss, seed) AS rank FROM fx_forecast) q{k}
     WHERE rank <= {k} GROUP BY 1,2""" for k in [1, 3, 5, 10]), "fx_forecast")
 def q_multi(fx):
-    return rounded(E.combine_many_k(E.rank_by(fx.forecast, "val_loss"), [1, 3, 5, 10]), y_hat=8)
+    return rounded(E.combine_many_k(E.rank_by(fx.forecast, "val_loss"), [1, 3, 5, 10]), y_hat=10)
 
 
 @query("topk_winsorized", """
@@ -441,14 +441,14 @@ def q_multi(fx):
     """ + ENS.format(v="w"), "fx_topk fx_forecast")
 def q_winsor(fx):
     cube = fx.shared(fx.forecast)
-    return rounded(E.combine_winsorised(E.members_by_validation(cube, 5), cube, 0.05, 0.95), y_hat=8)
+    return rounded(E.combine_winsorised(E.members_by_validation(cube, 5), cube, 0.05, 0.95), y_hat=10)
 
 
 @query("expanding_quantiles", """
-    SELECT d.date, round(quantile_cont(f.y_hat, 0.001), 8) + 0 AS lo, round(quantile_cont(f.y_hat, 0.999), 8) + 0 AS hi
+    SELECT d.date, round(quantile_cont(f.y_hat, 0.001), 10) + 0 AS lo, round(quantile_cont(f.y_hat, 0.999), 10) + 0 AS hi
     FROM (SELECT DISTINCT date FROM fx_forecast) d JOIN fx_forecast f ON f.date <= d.date GROUP BY 1""", "fx_forecast")
 def q_quantiles(fx):
-    return rounded(E.expanding_quantiles(fx.shared(fx.forecast), "y_hat", {"lo": 0.001, "hi": 0.999}), lo=8, hi=8)
+    return rounded(E.expanding_quantiles(fx.shared(fx.forecast), "y_hat", {"lo": 0.001, "hi": 0.999}), lo=10, hi=10)
 
 
 @query("ensemble_turnover", """

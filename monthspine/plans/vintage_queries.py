@@ -209,12 +209,12 @@ def vpanels(fx: Fixtures, diagonal: bool = False):
 
 
 @query("derived_ratio", """
-    SELECT forecast_date, date, series, round(value, 8) + 0 AS value FROM fx_asof_series WHERE series = '6-RATIO' AND value IS NOT NULL""", "fx_asof_series")
+    SELECT forecast_date, date, series, round(value, 10) + 0 AS value FROM fx_asof_series WHERE series = '6-RATIO' AND value IS NOT NULL""", "fx_asof_series")
 def q_ratio(fx):
     sel = V.vintage_selection(fdates(fx), fx.archive.select("vintage_month"))
     ratio = fx.registry.where(F.col("kind") == "derived_formula")
     cells = V.asof_cells(fx.stored_history, ratio, sel, "1995-07-31", "2001-09-30", "1995-11-30")
-    return cells.where(F.col("value").isNotNull()).withColumn("value", C.rnd("value", 8))
+    return cells.where(F.col("value").isNotNull()).withColumn("value", C.rnd("value", 10))
 
 
 @query("archive_fallback", """
@@ -489,13 +489,13 @@ def q_refit(fx):
 
 
 @query("paired_gain", """
-    SELECT a.date, a.maturity, a.y_hat AS y_a, b.y_hat AS y_b, round(a.y_hat - b.y_hat, 8) + 0 AS gain
+    SELECT a.date, a.maturity, a.y_hat AS y_a, b.y_hat AS y_b, round(a.y_hat - b.y_hat, 10) + 0 AS gain
     FROM fx_models a LEFT JOIN fx_models b ON b.date = a.date AND b.maturity = a.maturity AND b.model = 'm1' WHERE a.model = 'm0'""", "fx_models")
 def q_gain(fx):
     from ..operators.scoring import paired_gain
 
     return paired_gain(fx.models, ["date", "maturity"], "model", "m0", "m1", "y_hat").select(
-        "date", "maturity", F.col("a").alias("y_a"), F.col("b").alias("y_b"), C.rnd("gain", 8).alias("gain"))
+        "date", "maturity", F.col("a").alias("y_a"), F.col("b").alias("y_b"), C.rnd("gain", 10).alias("gain"))
 
 
 @query("topk_semi", """
