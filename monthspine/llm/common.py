@@ -113,6 +113,14 @@ def bounded_sample(df: DataFrame, rows: int, key: Column) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1_000_000)) < int(1_000_000 * rows / n))
 
 
+def unused_prefix(df: DataFrame, *names: str) -> str:
+    """Underscores that make all the names differ from the columns of ``df``."""
+    taken, prefix = {c.lower() for c in df.columns}, "_"
+    while any(prefix + n.lower() in taken for n in names):
+        prefix += "_"
+    return prefix
+
+
 def shared_folder(spark: SparkSession, tag: str) -> str:
     """A new folder below the cluster's shared checkpoint folder."""
     return posixpath.join(ensure_checkpoint_dir(spark), f"{tag}-{uuid.uuid4().hex}")

@@ -67,12 +67,14 @@ def mix_sources(
     source_col: str = "source",
     seed: int = 7,
     keep: tuple[str, ...] = (),
+    prefix: str = "",
 ) -> DataFrame:
     """One row per document: id, source, size, source_size, target, copies (whole copies the mix takes), taken = copies * size.
 
     Null text: size 0. A null source is a source of its own. A document without words takes the certain copies only.
     Rows with one id share one random number and are ranked by size after it; the same rows give the same mix in every
-    run. ``keep`` are further columns to carry. An empty table gives no row.
+    run. ``keep`` are further columns to carry; ``prefix`` is put before the names of the added ones. An empty table gives
+    no row.
     """
     rename = {c: f"k_{c}" for c in keep}
     sized = docs.select(
@@ -120,11 +122,7 @@ def mix_sources(
         F.col("id").alias(id_col),
         F.col("source").alias(source_col),
         *[F.col(k).alias(c) for c, k in rename.items()],
-        "size",
-        "source_size",
-        "target",
-        "copies",
-        "taken",
+        *[F.col(c).alias(prefix + c) for c in ("size", "source_size", "target", "copies", "taken")],
     )
 
 

@@ -67,7 +67,7 @@ def test_given_table(spark):
 
 
 def test_carried_columns_and_empty_tables(spark, skewed):
-    out = M.mix_sources(spark, skewed.withColumnRenamed("size", "target"), keep=("doc_id", "target") and ("text",))
+    out = M.mix_sources(spark, skewed.withColumnRenamed("size", "target"), keep=("text",))
     assert out.columns[:3] == ["doc_id", "source", "text"]
     empty = spark.createDataFrame([], skewed.schema)
     assert M.mix_sources(spark, empty).collect() == []
