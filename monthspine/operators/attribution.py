@@ -63,6 +63,14 @@ def shapley(coalitions: DataFrame, keys: list[str], n: int) -> DataFrame:
     return rows.groupBy(*keys, "player").agg(F.sum(share * F.col("v")).alias("phi"))
 
 
+def over_seeds(phi: DataFrame, keys: list[str]) -> DataFrame:
+    """Shapley values solved seed by seed, averaged: mean, size of the mean, spread over seeds and their number."""
+    mean = F.avg("phi")
+    return phi.groupBy(*keys, "player").agg(
+        mean.alias("mean_shap"), F.abs(mean).alias("abs_mean_shap"), F.stddev_pop("phi").alias("std_shap"), F.count("*").alias("n_seeds")
+    )
+
+
 def additivity(coalitions: DataFrame, phi: DataFrame, keys: list[str], n: int, scale: float = 1.0, shift: float = 0.0) -> DataFrame:
     """Base value, prediction and what the attributions leave unexplained."""
     ends = coalitions.where(F.col("bits").isin(0, (1 << n) - 1)).groupBy(*keys).agg(

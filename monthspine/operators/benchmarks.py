@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
@@ -40,25 +40,22 @@ def random_walk(y: str, keys: list[str], gap: int = 0) -> Column:
 def with_ewma(df: DataFrame, keys: list[str], y: str = "y", halflife: float = 60, out: str = "ewma") -> DataFrame:
     """Exponentially weighted mean of all previous outcomes, seeded with the first.
 
-    Closed form over prefix sums of y(i) * decay^-i. With fewer than two months of half-life those
-    powers may leave the double range, so the prefix is folded as an array instead.
+    Closed form over prefix sums of y(i) * decay^-i, in runs of 500 half-lives of rows: powers start anew in each run, so
+    none leaves the double range, and older runs than the one before weigh less than a double's last bit.
     """
     alpha = 1.0 - math.exp(-math.log(2.0) / halflife)
-    decay = 1.0 - alpha
+    decay, run = 1.0 - alpha, max(2, int(500 * halflife))
     past = training_rows(keys, 0)
-    if halflife >= 2:
-        i = (F.row_number().over(by_date(keys)) - 1).cast("double")
-        d = df.withColumn("_i", i)
-        weighted = F.when(F.col("_i") == 0, F.col(y)).otherwise(F.lit(alpha) * F.col(y) * F.pow(F.lit(decay), -F.col("_i")))
-        d = d.withColumn("_w", weighted)
-        value = F.sum("_w").over(past) * F.pow(F.lit(decay), F.col("_i") - 1)
-        return d.withColumn(out, complete(y, past, value)).drop("_i", "_w")
-    d = df.withColumn("_ys", F.collect_list(y).over(past))
-    fold = F.aggregate(
-        F.slice("_ys", F.lit(2), F.greatest(F.size("_ys") - 1, F.lit(0))), F.get("_ys", F.lit(0)),
-        lambda a, x: F.lit(alpha) * x + F.lit(decay) * a,
-    )
-    return d.withColumn(out, complete(y, past, fold)).drop("_ys")
+    d = df.withColumn("_i", F.row_number().over(by_date(keys)) - 1).withColumn("_run", F.floor(F.col("_i") / run))
+    place = (F.col("_i") % run).cast("double")
+    scaled = F.when(F.col("_i") == 0, F.col(y)).otherwise(F.lit(alpha) * F.col(y)) * F.pow(F.lit(decay), -place)
+    d = d.withColumn("_w", scaled)
+    inside = Window.partitionBy(*keys, "_run").orderBy("date")
+    d = d.withColumn("_own", F.coalesce(F.sum("_w").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    d = d.withColumn("_all", F.sum("_w").over(Window.partitionBy(*keys, "_run")))
+    before = F.coalesce(F.lag("_all", run).over(by_date(keys)), F.lit(0.0)) * F.pow(F.lit(decay), F.lit(float(run)))
+    value = (F.col("_own") + before) * F.pow(F.lit(decay), place - 1)
+    return d.withColumn(out, complete(y, past, value)).drop("_i", "_run", "_w", "_own", "_all")
 
 
 def with_ar1(df: DataFrame, keys: list[str], y: str = "y", out: str = "ar1") -> DataFrame:

@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.calendar import shift_months
-
-
 def log_price(maturity: Column | str, y: Column | str) -> Column:
     m = F.col(maturity) if isinstance(maturity, str) else maturity
     v = F.col(y) if isinstance(y, str) else y
@@ -29,36 +26,45 @@ def forward_rates(curve: DataFrame, step: int = 12, longest: int = 120) -> DataF
     )
 
 
+def _quoted(curve: DataFrame, horizon: int) -> Column:
+    """All quoted maturities as one scalar array; the query fails when no excess return can be formed from them."""
+    ms = F.col("ms")
+    pair = F.exists(ms, lambda m: (m > horizon) & F.array_contains(ms, m - horizon))
+    checked = (
+        F.when(~F.array_contains(ms, horizon), F.raise_error(F.lit(f"the {horizon}-month yield is missing")).cast("array<int>"))
+        .when(~pair, F.raise_error(F.lit(f"no maturity pair (m, m-{horizon}) in the curve")).cast("array<int>"))
+        .otherwise(ms)
+    )
+    return curve.agg(F.collect_set(F.col("maturity").cast("int")).alias("ms")).select(checked).scalar()
+
+
 def excess_returns(curve: DataFrame, horizon: int = 12, longest: int = 120) -> DataFrame:
     """Return from holding maturity m for ``horizon`` months over the riskless yield.
 
-    Dated at purchase; NULL while the sale lies beyond the sample. Whole-year maturities whose
-    residual maturity is also quoted. The later curve is joined on (purchase date, maturity).
+    Dated at purchase; NULL while the sale lies beyond the sample. Whole-year maturities whose residual maturity is also
+    quoted; the query fails when there is none. Month plus maturity names a bond, whose later price is in its own rows.
     """
-    later = curve.select(
-        shift_months("date", -horizon).alias("date"),
-        (F.col("maturity") + horizon).alias("maturity"),
-        log_price("maturity", "y").alias("lp_sale"),
-    )
-    riskless = curve.where(F.col("maturity") == horizon).select(
-        "date", (F.lit(horizon / 12.0) * F.col("y")).alias("rf")
+    month = F.year("date") * 12 + F.month("date")
+    bond = Window.partitionBy(month + F.col("maturity")).orderBy(month).rangeBetween(horizon, horizon)
+    day = Window.partitionBy("date")
+    price = log_price("maturity", "y")
+    priced = curve.select(
+        "date",
+        "maturity",
+        price.alias("lp"),
+        F.max(price).over(bond).alias("lp_sale"),
+        (F.lit(horizon / 12.0) * F.max(F.when(F.col("maturity") == horizon, F.col("y"))).over(day)).alias("rf"),
     )
-    traded = curve.select((F.col("maturity") + horizon).alias("maturity")).distinct()
-    held = curve.where((F.col("maturity") > horizon) & (F.col("maturity") % 12 == 0) & (F.col("maturity") <= longest))
-    return (
-        held.join(traded, "maturity", "left_semi")
-        .join(later, ["date", "maturity"], "left")
-        .join(riskless, "date", "left")
-        .select(
-            "date", "maturity",
-            (F.col("lp_sale") - log_price("maturity", "y") - F.col("rf")).alias("rx"),
-        )
+    residual = (F.col("maturity") - horizon).cast("int")
+    held = priced.where((F.col("maturity") > horizon) & (F.col("maturity") % 12 == 0) & (F.col("maturity") <= longest))
+    return held.where(F.array_contains(_quoted(curve, horizon), residual)).select(
+        "date", "maturity", (F.col("lp_sale") - F.col("lp") - F.col("rf")).alias("rx")
     )
 
 
 def require_maturities(curve: DataFrame, horizon: int) -> None:
-    """Fail when no excess return can be formed for ``horizon``."""
-    ms = {r[0] for r in curve.select("maturity").distinct().limit(2000).collect()}
+    """Fail now when no excess return can be formed for ``horizon``."""
+    ms = set(curve.agg(F.collect_set("maturity").alias("ms")).first()["ms"])
     if horizon not in ms:
         raise ValueError(f"the {horizon}-month yield is missing")
     if not any(m > horizon and m - horizon in ms for m in ms):

@@ -66,7 +66,7 @@ def permutation_test(df: DataFrame, keys: list[str], value: str, flag: str, roun
     """Permutation test of the difference of means inside and outside a regime.
 
     Round r orders a key's months by md5(date|r) and calls the first n_in of them inside. Months per
-    key are one array and rounds are rows, so no permuted row is shuffled.
+    key are one array that is sent once for each run of rounds; no permuted row is shuffled.
     """
     rows = df.where(F.col(value).isNotNull())
     g = rows.groupBy(*keys).agg(
@@ -77,13 +77,15 @@ def permutation_test(df: DataFrame, keys: list[str], value: str, flag: str, roun
         F.avg(F.when(~F.col(flag), F.col(value))).alias("mean_out"),
         F.avg(value).alias("sample_mean"),
     ).where((F.col("n_in") > 0) & (F.col("n_out") > 0)).withColumn("diff", F.col("mean_in") - F.col("mean_out"))
-    one = g.select(*keys, "_xs", "n_in", "n_out", "diff", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("_r"))
+    one = g.select(*keys, "_xs", "n_in", "n_out", "diff", F.explode(F.sequence(F.lit(0), F.lit((rounds - 1) // 32))).alias("_c"))
     order = F.transform(
         "_xs", lambda x: F.struct(F.md5(F.concat(x["d"], F.lit("|"), F.col("_r").cast("string"))).alias("k"), x["v"].alias("v"))
     )
-    # little data, much work: a fixed number of partitions keeps the rounds on all cores
+    # a series travels once for 32 rounds, which are told apart after the shuffle
+    first = F.col("_c") * 32 + 1
+    mine = F.explode(F.sequence(first, F.least(first + 31, F.lit(rounds)))).alias("_r")
     cores = df.sparkSession.sparkContext.defaultParallelism
-    spread = one.repartition(cores, *keys, "_r").withColumn("_o", F.sort_array(order))
+    spread = one.repartition(cores, *keys, "_c").select("*", mine).withColumn("_o", F.sort_array(order))
     head = F.slice("_o", F.lit(1), F.col("n_in"))
     tail = F.slice("_o", F.col("n_in") + 1, F.col("n_out"))
     add = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x["v"])

@@ -109,11 +109,17 @@ def combine_roles(values: DataFrame, keys: list[str], value: str = "value") -> D
     ).select(*keys, F.coalesce("_d", ratio(F.col("_n"), F.col("_q"))).alias("value"))
 
 
-def asof_cells(history: DataFrame, registry: DataFrame, selection: DataFrame, first: str, last: str, start: str) -> DataFrame:
-    """As-of values of registry series for every forecast date (forecast_date, date, series, value)."""
+def asof_cells(
+    history: DataFrame, registry: DataFrame, selection: DataFrame, first: str, last: str, start: str, months: int | None = None
+) -> DataFrame:
+    """As-of values of registry series for every forecast date (forecast_date, date, series, value).
+
+    ``months`` keeps observations that are so many as-of months old at most; validity is then unfolded over these only.
+    """
     roles = source_roles(registry)
     dates = per_month(selection.select("forecast_date", "as_of"))
-    valid = expand_validity(history, first, last).where(F.col("obs_date") >= F.lit(start).cast("date"))
+    until = last if months is None else F.least(F.lit(last).cast("date"), shift_months("obs_date", months))
+    valid = expand_validity(history, first, until).where(F.col("obs_date") >= F.lit(start).cast("date"))
     cells = (
         valid.join(dates, "as_of")
         .where(F.col("obs_date") <= F.col("forecast_date"))
@@ -166,7 +172,7 @@ def vintage_panels(
         archive.select("vintage_month"),
     )
     warm = shift_literal(start, -2)
-    cells = asof_cells(history, registry, selection, shift_literal(first_date, 1), shift_literal(last_date, 1), warm)
+    cells = asof_cells(history, registry, selection, shift_literal(first_date, 1), shift_literal(last_date, 1), warm, 3 if diagonal else None)
     tagged = fill_from_archive(cells, archive.withColumnRenamed("series_id", "series"), selection, warm)
     if diagonal:
         tagged = tagged.where(months_apart("forecast_date", "date") <= 2)

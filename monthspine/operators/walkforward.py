@@ -336,7 +336,7 @@ def forest_forecast(
     span = data.agg(F.min("m").alias("lo")).first()["lo"]
     number = lambda d: int(d[:4]) * 12 + int(d[5:7])
     params, out = grid[0], None
-    make = lambda p: RandomForestRegressor(seed=seed, **p)
+    make = lambda p: RandomForestRegressor(seed=seed, **{"featureSubsetStrategy": "all", **p})
     for k, (refit, last) in enumerate(fits):
         end = number(refit) - gap - 1
         train = data.where((F.col("m") <= end) & F.col("label").isNotNull())

@@ -160,14 +160,12 @@ def q_agreement(fx):
     return rounded(A.rank_agreement(g, "grp", "signed"), mean_rho=10, min_rho=10)
 
 
-add_view("fx_lead", """
-    SELECT date, maturity, seed, feature, avg(shap_value) AS v FROM fx_attr WHERE feature IN (SELECT feature FROM (SELECT feature, row_number() OVER (ORDER BY round(avg(abs(shap_value)), 9) DESC, feature) AS rn FROM fx_attr GROUP BY 1) q WHERE rn <= 12) GROUP BY 1,2,3,4""", "fx_attr")
+add_view("fx_feature_seed", "SELECT date, maturity, seed, feature, avg(shap_value) AS v FROM fx_attr GROUP BY 1,2,3,4", "fx_attr")
 
 
-@query("rank_agreement_features", agreement_sql("fx_lead", "feature", "v"), "fx_lead")
+@query("rank_agreement_features", agreement_sql("fx_feature_seed", "feature", "v"), "fx_feature_seed")
 def q_agreement_features(fx):
-    lead = A.keep_top_features(fx.attr, 12)
-    return rounded(A.rank_agreement(lead, "feature", "shap_value"), mean_rho=10, min_rho=10)
+    return rounded(A.rank_agreement(fx.attr, "feature", "shap_value"), mean_rho=10, min_rho=10)
 
 
 @query("seed_share_sd", """
@@ -217,7 +215,7 @@ N = len(PLAYERS)
 PLAYER_SQL = "CASE grp " + " ".join(f"WHEN '{g}' THEN {i}" for i, g in enumerate(PLAYERS)) + " END"
 # contributions per date and maturity: block sums of the seed means; background is the maturity's mean
 add_view("fx_contrib", f"""
-    SELECT date, maturity, {PLAYER_SQL} AS player, grp, sum(mean_shap) AS inside FROM fx_sm WHERE maturity IN (24, 60) GROUP BY ALL""", "fx_sm")
+    SELECT date, maturity, {PLAYER_SQL} AS player, grp, sum(mean_shap) AS inside FROM fx_sm GROUP BY ALL""", "fx_sm")
 add_view("fx_players", f"""
     SELECT d.date, d.maturity, p.player, p.grp, coalesce(c.inside, 0e0) AS inside, coalesce(b.outside, 0e0) AS outside
     FROM (SELECT DISTINCT date, maturity FROM fx_contrib) d CROSS JOIN (VALUES {', '.join(f"({i}, '{g}')" for i, g in enumerate(PLAYERS))}) p(player, grp)
@@ -234,17 +232,25 @@ add_view("fx_phi", f"""
 
 
 def players(fx: Fixtures):
-    g = A.with_block(sm(fx)).where(F.col("maturity").isin(24, 60))
+    return player_rows(A.with_block(sm(fx)).withColumnRenamed("mean_shap", "v"), A.CELL)
+
+
+def player_rows(parts, keys: list[str]):
+    """Contributions of all players per cell of ``parts`` (keys, grp, v) and their background; an unknown player fails."""
     at = F.array_position(F.array(*map(F.lit, PLAYERS)), F.col("grp")) - 1
-    contrib = g.groupBy(*A.CELL).pivot("grp", PLAYERS).agg(F.sum("mean_shap"))
-    rows = contrib.unpivot(A.CELL, PLAYERS, "grp", "inside").withColumn("player", at.cast("int"))
-    back = F.avg("inside").over(A.Window.partitionBy("maturity", "player"))
-    return rows.select(*A.CELL, "player", "grp", F.coalesce("inside", F.lit(0.0)).alias("inside"), F.coalesce(back, F.lit(0.0)).alias("outside"))
+    name = F.when(at >= 0, F.col("grp")).otherwise(F.raise_error(F.concat(F.lit("unknown player: "), F.col("grp"))))
+    contrib = parts.withColumn("grp", name).groupBy(*keys).pivot("grp", PLAYERS).agg(F.sum("v"))
+    rows = contrib.unpivot(keys, PLAYERS, "grp", "inside").withColumn("player", at.cast("int"))
+    back = F.avg("inside").over(A.Window.partitionBy(*[k for k in keys if k != "date"], "player"))
+    return rows.select(*keys, "player", "grp", F.coalesce("inside", F.lit(0.0)).alias("inside"), F.coalesce(back, F.lit(0.0)).alias("outside"))
+
+
+def joint_term():
+    return F.when(F.col("bits").bitwiseAND(F.lit(3)) == 3, 10.0 * F.get("_x", F.lit(0)) * F.get("_x", F.lit(1))).otherwise(0.0)
 
 
 def coalitions(fx: Fixtures):
-    joint = F.when(F.col("bits").bitwiseAND(F.lit(3)) == 3, 10.0 * F.get("_x", F.lit(0)) * F.get("_x", F.lit(1))).otherwise(0.0)
-    return A.coalition_values(players(fx), A.CELL, N, joint)
+    return A.coalition_values(players(fx), A.CELL, N, joint_term())
 
 
 @query("coalition_values", "SELECT date, maturity, bits, round(v, 10) + 0 AS v FROM fx_coal", "fx_coal")
@@ -257,6 +263,29 @@ def q_shapley(fx):
     return rounded(A.shapley(coalitions(fx), A.CELL, N), phi=10)
 
 
+add_view("fx_seed_players", f"""
+    WITH c AS (SELECT date, maturity, seed, {PLAYER_SQL} AS player, signed AS inside FROM fx_sg)
+    SELECT d.date, d.maturity, d.seed, p.player, coalesce(c.inside, 0e0) AS inside, coalesce(b.outside, 0e0) AS outside
+    FROM (SELECT DISTINCT date, maturity, seed FROM c) d CROSS JOIN (SELECT CAST(unnest(range({N})) AS INTEGER) AS player) p
+    LEFT JOIN c ON c.date = d.date AND c.maturity = d.maturity AND c.seed = d.seed AND c.player = p.player
+    LEFT JOIN (SELECT maturity, seed, player, avg(inside) AS outside FROM c GROUP BY 1,2,3) b ON b.maturity = d.maturity AND b.seed = d.seed AND b.player = p.player""", "fx_sg")
+# the score is linear but for one joint term, so a player's value is its own gap plus half of what the joint term adds with the other
+add_view("fx_seed_phi", """
+    WITH j AS (SELECT date, maturity, seed, 10e0*max(inside) FILTER (WHERE player = 0)*max(inside) FILTER (WHERE player = 1) AS x FROM fx_seed_players GROUP BY 1,2,3)
+    SELECT k.date, k.maturity, k.seed, k.player, k.inside - k.outside + CASE WHEN k.player < 2 THEN j.x/2 ELSE 0 END AS phi
+    FROM fx_seed_players k JOIN j ON j.date = k.date AND j.maturity = k.maturity AND j.seed = k.seed""", "fx_seed_players")
+
+
+@query("group_shapley_seeds", """
+    SELECT date, maturity, player, round(avg(phi), 9) + 0 AS mean_shap, round(abs(avg(phi)), 9) + 0 AS abs_mean_shap, round(stddev_pop(phi), 9) + 0 AS std_shap, CAST(count(*) AS BIGINT) AS n_seeds
+    FROM fx_seed_phi GROUP BY 1,2,3""", "fx_seed_phi")
+def q_shapley_seeds(fx):
+    keys = [*A.CELL, "seed"]
+    rows = player_rows(groups(fx).withColumnRenamed("signed", "v"), keys)
+    phi = A.shapley(A.coalition_values(rows, keys, N, joint_term()), keys, N)
+    return rounded(A.over_seeds(phi, A.CELL), mean_shap=9, abs_mean_shap=9, std_shap=9)
+
+
 @query("binary_shapley", """
     WITH p AS (SELECT date, maturity, sum(inside) FILTER (WHERE player = 0) AS fi, sum(outside) FILTER (WHERE player = 0) AS fo, sum(inside) FILTER (WHERE player > 0) AS mi, sum(outside) FILTER (WHERE player > 0) AS mo FROM fx_players GROUP BY 1,2),
          v AS (SELECT date, maturity, fo + mo AS v0, fi + mo AS v1, fo + mi AS v2, fi + mi + 10e0*fi*mi AS v3 FROM p)
@@ -286,13 +315,13 @@ def q_background(fx):
 
 
 @query("naive_vs_exact", f"""
-    WITH n AS (SELECT maturity, grp, avg(mass) AS i FROM fx_mass WHERE maturity IN (24, 60) GROUP BY 1,2),
+    WITH n AS (SELECT maturity, grp, avg(mass) AS i FROM fx_mass GROUP BY 1,2),
          e AS (SELECT maturity, CASE player {' '.join(f"WHEN {i} THEN '{g}'" for i, g in enumerate(PLAYERS))} END AS grp, avg(abs(phi)) AS i FROM fx_phi GROUP BY 1,2),
          b AS (SELECT coalesce(n.maturity, e.maturity) AS maturity, coalesce(n.grp, e.grp) AS grp, coalesce(n.i, 0) AS n, coalesce(e.i, 0) AS e FROM n FULL OUTER JOIN e ON n.maturity = e.maturity AND n.grp = e.grp),
          s AS (SELECT maturity, grp, 100*n/sum(n) OVER (PARTITION BY maturity) AS n, 100*e/sum(e) OVER (PARTITION BY maturity) AS e FROM b)
     SELECT maturity, grp, round(n, 6) + 0 AS naive_pct, round(e, 6) + 0 AS exact_pct, round(e - n, 6) + 0 AS diff_pp FROM s""", "fx_mass fx_phi")
 def q_naive_exact(fx):
-    naive = A.group_average(A.group_abs(sm(fx).where(F.col("maturity").isin(24, 60)))).withColumnRenamed("mass", "importance")
+    naive = A.group_average(A.group_abs(sm(fx))).withColumnRenamed("mass", "importance")
     name = F.element_at(F.array(*map(F.lit, PLAYERS)), F.col("player") + 1)
     exact = A.shapley(coalitions(fx), A.CELL, N).groupBy("maturity", name.alias("grp")).agg(F.avg(F.abs("phi")).alias("importance"))
     return rounded(A.compare_aggregations(naive, exact), naive_pct=6, exact_pct=6, diff_pp=6)

@@ -89,14 +89,14 @@ MACRO_GROUPS = [[LAYOUT.cols("macro")[i] for i in range(3 * g, 3 * g + 3)] for g
 
 
 def inputs(fx: Fixtures):
-    """Predictors: forwards, yields and log-difference macro series on the months all have."""
+    """Predictors: forwards, yields and log-difference macro series up to the last month that both tables have."""
     curve = fx.curve
     code = dense(fx).withColumn("tcode", F.lit(5))
-    macro = T.apply_tcodes(code, ["series", "grp"]).withColumn("value", T.ffill_bfill("transformed", ["series", "grp"]))
+    macro = T.apply_tcodes(code, ["series", "grp"]).withColumn("value", T.ffill("transformed", ["series", "grp"]))
     fwd = CV.forward_rates(curve).select("date", F.concat(F.lit("f"), F.col("maturity").cast("string")).alias("name"), F.col("fwd").alias("value"))
     yld = curve.select("date", F.concat(F.lit("y"), F.col("maturity").cast("string")).alias("name"), F.col("y").alias("value"))
-    last = F.lit("2001-08-31").cast("date")
-    features = fwd.unionByName(yld).where(F.col("date") <= last).unionByName(macro.select("date", F.col("series").alias("name"), "value"))
+    last = F.least(curve.select(F.max("date")).scalar(), macro.select(F.max("date")).scalar())
+    features = fwd.unionByName(yld).unionByName(macro.select("date", F.col("series").alias("name"), "value")).where(F.col("date") <= last)
     rx = CV.excess_returns(curve, 12).where(F.col("date") <= last)
     each = rx.select("date", F.concat(F.lit("rx"), F.col("maturity").cast("string")).alias("name"), F.col("rx").alias("value"))
     mean = rx.groupBy("date").agg(F.avg("rx").alias("value")).withColumn("name", F.lit("_mean"))

@@ -269,13 +269,13 @@ def q_revgroup(fx):
 
 
 @query("revision_kendall", """
-    WITH p AS (SELECT * FROM fx_revpairs WHERE ok AND forecast_date IN (DATE '1998-12-31', DATE '2001-08-31')),
+    WITH p AS (SELECT * FROM fx_revpairs WHERE ok),
          t AS (SELECT a.forecast_date, a.series, CAST(sum(sign(a.rt - b.rt)*sign(a.rev - b.rev)) AS DOUBLE) AS s, CAST(sum(abs(sign(a.rt - b.rt))) AS DOUBLE) AS x, CAST(sum(abs(sign(a.rev - b.rev))) AS DOUBLE) AS y
                FROM p a JOIN p b ON a.forecast_date = b.forecast_date AND a.series = b.series AND a.date < b.date GROUP BY 1,2),
          n AS (SELECT forecast_date, series, CAST(count(*) AS BIGINT) AS n FROM p GROUP BY 1,2)
     SELECT n.forecast_date, n.series, n.n, CASE WHEN n.n >= 3 THEN round(s/nullif(sqrt(x)*sqrt(y), 0), 6) + 0 END AS corr FROM n LEFT JOIN t USING (forecast_date, series)""", "fx_revpairs")
 def q_revkendall(fx):
-    p = vpanels(fx).where(F.col("forecast_date").isin("1998-12-31", "2001-08-31")).join(revised(fx), ["date", "series"])
+    p = vpanels(fx).join(revised(fx), ["date", "series"])
     return rounded(K.paired(p, ["forecast_date", "series"], "transformed", "revised", "kendall"), corr=6)
 
 

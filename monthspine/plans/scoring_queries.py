@@ -340,7 +340,7 @@ def q_fragility(fx):
 
 
 @query("variant_comparison", f"""
-    WITH s AS (SELECT CASE WHEN model IN ('m0','m2') THEN 'dense' ELSE 'sparse' END AS macro_source, CASE WHEN model IN ('m0','m1') THEN 'raw' ELSE 'pca' END AS feature_method, * FROM fx_scored WHERE maturity = 60 AND model < 'm4'),
+    WITH s AS (SELECT CASE WHEN model IN ('m0','m2') THEN 'dense' ELSE 'sparse' END AS macro_source, CASE WHEN model IN ('m0','m1') THEN 'raw' ELSE 'pca' END AS feature_method, * FROM fx_scored WHERE maturity = 60),
          a AS ({r2_sql('macro_source, feature_method', 's')}), z AS ({r2_sql('macro_source, feature_method', 's', 'zero')}),
          x AS (SELECT 'dense' AS macro_source, count(*) FILTER (WHERE value IS NULL) AS miss, count(DISTINCT series) AS cols, count(DISTINCT date) AS rows FROM fx_dense
                UNION ALL SELECT 'sparse', count(*) FILTER (WHERE value IS NULL), count(DISTINCT series), count(DISTINCT date) FROM fx_sparse_dense)
@@ -351,7 +351,7 @@ def q_variants(fx):
     from ..operators.quality import panel_shape
     from .panel_queries import dense, sparse_dense
 
-    rows = scored(fx, ["hist_mean", "zero"]).where((F.col("maturity") == 60) & (F.col("model") < "m4")).select(
+    rows = scored(fx, ["hist_mean", "zero"]).where(F.col("maturity") == 60).select(
         "*", F.when(F.col("model").isin("m0", "m2"), "dense").otherwise("sparse").alias("macro_source"),
         F.when(F.col("model").isin("m0", "m1"), "raw").otherwise("pca").alias("feature_method"))
     keys = ["macro_source", "feature_method"]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
@@ -59,16 +61,24 @@ def csv_cells(spark: SparkSession, folder: str, glob: str = "*.csv", sep: str =
     """Cells of many small CSV files whose columns may differ (path, line, column, text).
 
     Every file keeps its own header. One file is one record, as monthly snapshots and result tables
-    are well below a megabyte; the files spread over tasks.
+    are well below a megabyte; the files spread over tasks. Fields in double quotes may hold the separator, line ends and
+    doubled quotes.
     """
+    records = F.regexp_extract_all("value", F.lit(r'((?:[^"\r\n]++|"[^"]*+")++)'))
     files = (
         spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-        .text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split("value", "\r?\n").alias("_l"))
+        .text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), records.alias("_l"))
     )
-    bare = lambda c: F.regexp_replace(F.trim(c), '^"|"$', "")
-    names = F.transform(F.split(F.get("_l", F.lit(0)), sep, -1), bare)
+    mark = re.escape(sep)
+    fields = lambda line: F.regexp_extract_all(F.concat(F.lit(sep), line), F.lit(f'{mark}((?:[^"{mark}]++|"[^"]*+")*+)'))
+
+    def bare(text: Column) -> Column:
+        inner = F.regexp_extract(F.trim(text), r'(?s)^"(.*)"$', 1)
+        return F.when(F.trim(text).rlike(r'(?s)^".*"$'), F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(F.trim(text))
+
+    names = F.transform(fields(F.get("_l", F.lit(0))), bare)
     lines = files.select("path", names.alias("_h"), F.posexplode(F.slice("_l", F.lit(2), F.size("_l"))).alias("line", "_t")).where(F.trim("_t") != "")
-    cells = lines.select("path", "line", F.posexplode(F.arrays_zip("_h", F.split("_t", sep, -1).alias("v"))).alias("_i", "_c"))
+    cells = lines.select("path", "line", F.posexplode(F.arrays_zip("_h", fields(F.col("_t")).alias("v"))).alias("_i", "_c"))
     return cells.select("path", "line", F.col("_i").alias("position"), F.col("_c._h").alias("column"), bare(F.col("_c.v")).alias("text")).where(
         F.col("column").isNotNull() & (F.col("column") != "")
     )

@@ -36,6 +36,16 @@ def test_ewma(spark, halflife):
         e = alpha * Y[t] + (1 - alpha) * e
 
 
+def test_ewma_over_many_half_lives(spark):
+    """Powers would leave the double range after a thousand half-lives."""
+    y = [0.1 + (i * 37 % 101) / 50 for i in range(160)]
+    got = column(B.with_ewma(series(spark, y), ["k"], halflife=0.1), "ewma")
+    alpha, e = 1 - 0.5**10, y[0]
+    for t in range(1, len(y)):
+        assert got[t] == pytest.approx(e, rel=1e-12)
+        e = alpha * y[t] + (1 - alpha) * e
+
+
 def test_ar1_matches_least_norm_regression(spark):
     got = column(B.with_ar1(series(spark, Y), ["k"]), "ar1")
     assert got[:2] == [None, None]

@@ -58,3 +58,19 @@ def test_same_selection_gives_the_same_ensemble(cube):
 def test_turnover(spark, cube, truth):
     got = {str(r.date): r.replaced for r in E.turnover(E.members_by_trailing(cube, truth, 1, 2, 2, 1)).collect()}
     assert [got[d] for d in MONTHS] == [0, 0, 0, 1, 0]
+
+
+def test_quantiles_with_an_outlier(spark):
+    """One huge value must not move the others into one bin, nor change a quantile."""
+    import datetime as dt
+
+    import numpy as np
+
+    days = [dt.date.fromisoformat(shift_literal("2000-01-31", i)) for i in range(12)]
+    rng = np.random.default_rng(4)
+    rows = [(d, float(v)) for d in days for v in rng.normal(size=50)] + [(days[3], 1e9), (days[5], None)]
+    got = E.expanding_quantiles(spark.createDataFrame(rows, "date date, v double"), "v", {"lo": 0.05, "mid": 0.5, "hi": 0.99}).collect()
+    for r in got:
+        seen = [v for d, v in rows if d <= r.date and v is not None]
+        assert (r.lo, r.mid, r.hi) == pytest.approx(tuple(np.quantile(seen, [0.05, 0.5, 0.99])))
+    assert len(got) == 12

@@ -2,7 +2,7 @@ import datetime as dt
 
 import pytest
 
-from monthspine.operators.curve import require_maturities
+from monthspine.operators.curve import excess_returns, require_maturities
 from monthspine.sources import panels as P
 from monthspine.sources import sinks as K
 from monthspine.sources.curves import read_curve
@@ -67,6 +67,8 @@ def test_curve_without_pairs(spark):
     for h in (1, 12):
         with pytest.raises(ValueError):
             require_maturities(curve, h)
+        with pytest.raises(Exception, match="month yield is missing|no maturity pair"):
+            excess_returns(curve, h).collect()
 
 
 def test_runs_with_different_columns(spark, tmp_path):
@@ -99,3 +101,19 @@ def test_transformed_panel_fills_before_it_differences(spark):
 def test_one_table_per_sheet(spark, tmp_path):
     K.write_tables({"tags": spark.range(2), "audit": spark.range(3)}, str(tmp_path))
     assert [K.read_table(spark, str(tmp_path / n)).count() for n in ("tags", "audit")] == [2, 3]
+
+
+def test_quoted_fields_hold_separators_line_ends_and_quotes(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('sasdate,"A, total",B\r\n1/1/2000,"1,5",2\r\n2/1/2000,"say ""x""\nand y",\r\n\r\n')
+    (tmp_path / "b.csv").write_text("sasdate,C\n1/1/2000,7\n")
+    got = {(r.path[-5:], r.line, r.column): r.text for r in P.csv_cells(spark, str(tmp_path)).collect()}
+    assert got == {
+        ("a.csv", 0, "sasdate"): "1/1/2000",
+        ("a.csv", 0, "A, total"): "1,5",
+        ("a.csv", 0, "B"): "2",
+        ("a.csv", 1, "sasdate"): "2/1/2000",
+        ("a.csv", 1, "A, total"): 'say "x"\nand y',
+        ("a.csv", 1, "B"): "",
+        ("b.csv", 0, "sasdate"): "1/1/2000",
+        ("b.csv", 0, "C"): "7",
+    }
