@@ -92,8 +92,10 @@ def expanding_quantiles(df: DataFrame, value: str, qs: dict[str, float], bins: i
     """
     counts = df.where(F.col(value).isNotNull()).groupBy("date", F.col(value).alias("v")).agg(F.count("*").alias("c"))
     # edges from the data, so an outlier cannot empty the other bins; any edges give the exact result
-    edges = counts.select(F.array_distinct(F.percentile_approx("v", [i / bins for i in range(1, bins)] or [1.0], 100 * bins))).scalar()
-    binned = counts.withColumn("_e", edges).withColumn("bin", F.size(F.filter("_e", lambda e: e < F.col("v")))).drop("_e")
+    binned = counts.withColumn("bin", F.lit(0))
+    if bins > 1:
+        edges = counts.select(F.array_distinct(F.percentile_approx("v", [i / bins for i in range(1, bins)], 100 * bins))).scalar()
+        binned = counts.withColumn("_e", edges).withColumn("bin", F.size(F.filter("_e", lambda e: e < F.col("v")))).drop("_e")
     hist = binned.groupBy("bin", "date").agg(F.sum("c").alias("c"))
     full = densify(hist, ["bin"], ["c"])
     grow = Window.partitionBy("bin").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
