@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import fixed_values as fv
+from ..functions import columns as C
 from ..operators import scoring as S
 from ..session import ensure_checkpoint_dir
+from ..sources import curves as CU
 from ..sources import panels as P
 from ..sources import sinks as K
 from .fixtures import Fixtures
@@ -76,3 +80,72 @@ def q_resume(fx):
     part = fx.curve.where((F.col("date") < "1999-01-31") & (F.col("maturity") < 60))
     K.write_dates(part, path)
     return K.pending(fx.curve.select("date", "maturity"), K.read_table(fx.spark, path), ["date", "maturity"])
+
+
+# ---- curve files, registry files, balanced panels, table sets -----------------------------------
+
+
+def text_file(rows: DataFrame, head: list[str], cells: list, path: str) -> None:
+    """One text file: the head lines, then a line per month in order. A curve has twelve rows a year."""
+    body = rows.select(F.col("date").cast("string").alias("k"), F.concat_ws(",", *cells).alias("line"))
+    top = rows.sparkSession.createDataFrame([(f" {i:03d}", line) for i, line in enumerate(head)], "k string, line string")
+    top.unionByName(body).coalesce(1).sortWithinPartitions("k").select("line").write.text(path)
+
+
+@query("curve_files", """
+    SELECT kind, date, maturity, round(y, 10) + 0 AS y FROM fx_curve, (SELECT unnest(['kr', 'lw', 'gsw']) AS kind) k""", "fx_curve")
+def q_curve_files(fx):
+    path, months = folder(fx, "curves"), list(range(12, 85, 12))
+    wide = fx.curve.groupBy("date").pivot("maturity", months).agg(F.max("y"))
+    plain = [F.coalesce(F.col(f"`{m}`").cast("string"), F.lit("")) for m in months]
+    percent = [F.coalesce((100.0 * F.col(f"`{m}`")).cast("string"), F.lit("")) for m in months]
+    day = F.date_format("date", "yyyy-MM-dd")
+    text_file(wide, [",".join(["date", *map(str, months)])], [day, *plain], f"{path}/kr")
+    names = ["yyyymm", *[f"{m}m" for m in months]]
+    text_file(wide, ["% yields", "% in percent", ",".join(names)], [F.date_format("date", "yyyyMM"), *percent], f"{path}/lw")
+    names = ["Date", *[f"SVENY{m // 12:02d}" for m in months]]
+    text_file(wide, [f"Note {i}" for i in range(9)] + [",".join(names)], [day, *percent], f"{path}/gsw")
+    out = None
+    for kind in ("kr", "lw", "gsw"):
+        read = CU.read_curve(fx.spark, f"{path}/{kind}", kind, "1900-01-31", "2199-12-31", months)
+        part = read.select(F.lit(kind).alias("kind"), "date", "maturity", C.rnd("y", 10).alias("y"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("registry_read", """
+    SELECT r.series, r.kind, r.target, r.num, r.den, r.rule, r.lag_mode, r.lag_months, r.lag_schedule, r.tcode, concat('class "', r.grp, '", n ', CAST(p.n AS VARCHAR)) AS revision_class
+    FROM fx_registry r JOIN (SELECT grp, count(*) AS n FROM fx_panel GROUP BY 1) p ON p.grp = coalesce(r.target, r.num)""", "fx_registry fx_panel")
+def q_registry_read(fx):
+    """The registry with the number of months each history has, written as a file and read back."""
+    path = folder(fx, "registry")
+    months = fx.panel.groupBy(F.col("grp").alias("_g")).agg(F.count("*").alias("n"))
+    r = fx.registry.join(months, F.coalesce("target", "num") == F.col("_g"))
+    known = {
+        "mnemonic_hs": "series", "tcode_hs": "tcode", "construction_type": "kind", "target_series_id": "target", "pub_lag_mode": "lag_mode",
+        "pub_lag_months": "lag_months", "pub_lag_schedule_json": "lag_schedule", "release_rule": "rule",
+    }
+    parts = F.when(F.col("num").isNotNull(), F.to_json(F.array("num", "den"))).otherwise("[]")
+    made = {"component_series_ids": parts, "revision_class": F.concat(F.lit('class "'), F.col("grp"), F.lit('", n '), F.col("n").cast("string"))}
+    columns = [made.get(c, F.col(known[c]) if c in known else F.lit("")).cast("string").alias(c) for c in fv.REGISTRY_COLUMNS]
+    r.select(*columns).write.option("header", True).option("escape", '"').csv(path)
+    return P.read_registry(fx.spark, path)
+
+
+@query("balanced_csv", "SELECT date, series, value FROM fx_panel WHERE date BETWEEN DATE '1996-01-31' AND DATE '1998-12-31'", "fx_panel")
+def q_balanced_csv(fx):
+    path = folder(fx, "balanced")
+    wide = fx.panel.groupBy(F.col("date").cast("string").alias("decision_date")).pivot("series", SERIES).agg(F.max("value"))
+    wide.select("decision_date", *[F.col(f"`{s}`").cast("string").alias(s) for s in SERIES]).write.option("header", True).csv(path)
+    return P.read_balanced_csv(fx.spark, path, "1996-01-31", "1998-12-31").where(F.col("value").isNotNull())
+
+
+@query("table_set", """
+    SELECT 'curve' AS name, CAST(maturity AS VARCHAR) AS key, date, round(y, 10) + 0 AS value FROM fx_curve
+    UNION ALL SELECT 'panel', series, date, round(value, 2) + 0 FROM fx_panel""", "fx_curve fx_panel")
+def q_table_set(fx):
+    path = folder(fx, "tables")
+    curve = fx.curve.select(F.col("maturity").cast("string").alias("key"), "date", C.rnd("y", 10).alias("value"))
+    K.write_tables({"curve": curve, "panel": fx.panel.select(F.col("series").alias("key"), "date", C.rnd("value", 2).alias("value"))}, path)
+    read = lambda name: K.read_table(fx.spark, f"{path}/{name}").select(F.lit(name).alias("name"), "key", "date", "value")
+    return read("curve").unionByName(read("panel"))

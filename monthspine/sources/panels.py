@@ -118,3 +118,30 @@ def collect_runs(spark: SparkSession, folder: str, columns: list[str], pattern:
         *[F.col(f"`{c}`").alias(c) for c in columns],
     )
 
+
+def read_registry(spark: SparkSession, path: str) -> DataFrame:
+    """A registry file with its twenty columns, as the operators read it.
+
+    The query fails on a row without a series, a whole transform code or, for a derived series, two components.
+    """
+    schema = ", ".join(f"`{c}` string" for c in fv.REGISTRY_COLUMNS)
+    raw = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("escape", '"').csv(path)
+    text = {c: F.trim(F.coalesce(F.col(f"`{c}`"), F.lit(""))) for c in fv.REGISTRY_COLUMNS}
+    some = lambda c: F.when(text[c] != "", text[c])
+    need = lambda value, what: F.coalesce(value, F.raise_error(F.concat(F.lit(f"registry row without {what}: "), text["mnemonic_hs"])))
+    parts = F.from_json(some("component_series_ids"), "array<string>")
+    derived = text["construction_type"] == "derived_formula"
+    part = lambda i: F.when(derived, need(F.get(parts, F.lit(i)), "two components"))
+    return raw.select(
+        need(some("mnemonic_hs"), "a series").alias("series"),
+        text["construction_type"].alias("kind"),
+        some("target_series_id").alias("target"),
+        part(0).alias("num"),
+        part(1).alias("den"),
+        text["release_rule"].alias("rule"),
+        text["pub_lag_mode"].alias("lag_mode"),
+        some("pub_lag_months").cast("int").alias("lag_months"),
+        text["pub_lag_schedule_json"].alias("lag_schedule"),
+        need(some("tcode_hs").cast("int"), "a transform code").alias("tcode"),
+        text["revision_class"].alias("revision_class"),
+    )
