@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
-from ..functions.calendar import month_end, month_number, months_apart, per_month, release_cutoff, shift_literal, shift_months, with_months
+from ..functions.calendar import RELEASE_RULE_MONTHS, month_end, month_number, months_apart, per_month, release_cutoff, shift_literal, shift_months, with_months
 from ..functions.columns import ratio, to_number
-from .lags import lag_in_force
+from .lags import lag_in_force, longest_lag
 from .panel import densify, latest_at_or_before
 from .transforms import apply_tcodes, ffill
 
@@ -202,13 +202,17 @@ def first_vintages(history: DataFrame) -> DataFrame:
     return history.groupBy("series_id").agg(F.min("realtime_start").alias("first_vintage"))
 
 
-def pick_strict(history: DataFrame, reads: DataFrame, first: str, last: str) -> DataFrame:
+def pick_strict(history: DataFrame, reads: DataFrame, first: str, last: str, fresh: Column | None = None) -> DataFrame:
     """Last observation at or before the cutoff among vintages valid at the decision.
 
     ``reads`` (series_id, rule, plus anything) is a dimension: one row per rule a history is read
-    under.
+    under. ``fresh`` leaves out observations further behind every cutoff than so many months; an open
+    vintage is then unfolded over a few months instead of the rest of the calendar.
     """
-    valid = expand_validity(history, first, last, "decision").join(reads, "series_id")
+    until = last
+    if fresh is not None:
+        until = F.least(F.lit(last).cast("date"), shift_months("obs_date", fresh + max(RELEASE_RULE_MONTHS.values())))
+    valid = expand_validity(history, first, until, "decision").join(reads, "series_id")
     valid = valid.withColumn("cutoff", release_cutoff("decision", "rule")).where(F.col("obs_date") <= F.col("cutoff"))
     # order by observation month, then vintage, packed into one long
     last_seen = (month_number("obs_date") % 100_000).cast("bigint") * 10_000_000_000_000
@@ -291,12 +295,16 @@ def balanced_cascade(
             F.col("role") != "direct",
             lag_in_force("decision", F.col("own_lag.lag_mode"), F.col("own_lag.lag_months"), F.col("own_lag.lag_schedule")),
         )
+        own_most = longest_lag(F.col("own_lag.lag_mode"), F.col("own_lag.lag_months"), F.col("own_lag.lag_schedule"))
     else:
+        own_most = F.lit(fv.DEFAULT_LAG)
         own_lag = F.when(F.col("role") != "direct", F.lit(fv.DEFAULT_LAG))
     limit = F.greatest(staleness_limit(max_gap), F.coalesce(own_lag, F.lit(0)))
     vintaged = F.col("kind").isin("direct_alfred", "derived_formula")
     keep = ["decision", "series", "role", "value"]
-    strict = guard_stale(pick_strict(history, reads.where(vintaged), first, last), max_gap, limit).select(*keep)
+    # a stale pick counts as none here, so observations beyond the largest limit need not be unfolded
+    fresh = reads.agg(F.max(F.greatest(F.lit(max_gap), longest_lag(), own_most))).scalar()
+    strict = guard_stale(pick_strict(history, reads.where(vintaged), first, last, fresh), max_gap, limit).select(*keep)
     latest = pick_latest(history, reads.where(~vintaged), first, last).select(*keep)
     earliest = pick_earliest(history, reads, first, last).select(*keep)
     staged = (
