@@ -137,10 +137,71 @@ PENALISED = {
 }
 
 
+# ---- DuckDB text of the least-squares models: expanding cross products, elimination, back substitution -----------
+
+MACRO_SQL = ", ".join("'" + m + "'" for m in MACRO)
+add_view("fx_design", f"""
+    WITH t AS (SELECT series, date, value > 0 AND lag(value) OVER (PARTITION BY series ORDER BY date) > 0 AS ok FROM fx_dense WHERE series IN ({MACRO_SQL})),
+         known AS (SELECT max(since) AS since, count(*) AS n FROM (SELECT series, min(date) AS since FROM t WHERE ok GROUP BY 1) q),
+         ends AS (SELECT least((SELECT max(date) FROM fx_curve), (SELECT max(date) FROM fx_dense)) AS last),
+         f AS (SELECT c.date, {', '.join(f"max(c.y) FILTER (WHERE c.maturity = {m}) AS y{m}" for m in range(12, 85, 12))} FROM fx_curve c GROUP BY 1),
+         r AS (SELECT date, {', '.join(f"max(rx) FILTER (WHERE maturity = {m}) AS rx{m}" for m in range(24, 85, 12))} FROM fx_rx GROUP BY 1)
+    SELECT f.date, year(f.date)*12 + month(f.date) AS m, f.date >= known.since AND known.n = {len(MACRO)} AS macro_known,
+           {', '.join(f"{m / 12}e0*f.y{m}" + (f" - {m / 12 - 1}e0*f.y{m - 12}" if m > 12 else "") + f" AS f{m}" for m in range(12, 85, 12))},
+           {', '.join(f"r.rx{m}" for m in range(24, 85, 12))}
+    FROM f LEFT JOIN r ON r.date = f.date, known, ends WHERE f.date <= ends.last""", "fx_dense fx_curve fx_rx")
+
+
+def least_squares_sql(width: int, columns: str) -> str:
+    """Fits of all targets on the first ``width`` forwards at every out-of-sample month; x<t>_<i> is coefficient i of target t."""
+    xs = ["1e0", *FWD[:width]]
+    ij = [(i, j) for i in range(width + 1) for j in range(i, width + 1)]
+    it = [(i, t) for i in range(width + 1) for t in range(len(GOALS))]
+    full = " AND ".join(["macro_known", *[f"{c} IS NOT NULL" for c in FWD + GOALS]])
+    sums = [f"sum({xs[i]}*{xs[j]}) AS a{i}_{j}" for i, j in ij] + [f"sum({xs[i]}*{GOALS[t]}) AS b{i}_{t}" for i, t in it]
+    steps = [
+        f"""o AS (SELECT date, m FROM fx_design WHERE date >= DATE '{OOS}'),
+         e0 AS (SELECT o.date, {', '.join(sums)} FROM o JOIN fx_design d ON d.m <= o.m - {WGAP + 1} WHERE {full} GROUP BY o.date)"""
+    ]
+    at = lambda i, j: f"a{min(i, j)}_{max(i, j)}"
+    for k in range(width):
+        a = [f"a{i}_{j} - a{k}_{i}*a{k}_{j}/a{k}_{k} AS a{i}_{j}" if i > k else f"a{i}_{j}" for i, j in ij]
+        b = [f"b{i}_{t} - {at(k, i)}*b{k}_{t}/a{k}_{k} AS b{i}_{t}" if i > k else f"b{i}_{t}" for i, t in it]
+        steps.append(f"e{k + 1} AS (SELECT date, {', '.join(a + b)} FROM e{k})")
+    last = f"e{width}"
+    for i in range(width, -1, -1):
+        new = [f"(b{i}_{t}" + "".join(f" - a{i}_{j}*x{t}_{j}" for j in range(i + 1, width + 1)) + f")/a{i}_{i} AS x{t}_{i}" for t in range(len(GOALS))]
+        steps.append(f"s{i} AS (SELECT *, {', '.join(new)} FROM {last})")
+        last = f"s{i}"
+    return f"WITH {', '.join(steps)} {columns}"
+
+
+def forecast_sql(width: int) -> str:
+    value = lambda t: f"x{t}_0 + " + " + ".join(f"x{t}_{i + 1}*d.{f}" for i, f in enumerate(FWD[:width]))
+    parts = [f"SELECT s0.date, '{g}' AS target, round({value(t)}, 6) + 0 AS y_hat FROM s0 JOIN fx_design d ON d.date = s0.date" for t, g in enumerate(GOALS)]
+    return least_squares_sql(width, " UNION ALL ".join(parts))
+
+
+def importance_sql(width: int) -> str:
+    names = ["(intercept)", *FWD[:width]]
+    size = lambda t, i: f"round(avg(abs(x{t}_{i})), 5) + 0" if i <= width else "0e0"
+    listed = [*enumerate(names), *((width + 1, n) for n in YLD + MACRO)]
+    parts = [f"SELECT '{g}' AS target, '{n}' AS name, {size(t, i)} AS mean_abs, count(*) AS n_refits FROM s0" for t, g in enumerate(GOALS) for i, n in listed]
+    return least_squares_sql(width, " UNION ALL ".join(parts))
+
+
+LEAST_SQUARES = {"fc_linear": len(FWD), "fc_cp": 5}
+
+
 def _linear(name: str, steps: list[tuple]) -> None:
-    @query(name)
-    def q(fx):
-        return forecast(fx, steps)
+    if name in LEAST_SQUARES:
+        @query(name, forecast_sql(LEAST_SQUARES[name]), "fx_design")
+        def checked(fx):
+            return forecast(fx, steps).withColumn("y_hat", C.rnd("y_hat", 6))
+    else:
+        @query(name)
+        def q(fx):
+            return forecast(fx, steps)
 
 
 def _penalised(name: str, kind: str, steps: list[tuple]) -> None:
@@ -166,10 +227,10 @@ _cubic("fc_lasso_factors_cp", "lasso", [CP])
 _cubic("fc_ridge_factors_cp", "ridge", [CP])
 
 
-@query("coef_importance")
+@query("coef_importance", importance_sql(len(FWD)), "fx_design")
 def q_importance(fx):
     rows = design(fx)
-    return W.importance(W.coefficients(rows, LAYOUT, STEPS["fc_linear"], OOS, WGAP), LAYOUT)
+    return W.importance(W.coefficients(rows, LAYOUT, STEPS["fc_linear"], OOS, WGAP), LAYOUT).withColumn("mean_abs", C.rnd("mean_abs", 5))
 
 
 @query("fc_forest")
