@@ -59,10 +59,8 @@ def longest_lag(mode: Column | str = "lag_mode", months: Column | str = "lag_mon
 
 
 def apply_publication_lag(panel: DataFrame, policies: DataFrame) -> DataFrame:
-    """value(d) = source(d - lag): an equi-join on the lagged month; NULL where none exists."""
-    asked = panel.select("series", "date").join(policies, "series", "left").select(
-        "series", "date", lag_in_force("date").alias("lag")
-    )
-    asked = asked.withColumn("obs_date", shift_months("date", -F.col("lag")))
-    source = panel.select("series", F.col("date").alias("obs_date"), "value")
-    return asked.join(source, ["series", "obs_date"], "left").select("date", "series", "lag", "value")
+    """value(d) = source(d - lag), looked up among the series' own months; NULL where none exists."""
+    months = F.map_from_entries(F.collect_list(F.struct("date", "value")))
+    own = panel.groupBy("series").agg(months.alias("_m")).join(policies, "series", "left")
+    asked = own.select("*", F.explode(F.map_keys("_m")).alias("date")).withColumn("lag", lag_in_force("date"))
+    return asked.select("series", "date", "lag", F.try_element_at("_m", shift_months("date", -F.col("lag"))).alias("value"))
