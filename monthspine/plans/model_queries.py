@@ -207,13 +207,13 @@ def _linear(name: str, steps: list[tuple]) -> None:
 def _penalised(name: str, kind: str, steps: list[tuple]) -> None:
     @query(name)
     def q(fx):
-        return forecast(fx, steps, kind, every=6, tune=2)
+        return forecast(fx, steps, kind)
 
 
 def _cubic(name: str, kind: str, lead: list[tuple]) -> None:
     @query(name)
     def q(fx):
-        return W.cubic_forecast(design(fx), LAYOUT, lead, ALL_MACRO, OOS, WGAP, kind, refit_every=6, tune_every=2)
+        return W.cubic_forecast(design(fx), LAYOUT, lead, ALL_MACRO, OOS, WGAP, kind)
 
 
 for _n, _s in STEPS.items():
@@ -227,6 +227,13 @@ _cubic("fc_lasso_factors_cp", "lasso", [CP])
 _cubic("fc_ridge_factors_cp", "ridge", [CP])
 
 
+@query("fc_ridge_cadence")
+def q_cadence(fx):
+    """Refit every third month and tune at every fourth refit."""
+    kind, steps = PENALISED["fc_ridge"]
+    return forecast(fx, steps, kind, every=3, tune=4)
+
+
 @query("coef_importance", importance_sql(len(FWD)), "fx_design")
 def q_importance(fx):
     rows = design(fx)
