@@ -6,7 +6,7 @@ most of them. Landmark words give the Nystroem features K_mm**-1/2 k(landmarks,
 with squared hinge loss is trained on them. Labels are those of whole documents: a sentence of a clean document has clean
 words only, and a sentence of a toxic one is a positive example for its most telling words, which are found first by how
 much more often they, or words with the same beginning, occur in toxic documents. A document is judged by its worst word,
-the next worst, and the share of words on the toxic side, made a probability on the training documents.
+the next worst, and the share of words on the toxic side, made a probability on the training documents and their sentences.
 
 The decision is linear in the kernel, so it is kept as one weight per subsequence (the landmarks' subsequences weighed
 by their coefficients) and a word is judged by a sum over its own subsequences: the same value without meeting landmarks.
@@ -16,10 +16,10 @@ from __future__ import annotations
 
 import itertools
 import re
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +34,7 @@ TRAINING_ROWS = 8000
 WITNESS_Z = 7.0
 
 _SKIP = re.compile(r"[\W_]+")
+_SENTENCE = re.compile(r"[.!?\n]+")
 _START, _END = 62, 63
 #: Distances of the second and third character from the first, by the length they span.
 _STEPS = [(a, b) for a, b in itertools.combinations(range(1, SPAN), 2)]
@@ -130,9 +131,14 @@ class ToxicityModel:
     judge: np.ndarray
 
     def word_scores(self, words: list[str]) -> np.ndarray:
-        owner, code, weight = subsequences(words)
-        norms = kernel_norms(owner, weight, len(words))
-        return np.bincount(owner, weight * self.table[code], len(words)) / norms + self.constant
+        """Decision value of each word, 10,000 words at a time: a word has a hundred subsequences or more."""
+        out = np.empty(len(words))
+        for i in range(0, len(words), 10_000):
+            part = words[i : i + 10_000]
+            owner, code, weight = subsequences(part)
+            norms = kernel_norms(owner, weight, len(part))
+            out[i : i + len(part)] = np.bincount(owner, weight * self.table[code], len(part)) / norms + self.constant
+        return out
 
     def probability(self, seen: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(seen @ self.judge[:-1] + self.judge[-1], -50, 50)))
@@ -192,23 +198,41 @@ def _beginnings(word: str) -> list[str]:
     return [f"{word}$", *(word[:k] for k in range(4, min(9, len(word))))]
 
 
-def find_witnesses(docs: list[set[str]], toxic: np.ndarray, z_least: float = WITNESS_Z) -> list[str]:
-    """Words and beginnings that are more frequent in toxic documents than chance allows, most telling first."""
-    counts = [Counter(), Counter()]
-    for ws, t in zip(docs, toxic.tolist()):
-        counts[t].update({b for w in ws if len(w) >= 3 for b in _beginnings(w)})
-    n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
-    found = []
-    for u, a in counts[1].items():
-        b = counts[0][u]
-        share = (a + b) / (n1 + n0)
-        if a >= 3 and a / n1 > 10 * b / n0:
-            z = (a / n1 - b / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
-            found.append((-z, len(u), u))
+def find_witnesses(words: list[str], docs: list[np.ndarray], toxic: np.ndarray, z_least: float = WITNESS_Z) -> list[str]:
+    """Words and beginnings that are more frequent in toxic documents than chance allows, most telling first.
+
+    ``docs`` are the numbers of each document's words. Beginnings are counted by hashes, once in a document.
+    """
+    marks = np.zeros((len(words), 6), np.uint64)
+    for i, w in enumerate(words):
+        if len(w) >= 3:
+            found = _beginnings(w)
+            marks[i, : len(found)] = [xxhash.xxh3_64_intdigest(b) | 1 for b in found]
+    n = [max(1, int((toxic == t).sum())) for t in (0, 1)]
+    kinds, counts = [], []
+    for t in (0, 1):
+        seen = [np.unique(marks[d]) for d, label in zip(docs, toxic.tolist()) if label == t]
+        k, c = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.empty(0, np.uint64), np.empty(0, int))
+        kinds.append(k)
+        counts.append(c)
+    keys, a = kinds[1], counts[1].astype(float)
+    at = np.searchsorted(kinds[0], keys)
+    b = np.zeros(len(keys))
+    inside = at < len(kinds[0])
+    same = np.zeros(len(keys), bool)
+    same[inside] = kinds[0][at[inside]] == keys[inside]
+    b[same] = counts[0][at[same]]
+    share = (a + b) / (n[0] + n[1])
+    z = (a / n[1] - b / n[0]) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n[1] + 1 / n[0]))
+    good = (keys > 0) & (a >= 3) & (a / n[1] > 10 * b / n[0]) & (z >= z_least)
+    score = dict(zip(keys[good].tolist(), z[good].tolist()))
+    named: dict[str, float] = {}
+    for i in np.flatnonzero(np.isin(marks, keys[good]).any(axis=1)).tolist():
+        named.update({u: score[h] for u, h in zip(_beginnings(words[i]), marks[i].tolist()) if h in score})
     chosen: list[str] = []
-    for z, _, u in sorted(found):
+    for u in sorted(named, key=lambda u: (-named[u], len(u), u)):
         stem = u.rstrip("$")
-        if -z >= z_least and not any(stem.startswith(c.rstrip("$")) or c.startswith(stem) for c in chosen):
+        if not any(stem.startswith(c.rstrip("$")) or c.startswith(stem) for c in chosen):
             chosen.append(u)
     return chosen
 
@@ -217,6 +241,23 @@ def is_witness(word: str, witnesses: set[str]) -> bool:
     return any(b in witnesses for b in _beginnings(word)) or word in witnesses
 
 
+def first_of_copies(words: list[str], docs: list[np.ndarray]) -> list[int]:
+    """One document of each group of near copies, by a min-hash of its less frequent words.
+
+    Copies of one toxic document would make any of its words look like an insult.
+    """
+    count = np.zeros(len(words), np.int64)
+    for d in docs:
+        count[d] += 1
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+    hashes[count > max(2, len(docs) // 20)] = 2**64 - 1
+    first: dict[int, int] = {}
+    for i, d in enumerate(docs):
+        least = int(hashes[d].min()) if len(d) else 2**64 - 1
+        first.setdefault(least if least < 2**64 - 1 else -i - 1, i)
+    return sorted(first.values())
+
+
 def gapped(word: str, rng: np.random.Generator, n: int = 3) -> list[str]:
     """The word with a character put in or doubled, at n random places inside it."""
     out = []
@@ -232,11 +273,19 @@ def fit_toxicity(texts: list[str | None], toxic: np.ndarray, landmarks: int = LA
     none = ToxicityModel(np.zeros(64**3), -1.0, np.array([0.0, 0.0, 0.0, -5.0]))
     if not 0 < toxic.sum() < len(toxic):
         return none
-    docs = [set(units(t)) for t in texts]
-    witnesses = set(find_witnesses(docs, toxic))
-    bad = Counter(w for ws, t in zip(docs, toxic.tolist()) if t for w in ws if is_witness(w, witnesses))
-    clean = sorted({w for ws, t in zip(docs, toxic.tolist()) if not t for w in ws})
-    bad = Counter({w: n for w, n in bad.items() if w not in set(clean)})
+    place: dict[str, int] = {}
+    docs = [np.fromiter({place.setdefault(w, len(place)) for w in units(t)}, np.int64) for t in texts]
+    words = list(place)
+    first = first_of_copies(words, docs)
+    texts, toxic, docs = [texts[i] for i in first], toxic[first], [docs[i] for i in first]
+    seen = np.zeros((2, len(words)), np.int64)
+    for d, t in zip(docs, toxic.tolist()):
+        seen[t, d] += 1
+    witnesses = set(find_witnesses(words, docs, toxic))
+    only_toxic = np.flatnonzero((seen[1] > 0) & (seen[0] == 0)).tolist()
+    bad = {words[i]: int(seen[1, i]) for i in only_toxic if is_witness(words[i], witnesses)}
+    clean = sorted(words[i] for i in np.flatnonzero(seen[0] > 0).tolist())
+    del place, docs, words
     if not bad or not clean:
         return none
     order = sorted(bad, key=lambda w: (-bad[w], w))
@@ -269,13 +318,27 @@ def fit_toxicity(texts: list[str | None], toxic: np.ndarray, landmarks: int = LA
         if set(hard) <= set(negative):
             break
         negative = sorted(set(negative) | set(hard))
-    words = WordScores(model)
-    seen = np.concatenate([words.judge(texts[i : i + 500]) for i in range(0, len(texts), 500)])
-    return ToxicityModel(table, model.constant, _calibrate(seen, toxic))
+    pieces, labels = _sentences(texts, toxic, witnesses)
+    scores, everything = WordScores(model), texts + pieces
+    judged = np.concatenate([scores.judge(everything[i : i + 500]) for i in range(0, len(everything), 500)])
+    return ToxicityModel(table, model.constant, _calibrate(judged, np.concatenate([toxic, labels])))
+
+
+def _sentences(texts: list[str | None], toxic: np.ndarray, witnesses: set[str]) -> tuple[list[str], np.ndarray]:
+    """One sentence of each document with its label: of a toxic one the first with a witness, of a clean one the first."""
+    pieces, labels = [], []
+    for text, t in zip(texts, toxic.tolist()):
+        for piece in _SENTENCE.split(text or ""):
+            ws = units(piece)
+            if ws and (not t or any(is_witness(w, witnesses) for w in ws)):
+                pieces.append(piece)
+                labels.append(t)
+                break
+    return pieces, np.array(labels, np.int64)
 
 
 def _calibrate(seen: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Logistic weights; a toxic sign never speaks for a document, so none is negative."""
+    """Logistic weights from documents and sentences; a toxic sign never speaks for a text, so none is negative."""
     used = [0, 1, 2]
     while True:
         a = np.hstack([seen[:, used], np.ones((len(seen), 1))])
@@ -294,7 +357,9 @@ def _calibrate(seen: np.ndarray, toxic: np.ndarray) -> np.ndarray:
         used.pop(low[0])
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def training_rows(
+    docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """(text, toxic) of at most about ``rows`` labelled documents outside the held-out fold, half of either label at most."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(id_col).agg(F.max("toxic").cast("int").alias("toxic"))
