@@ -83,13 +83,12 @@ def anchors(h: np.ndarray, reach: int = REACH) -> np.ndarray:
     return np.flatnonzero(best)
 
 
-def pairs(h: np.ndarray) -> np.ndarray:
-    """A hash of each word and the next one."""
-    return mix(h[:-1] + np.uint64(3) * mix(h[1:]))
-
-
-def singles(h: np.ndarray) -> np.ndarray:
-    return mix(h + np.uint64(1))
+def runs(h: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each word and the size - 1 next ones."""
+    out = np.full(max(0, len(h) - size + 1), size, np.uint64)
+    for k in range(size):
+        out = mix(out + h[k : k + len(out)])
+    return out
 
 
 class Walks:
@@ -101,7 +100,9 @@ class Walks:
         self.salts = rng.integers(1, 2**63, repeats, dtype=np.uint64)
         # a walk of s steps stands on word s / 2 on average; the margin keeps nearly all walks inside the window
         self.steps = [int(1.6 * c) for c in classes]
-        self.places = [[sorted(rng.choice(s, samples, replace=False).tolist()) for s in self.steps] for _ in range(repeats)]
+        # one place from each stretch of the walk: neighbouring places often stand on one word
+        edges = [np.linspace(0, s, samples + 1).astype(int) for s in self.steps]
+        self.places = [[[int(rng.integers(a, b)) for a, b in zip(e[:-1], e[1:])] for e in edges] for _ in range(repeats)]
 
     def hashes(self, h: np.ndarray, starts: np.ndarray, ends: np.ndarray):
         """(class, indices into starts, hashes) of all walks from starts that have room for the class before their ends."""
@@ -163,22 +164,24 @@ def best_stretch(item: np.ndarray, h: np.ndarray, low: int, high: int, limit: in
 class Items:
     """The hashes of a block of items, for looking up those of windows."""
 
-    def __init__(self, items: list[tuple[object, str | None]], walks: Walks):
+    def __init__(self, items: list[tuple[object, str | None]], walks: Walks, max_distance: float = MAX_DISTANCE):
         hashes = NormalHashes()
         self.ids, self.walks = [i for i, _ in items], walks
         self.words = [hashes.of(text) for _, text in items]
         found = [(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))]
-        self.plain: set = set()
+        self.run_sizes: set[int] = set()
         for k, h in enumerate(self.words):
             starts = anchors(h)
             room = len(h) - starts
             # an anchor near the ends of an item depends on words outside of it
             inner = (starts >= REACH) & (room > REACH) & (room >= walks.classes[0])
             if len(h) and inner.sum() < 2:
-                # too short for anchors: its pairs of words stand for it
-                keys = pairs(h) if len(h) > 1 else singles(h)
-                found.append((keys, np.full(len(keys), k), np.arange(len(keys))))
-                self.plain |= {pairs if len(h) > 1 else singles}
+                # too short for anchors: with e edits one of e + 1 pieces is unchanged, so a run from each piece stands for it
+                pieces = math.floor(max_distance * len(h)) + 1
+                size = min(3, len(h) // pieces)
+                at = np.arange(pieces) * (len(h) // pieces)
+                found.append((runs(h, size)[at], np.full(pieces, k), at))
+                self.run_sizes.add(size)
             fitting = np.searchsorted(walks.classes, room, "right") - 1
             for c, live, keys in walks.hashes(h, starts, np.full(len(starts), len(h))):
                 own = fitting[live] == c
@@ -207,8 +210,8 @@ class Items:
 
         for _, live, keys in self.walks.hashes(h, starts, ends[text] - REACH):
             look_up(keys, starts[live], text[live])
-        for hashed in self.plain:
-            keys = hashed(h)
+        for size in sorted(self.run_sizes):
+            keys = runs(h, size)
             every = np.arange(len(keys))
             look_up(keys, every, np.searchsorted(ends, every, "right"))
         if not owners:
@@ -254,7 +257,7 @@ def _held(spark: SparkSession, items: DataFrame, item_col: str, text_col: str):
 
 def _finder(held, walks: Walks, max_distance: float):
     """A function that finds the items of a block in texts, made once in a task."""
-    hashes, index = NormalHashes(), Items(held.value, walks)
+    hashes, index = NormalHashes(), Items(held.value, walks, max_distance)
 
     def find(texts):
         for t, k, distance, a, b in index.matches([hashes.of(x) for x in texts], max_distance) if texts else []:
