@@ -23,15 +23,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, map_batches
+from .common import bounded_sample, held_out, map_batches, mix
 
 LAMBDA = 0.7
 SPAN = 6
 LANDMARKS = 160
 #: Most labelled documents that train the model, in all and of either label.
 TRAINING_ROWS = 8000
-#: Least z-score by which a word (or beginning of words) is more frequent in toxic documents, to be a witness.
-WITNESS_Z = 7.0
+#: Chance, over all words and beginnings of a sample together, that one not tied to toxic documents becomes a witness.
+WITNESS_CHANCE = 0.01
+#: A witness, and a word that stands for it, is so many times as frequent in toxic documents as in clean ones, at least.
+WITNESS_RATIO = 10
 
 _SKIP = re.compile(r"[\W_]+")
 _SENTENCE = re.compile(r"[.!?\n]+")
@@ -198,42 +200,57 @@ def _beginnings(word: str) -> list[str]:
     return [f"{word}$", *(word[:k] for k in range(4, min(9, len(word))))]
 
 
-def find_witnesses(words: list[str], docs: list[np.ndarray], toxic: np.ndarray, z_least: float = WITNESS_Z) -> list[str]:
+def mark_counts(marks: np.ndarray, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Marks of the words of all documents, and the number of documents of each."""
+    if not docs:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    return np.unique(np.concatenate([np.unique(marks[d]) for d in docs]), return_counts=True)
+
+
+def tail(a: np.ndarray, b: np.ndarray, share: float) -> np.ndarray:
+    """Logarithm of Chernoff's bound on the chance that a or more of a + b documents are toxic, if each is with this share."""
+    n = a + b
+    out = a * np.log(np.maximum(a, 1) / (n * share)) + b * np.log(np.maximum(b, 1) / (n * (1 - share)))
+    return np.where(a > n * share, -out, 0.0)
+
+
+def find_witnesses(words: list[str], docs: list[np.ndarray], toxic: np.ndarray, chance: float = WITNESS_CHANCE) -> list[str]:
     """Words and beginnings that are more frequent in toxic documents than chance allows, most telling first.
 
-    ``docs`` are the numbers of each document's words. Beginnings are counted by hashes, once in a document.
+    ``docs`` are the numbers of each document's words. Beginnings are counted by hashes, once in a document. Toxic documents
+    with a witness are explained; the search goes on in those that are left, where few occurrences tell a rare insult from
+    chance. The bound is one on chance, so an insult needs no more occurrences in a larger sample.
     """
     marks = np.zeros((len(words), 6), np.uint64)
     for i, w in enumerate(words):
         if len(w) >= 3:
             found = _beginnings(w)
             marks[i, : len(found)] = [xxhash.xxh3_64_intdigest(b) | 1 for b in found]
-    n = [max(1, int((toxic == t).sum())) for t in (0, 1)]
-    kinds, counts = [], []
-    for t in (0, 1):
-        seen = [np.unique(marks[d]) for d, label in zip(docs, toxic.tolist()) if label == t]
-        k, c = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.empty(0, np.uint64), np.empty(0, int))
-        kinds.append(k)
-        counts.append(c)
-    keys, a = kinds[1], counts[1].astype(float)
-    at = np.searchsorted(kinds[0], keys)
-    b = np.zeros(len(keys))
-    inside = at < len(kinds[0])
-    same = np.zeros(len(keys), bool)
-    same[inside] = kinds[0][at[inside]] == keys[inside]
-    b[same] = counts[0][at[same]]
-    share = (a + b) / (n[0] + n[1])
-    z = (a / n[1] - b / n[0]) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n[1] + 1 / n[0]))
-    good = (keys > 0) & (a >= 3) & (a / n[1] > 10 * b / n[0]) & (z >= z_least)
-    score = dict(zip(keys[good].tolist(), z[good].tolist()))
-    named: dict[str, float] = {}
-    for i in np.flatnonzero(np.isin(marks, keys[good]).any(axis=1)).tolist():
-        named.update({u: score[h] for u, h in zip(_beginnings(words[i]), marks[i].tolist()) if h in score})
+    left = [d for d, label in zip(docs, toxic.tolist()) if label]
+    clean = len(docs) - len(left)
+    kinds, counts = mark_counts(marks, [d for d, label in zip(docs, toxic.tolist()) if not label])
     chosen: list[str] = []
-    for u in sorted(named, key=lambda u: (-named[u], len(u), u)):
-        stem = u.rstrip("$")
-        if not any(stem.startswith(c.rstrip("$")) or c.startswith(stem) for c in chosen):
-            chosen.append(u)
+    while left and clean:
+        keys, a = mark_counts(marks, left)
+        a, b = a.astype(float), np.zeros(len(keys))
+        _, here, there = np.intersect1d(keys, kinds, assume_unique=True, return_indices=True)
+        b[here] = counts[there]
+        log = tail(a, b, len(left) / (len(left) + clean))
+        good = (keys > 0) & (a >= 3) & (a / len(left) > WITNESS_RATIO * b / clean) & (log <= np.log(chance / max(1, len(keys))))
+        score = dict(zip(keys[good].tolist(), log[good].tolist()))
+        named: dict[str, float] = {}
+        for i in np.flatnonzero(np.isin(marks, keys[good]).any(axis=1)).tolist():
+            named.update({u: score[h] for u, h in zip(_beginnings(words[i]), marks[i].tolist()) if h in score})
+        before = len(chosen)
+        for u in sorted(named, key=lambda u: (named[u], len(u), u)):
+            stem = u.rstrip("$")
+            if not any(stem.startswith(c.rstrip("$")) or c.startswith(stem) for c in chosen):
+                chosen.append(u)
+        if len(chosen) == before:
+            break
+        new = set(chosen[before:])
+        telling = np.array([is_witness(w, new) for w in words])
+        left = [d for d in left if not telling[d].any()]
     return chosen
 
 
@@ -242,7 +259,8 @@ def is_witness(word: str, witnesses: set[str]) -> bool:
 
 
 def first_of_copies(words: list[str], docs: list[np.ndarray]) -> list[int]:
-    """One document of each group of near copies, by a min-hash of its less frequent words.
+    """One document of each group of near copies: those that agree in one of ten bands of three min-hashes of their less
+    frequent words.
 
     Copies of one toxic document would make any of its words look like an insult.
     """
@@ -250,12 +268,20 @@ def first_of_copies(words: list[str], docs: list[np.ndarray]) -> list[int]:
     for d in docs:
         count[d] += 1
     hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
-    hashes[count > max(2, len(docs) // 20)] = 2**64 - 1
-    first: dict[int, int] = {}
+    rare = count <= max(2, len(docs) // 20)
+    salts = np.random.default_rng(3).integers(1, 2**63, 30, dtype=np.uint64)
+    known, first = set(), []
     for i, d in enumerate(docs):
-        least = int(hashes[d].min()) if len(d) else 2**64 - 1
-        first.setdefault(least if least < 2**64 - 1 else -i - 1, i)
-    return sorted(first.values())
+        h = hashes[d[rare[d]]]
+        if not len(h):
+            first.append(i)
+            continue
+        least = np.array([mix(h ^ salt).min() for salt in salts]).reshape(10, 3)
+        bands = {(k, *row) for k, row in enumerate(least.tolist())}
+        if not bands & known:
+            first.append(i)
+        known |= bands
+    return first
 
 
 def gapped(word: str, rng: np.random.Generator, n: int = 3) -> list[str]:
@@ -282,9 +308,10 @@ def fit_toxicity(texts: list[str | None], toxic: np.ndarray, landmarks: int = LA
     for d, t in zip(docs, toxic.tolist()):
         seen[t, d] += 1
     witnesses = set(find_witnesses(words, docs, toxic))
-    only_toxic = np.flatnonzero((seen[1] > 0) & (seen[0] == 0)).tolist()
-    bad = {words[i]: int(seen[1, i]) for i in only_toxic if is_witness(words[i], witnesses)}
-    clean = sorted(words[i] for i in np.flatnonzero(seen[0] > 0).tolist())
+    # a few clean documents with an insult (a quotation, a wrong label) do not make it a clean word
+    often = seen[1] * int((toxic == 0).sum()) > WITNESS_RATIO * seen[0] * int(toxic.sum())
+    bad = {words[i]: int(seen[1, i]) for i in np.flatnonzero(often).tolist() if is_witness(words[i], witnesses)}
+    clean = sorted(words[i] for i in np.flatnonzero(seen[0] > 0).tolist() if words[i] not in bad)
     del place, docs, words
     if not bad or not clean:
         return none
