@@ -10,9 +10,13 @@ words around only, so a copied passage has the anchors of its item, wherever it
 no window at every word. From an anchor, walks of several lengths (size classes) are sampled: an item uses at each of its
 anchors the longest class that still lies within what is left of it, so the hashed window is as long as the item.
 
+Walks lose items with few anchors and many edits, so unedited pieces stand beside them: with e edits allowed, one of e + 1
+pieces of an item is unchanged, and the run of words at its beginning is looked up at every word. No stretch within
+``max_distance`` is missed.
+
 Windows that share a hash with an item are verified: the item is aligned with the words around the window, and the edit
 distance (insertions, deletions and changes of words; free ends in the document) must be at most ``max_distance`` of the
-item's words. The number of repeats follows from the target recall. Items are the stated query set: they go to the tasks
+item's words. Items are the stated query set: they go to the tasks
 in blocks of ``BLOCK_ITEMS`` items, so what is broadcast is bounded; documents are read once per block.
 """
 
@@ -37,10 +41,13 @@ REACH = 3
 #: Places sampled for a hash, and the walk lengths (in words) of the size classes.
 SAMPLES = 3
 CLASSES = (6, 12, 24, 48)
-#: Items are found up to this share of edited words; the repeats are set for RECALL at DESIGN_DISTANCE from one anchor.
+#: Items are found up to this share of edited words, by pieces if not by walks; the walks' repeats are set for RECALL at
+#: DESIGN_DISTANCE from an unedited anchor.
 MAX_DISTANCE = 0.2
 DESIGN_DISTANCE = 0.1
 RECALL = 0.9
+#: Longest run of words that stands for a piece of an item; one in five edited leaves pieces of three or four words.
+PIECE = 4
 
 _PUNCTUATION = ".,;:!?\"'()[]{}<>#*$%&|"
 
@@ -173,12 +180,10 @@ class Items:
         for k, h in enumerate(self.words):
             starts = anchors(h)
             room = len(h) - starts
-            # an anchor near the ends of an item depends on words outside of it
-            inner = (starts >= REACH) & (room > REACH) & (room >= walks.classes[0])
-            if len(h) and inner.sum() < 2:
-                # too short for anchors: with e edits one of e + 1 pieces is unchanged, so a run from each piece stands for it
+            if len(h):
+                # with e edits one of e + 1 pieces is unchanged, so a run from each piece stands for it
                 pieces = math.floor(max_distance * len(h)) + 1
-                size = min(3, len(h) // pieces)
+                size = min(PIECE, len(h) // pieces)
                 at = np.arange(pieces) * (len(h) // pieces)
                 found.append((runs(h, size)[at], np.full(pieces, k), at))
                 self.run_sizes.add(size)
