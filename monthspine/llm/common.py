@@ -105,12 +105,28 @@ def fold(id_value) -> int:
     return zlib.crc32(str(id_value).encode()) % 5
 
 
+def sample_hash(key: Column) -> Column:
+    """63 fair bits of a key."""
+    return F.xxhash64(key, F.lit("sample")).bitwiseAND(F.lit(2**63 - 1))
+
+
+def sample_bound(rows: int, n: int) -> int:
+    """What ``sample_hash`` is below for about ``rows`` of ``n`` keys, for any number of them."""
+    return min(2**63 - 1, 2**63 * rows // n)
+
+
 def bounded_sample(df: DataFrame, rows: int, key: Column) -> DataFrame:
-    """About ``rows`` rows at most, by a hash of ``key``: the same rows in every run. Only for fitting models."""
+    """About ``rows`` rows at most, by a hash of ``key``: the same rows in every run. Only for fitting models.
+
+    An empty sample of a table with rows is an error: a model of nothing would judge all of them.
+    """
     n = df.count()
     if n <= rows:
         return df
-    return df.filter(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1_000_000)) < int(1_000_000 * rows / n))
+    sample = df.filter(sample_hash(key) < sample_bound(rows, n))
+    if sample.isEmpty():
+        raise ValueError(f"no row of {n} is in a sample of {rows}: the keys are too few to sample by")
+    return sample
 
 
 def unused_prefix(df: DataFrame, *names: str) -> str:
