@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, bounded_sample, held_out, map_batches, slices
+from .common import arrow_schema, held_out, map_batches, sample_hash, slices
 
 DIMENSIONS = 1024
 GRAM = 3
-#: Most labelled documents that train the prototypes.
+#: Most labelled documents of a language, about, that train its prototype; all of a language with fewer.
 TRAINING_ROWS = 8000
 #: Columns of the table of n-gram counts that are in memory at once.
 _BLOCK = 4096
@@ -110,14 +110,23 @@ class LanguageModel:
         return [self.languages[b] if s else "und" for b, s in zip(best.tolist(), spoken.tolist())], score
 
 
+def sample_of_each(known: DataFrame, rows: int) -> DataFrame:
+    """About ``rows`` rows of each language at most, by a hash of the id. The counts have a row for each language."""
+    counts = known.groupBy("lang").agg(F.count("*").alias("n_lang"))
+    share = F.lit(float(rows)) / F.col("n_lang")
+    chosen = (share >= 1) | (sample_hash(F.col("id")).cast("double") < share * 2.0**63)
+    return known.join(F.broadcast(counts), "lang").filter(chosen).drop("n_lang")
+
+
 def fit_language(docs: DataFrame, rows: int = TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Prototypes from about ``rows`` documents at most with a language, outside the held-out fold.
+    """Prototypes from about ``rows`` documents of each language at most, outside the held-out fold.
 
+    A language with fewer documents has all of them in its prototype, however large the table is.
     What the languages have in common is taken from texts and prototypes before they are compared.
     """
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     known = known.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("id"))
-    known = bounded_sample(known, rows, F.col("id")).select("lang", "text")
+    known = sample_of_each(known, rows).select("lang", "text")
     schema = "lang string, n long, bundle binary"
     arrow = arrow_schema(schema)
 
