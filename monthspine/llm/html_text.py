@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -216,9 +217,10 @@ def features(nodes: list[Node]) -> np.ndarray:
         if x.children:
             kids = np.array(x.children)
             kinds = [nodes[k].tag for k in x.children]
+            alike = Counter(kinds)
             k = len(kids)
             out[kids, 14] = np.arange(k) / k
-            out[kids, 16] = [kinds.count(t) / k for t in kinds] if k <= 50 else 1.0
+            out[kids, 16] = [alike[t] / k for t in kinds]
             rest = (chars[kids].sum() - chars[kids]) / max(1, k - 1)
             out[kids, 25] = np.log1p(rest)
             out[kids, 26] = np.log1p(chars[kids]) - np.log1p(rest)
