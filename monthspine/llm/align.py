@@ -22,6 +22,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +34,11 @@ from .common import slices, spans, stored
 from .tokens import _Places
 
 #: Bytes of text a block holds at least, unless the input of its task ends; a single longer document is a block.
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 3 << 19
 #: Chunks are remembered up to this many, and this many characters of them.
-CHUNKS, CHARACTERS = 600_000, 32 << 20
+CHUNKS, CHARACTERS = 300_000, 16 << 20
+#: New chunks are encoded so many at a time.
+AT_ONCE = 4096
 #: Stands for the space in pieces of B.
 MARK = "▁"
 
@@ -87,13 +90,32 @@ class PieceTokens:
         return [ids or [self.space] for ids in self.model.encode(texts, num_threads=1)]
 
 
+def _letters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of binary values one after another, and where each begins and ends."""
+    edges = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    return np.frombuffer(texts.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]], edges - edges[0]
+
+
+def _gives_back(ids: pa.ListArray, of: pa.Array, spelt: pa.Array) -> np.ndarray:
+    """Whether the bytes of each id list, joined, are the text spelt there."""
+    data, each = _letters(of.take(ids.flatten()))
+    ends = each[ids.offsets.to_numpy()]
+    want, edges = _letters(spelt)
+    if np.array_equal(ends, edges):
+        good = np.ones(len(ids), bool)
+        good[np.searchsorted(edges, np.flatnonzero(data != want), "right") - 1] = False
+        return good
+    pairs = zip(ends[:-1], ends[1:], edges[:-1], edges[1:])
+    return np.array([np.array_equal(data[s:e], want[u:v]) for s, e, u, v in pairs], bool)
+
+
 class Encoders:
     """Ids of both vocabularies for whole texts, with a bounded memory of chunks."""
 
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = ByteTokens(path_a), PieceTokens(path_b)
-        self.size_a = np.fromiter(map(len, self.a.bytes), np.int64, len(self.a.bytes))
-        self.size_b = np.fromiter(map(len, self.b.bytes), np.int64, len(self.b.bytes))
+        self.bytes = [pa.array(v.bytes, pa.binary()) for v in (self.a, self.b)]
+        self.sizes = [pc.cast(pc.binary_length(v), pa.int64()) for v in self.bytes]
         self._reset()
 
     def _reset(self) -> None:
@@ -114,21 +136,25 @@ class Encoders:
 
     def _learn(self) -> None:
         new = self.place.new
-        if not new:
-            return
-        found = self.a.encode([" " + c for c in new]), self.b.encode(new)
-        spelt = [(" " + c).encode() for c in new]
-        good = [
-            all(b"".join(map(v.bytes.__getitem__, ids)) == s for v, ids in ((self.a, a), (self.b, b))) and MARK not in c
-            for c, s, a, b in zip(new, spelt, *found)
-        ]
-        self.good = np.concatenate([self.good, np.array(good, bool)])
+        kept = [[self.starts[k], self.lens[k], self.flat[k]] for k in range(2)]
+        known, good = [len(self.flat[0]), len(self.flat[1])], [self.good]
+        grown = [[[], []], [[], []]]
+        for i in range(0, len(new), AT_ONCE):
+            part = new[i : i + AT_ONCE]
+            spelt = pa.array([" " + c for c in part]).cast(pa.binary())
+            same = pc.invert(pc.match_substring(pa.array(part, pa.string()), MARK)).to_numpy(zero_copy_only=False)
+            for k, ids in enumerate((self.a.encode([" " + c for c in part]), self.b.encode(part))):
+                ids = pa.array(ids, pa.list_(pa.int32()))
+                same &= _gives_back(ids, self.bytes[k], spelt)
+                grown[k][0].append(np.diff(ids.offsets.to_numpy()).astype(np.int64))
+                grown[k][1].append(ids.flatten().to_numpy())
+            good.append(same)
         for k in range(2):
-            lens = np.fromiter(map(len, found[k]), np.int64, len(new))
-            self.starts[k] = np.concatenate([self.starts[k], len(self.flat[k]) + np.cumsum(lens) - lens])
-            self.lens[k] = np.concatenate([self.lens[k], lens])
-            ids = np.fromiter((i for ids in found[k] for i in ids), np.int32, int(lens.sum()))
-            self.flat[k] = np.concatenate([self.flat[k], ids])
+            lens = np.concatenate(grown[k][0])
+            self.starts[k] = np.concatenate([kept[k][0], known[k] + np.cumsum(lens) - lens])
+            self.lens[k] = np.concatenate([kept[k][1], lens])
+            self.flat[k] = np.concatenate([kept[k][2], *grown[k][1]])
+        self.good = np.concatenate(good)
         self.held += sum(map(len, new))
         new.clear()
 
@@ -138,8 +164,9 @@ class Encoders:
             self._reset()
         split = [self.chunks(t) if t else [] for t in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
-        at = np.fromiter((i for cs in split for i in map(self.place.__getitem__, cs)), np.int64, int(counts.sum()))
-        self._learn()
+        at = np.array(list(map(self.place.__getitem__, chain.from_iterable(split))), np.int64)
+        if self.place.new:
+            self._learn()
         edges = np.concatenate([[0], np.cumsum(counts)])
         bad = np.concatenate([[0], np.cumsum(~self.good[at])])
         whole = np.diff(bad[edges]) == 0
@@ -180,8 +207,8 @@ def group_digests(a: pa.Array, b: pa.Array, key_a: np.ndarray, key_b: np.ndarray
     n_a = int(pc.max(a).as_py() or 0) + 1 if len(a) else 1
     n_b = int(pc.max(b).as_py() or 0) + 1 if len(b) else 1
     label_a, label_b = _labels(1 << n_a.bit_length(), ",", "|"), _labels(1 << n_b.bit_length(), ",", ";")
-    order[np.arange(len(a)) + b_before[group_a]] = 2 * a.to_numpy(zero_copy_only=False).astype(np.int64) + np.isin(key_a, closing)
-    order[np.arange(len(b)) + a_through[group_b]] = 2 * b.to_numpy(zero_copy_only=False).astype(np.int64) + np.isin(key_b, closing) + len(label_a)
+    order[np.arange(len(a)) + b_before[group_a]] = 2 * a.to_numpy().astype(np.int64) + (closing[group_a] == key_a)
+    order[np.arange(len(b)) + a_through[group_b]] = 2 * b.to_numpy().astype(np.int64) + (closing[group_b] == key_b) + len(label_a)
     labels = pa.concat_arrays([label_a, label_b])
     text = labels.take(pa.array(order))
     offsets = np.frombuffer(text.buffers()[1], np.int32)[: len(text) + 1]
@@ -198,11 +225,11 @@ def align(a_ids: pa.ListArray, b_ids: pa.ListArray, size_a: pa.Array, size_b: pa
     b, _, key_b = _ends(b_ids, size_b)
     left = pa.table({"end": key_a, "a": a})
     right = pa.table({"end": key_b, "b": b})
-    ends = left.join(right, "end", join_type="full outer").sort_by("end")
+    ends = left.join(right, "end", join_type="full outer", use_threads=False).sort_by("end")
     both = pc.and_(pc.is_valid(ends["a"]), pc.is_valid(ends["b"]))
     doc = pc.shift_right(ends["end"], 40)
     links = pa.table({"doc": doc, "a": pc.fill_null_backward(ends["a"]), "b": pc.fill_null_backward(ends["b"])})
-    counted = pa.table({"doc": doc, "both": pc.cast(both, pa.int64())}).group_by("doc").aggregate([("both", "sum"), ([], "count_all")])
+    counted = pa.table({"doc": doc, "both": pc.cast(both, pa.int64())}).group_by("doc", use_threads=False).aggregate([("both", "sum"), ([], "count_all")])
     n_groups, n_links = np.zeros(docs, np.int64), np.zeros(docs, np.int64)
     at = counted["doc"].to_numpy()
     n_groups[at], n_links[at] = counted["both_sum"].to_numpy(), counted["count_all"].to_numpy()
@@ -249,10 +276,9 @@ def aligned_blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_
         number, encoders = TaskContext.get().partitionId() << 32, None
         for ids, texts in blocks_of(batches, least):
             encoders = encoders or Encoders(path_a, path_b)
-            sizes = pa.array(encoders.size_a), pa.array(encoders.size_b)
-            columns, links = align(*encoders.encode(texts), *sizes)
+            columns, links = align(*encoders.encode(texts), *encoders.sizes)
             packed = pc.add(pc.shift_left(pc.cast(links["a"], pa.int64()), 32), pc.cast(links["b"], pa.int64()))
-            pairs = pa.table({"pair": packed}).group_by("pair").aggregate([([], "count_all")]).sort_by("pair")
+            pairs = pa.table({"pair": packed}).group_by("pair", use_threads=False).aggregate([([], "count_all")]).sort_by("pair")
             at = pc.index_in(packed, pairs["pair"].combine_chunks()).to_numpy()
             kind = "<u2" if len(pairs) <= 1 << 16 else "<u4"
             row = {"block": [number], "pairs": [pairs["pair"].to_numpy()], "counts": [pairs["count_all"].to_numpy()]}
@@ -296,7 +322,7 @@ def scored(blocks: DataFrame, totals: DataFrame) -> DataFrame:
                     links = pa.table({"doc": doc, "pair": pair})
                     told = col["answers"].flatten()
                     known = pa.table({"pair": told[0], "n": told[1], "best": pc.cast(told[2], pa.int64())})
-                    found = links.join(known, "pair").group_by("doc").aggregate([("n", "sum"), ("best", "sum")])
+                    found = links.join(known, "pair", use_threads=False).group_by("doc", use_threads=False).aggregate([("n", "sum"), ("best", "sum")])
                     n_best, count_sum = np.zeros(docs, np.int64), np.zeros(docs, np.int64)
                     n_best[found["doc"].to_numpy()] = found["best_sum"].to_numpy()
                     count_sum[found["doc"].to_numpy()] = found["n_sum"].to_numpy()
