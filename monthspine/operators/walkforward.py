@@ -316,44 +316,7 @@ def cubic_forecast(
     return now.select("date", "target", dot(F.col("coef"), F.col("z2"), mapped.width).alias("y_hat"))
 
 
-# ---- forests and models of the user's own -------------------------------------------------------
-
-
-def forest_forecast(
-    rows: DataFrame, layout: Design, target: str, block: list[int], start: str, fits: list[tuple[str, str]], gap: int,
-    grid: list[dict], tune_every: int = 1, seed: int = 42,
-) -> DataFrame:
-    """Random-forest forecasts: each (refit, last) span is one distributed fit.
-
-    The best of ``grid`` by error on the last 15% of the training months is kept until the next
-    tuning; too short a sample takes the first entry.
-    """
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.regression import RandomForestRegressor
-
-    take = F.array(*[F.get("z", F.lit(c)) for c in block])
-    data = rows.select("date", "m", array_to_vector(take).alias("features"), F.get("z", F.lit(layout.target(target))).alias("label"))
-    span = data.agg(F.min("m").alias("lo")).first()["lo"]
-    number = lambda d: int(d[:4]) * 12 + int(d[5:7])
-    params, out = grid[0], None
-    make = lambda p: RandomForestRegressor(seed=seed, **{"featureSubsetStrategy": "all", **p})
-    for k, (refit, last) in enumerate(fits):
-        end = number(refit) - gap - 1
-        train = data.where((F.col("m") <= end) & F.col("label").isNotNull())
-        n = end - span + 1
-        cut = int(n * 0.85)
-        if k % tune_every == 0 and len(grid) > 1 and cut >= 10 and n - cut >= 3:
-            held = train.where(F.col("m") > span + cut - 1)
-            errors = []
-            for p in grid:
-                model = make(p).fit(train.where(F.col("m") <= span + cut - 1))
-                mse = model.transform(held).agg(F.avg(F.pow(F.col("label") - F.col("prediction"), 2)).alias("e")).first()["e"]
-                errors.append(mse)
-            params = grid[int(np.argmin(errors))]
-        live = data.where((F.col("date") >= refit) & (F.col("date") <= last) & (F.col("date") >= start))
-        part = make(params).fit(train).transform(live).select("date", F.lit(target).alias("target"), F.col("prediction").alias("y_hat"))
-        out = part if out is None else out.unionByName(part)
-    return out
+# ---- models of the user's own --------------------------------------------------------------------
 
 
 def walk_forward(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import benchmarks as B
 from ..operators import curve as CV
+from ..operators import forest as FO
 from ..operators import transforms as T
 from ..operators import walkforward as W
 from .fixtures import Fixtures, add_view
@@ -240,9 +241,17 @@ def q_importance(fx):
     return W.importance(W.coefficients(rows, LAYOUT, STEPS["fc_linear"], OOS, WGAP), LAYOUT).withColumn("mean_abs", C.rnd("mean_abs", 5))
 
 
+TREES_ON = LAYOUT.cols("forward") + ALL_MACRO
+
+
 @query("fc_forest")
 def q_forest(fx):
-    grid = [{"numTrees": 20, "maxDepth": 3}, {"numTrees": 20, "maxDepth": 5}]
-    fits = [("1998-01-31", "1999-12-31"), ("2000-01-31", "2001-08-31")]
-    block = LAYOUT.cols("forward") + ALL_MACRO
-    return W.forest_forecast(design(fx), LAYOUT, "rx60", block, OOS, fits, WGAP, grid, tune_every=2)
+    """All targets, every month a refit, tuned every sixtieth over the whole grid."""
+    return FO.forest_forecast(design(fx), LAYOUT, TREES_ON, OOS, WGAP)
+
+
+@query("fc_forest_group_pcs")
+def q_forest_pcs(fx):
+    """Trees on three yield components and one of each macro group, yearly refits."""
+    grid = FO.Grid((200,), (5,), (1,))
+    return FO.forest_forecast(design(fx), LAYOUT, TREES_ON, OOS, WGAP, grid, refit_every=12, tune_every=1, steps=STEPS["fc_group_pcr"])
