@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import linear
-from ..functions.calendar import densify
+from .panel import densify
 from .transforms import training_median, training_rows, upto_now
 from .walkforward import Design, cumulative_moments, design_rows, dot, origins, outer_upper, per_target, _pack, _split_end, _train_end
 
@@ -154,6 +154,13 @@ def expanding_fits(
     return solved, now.select("date", "target", dot(F.col("coef"), own, width).alias("y_hat"))
 
 
+def changed_rows(rows: DataFrame, gap: int) -> DataFrame:
+    """Rows (origin, m, z, _old) at which a training month enters or differs from the origin before."""
+    w = Window.partitionBy("m").orderBy("origin")
+    d = rows.where(F.col("m") <= F.col("origin") - gap - 1).withColumn("_old", F.lag("z").over(w))
+    return d.where(F.col("_old").isNull() | ~F.col("z").eqNullSafe(F.col("_old")))
+
+
 def revised_moments(rows: DataFrame, size: int, gap: int) -> DataFrame:
     """(origin, moments): packed moment matrix of each origin's own version of its training months.
 
@@ -161,9 +168,7 @@ def revised_moments(rows: DataFrame, size: int, gap: int) -> DataFrame:
     from origin m + gap + 1 on. Only rows that differ from the origin before reach the sums, as new minus old outer
     product; a running sum over origins does the rest. Incomplete rows count as nothing.
     """
-    w = Window.partitionBy("m").orderBy("origin")
-    d = rows.where(F.col("m") <= F.col("origin") - gap - 1).withColumn("_old", F.lag("z").over(w))
-    d = d.where(F.col("_old").isNull() | ~F.col("z").eqNullSafe(F.col("_old")))
+    d = changed_rows(rows, gap)
     empty = F.array_repeat(F.lit(None).cast("double"), size)
     change = F.zip_with(
         outer_upper(F.col("z"), size), outer_upper(F.coalesce("_old", empty), size), lambda new, old: new - old
@@ -187,8 +192,8 @@ def revised_fits(
 ) -> tuple[DataFrame, DataFrame]:
     """Fits and forecasts when every origin trains on its own version of the months; ``rows`` come from ``revised_design``.
 
-    Penalties are tuned on the last 15% of the origin's months, whose moments are kept by differences as well, with a
-    longer gap: the share of months before the cut moves with the origin, so they are summed for the refits' cuts only.
+    Losses and penalties come from the last 15% of a refit's months. The months before that cut are summed for each refit:
+    the cut moves with the origin, so differences would not save a sum there.
     """
     size = layout.size
     number = F.year(F.lit(start).cast("date")) * 12 + F.month(F.lit(start).cast("date"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import (  # noqa: F401
     attribution_queries,
     model_queries,
+    origin_queries,
     panel_queries,
     quality_queries,
     scoring_queries,
