@@ -51,13 +51,6 @@ def lag_in_force(decision: Column | str, mode: Column | str = "lag_mode", months
     return F.coalesce(F.when(c(mode) == SCHEDULED, timed), c(months), F.lit(fv.DEFAULT_LAG))
 
 
-def longest_lag(mode: Column | str = "lag_mode", months: Column | str = "lag_months", schedule: Column | str = "lag_schedule") -> Column:
-    """The largest lag a policy can have in force at any date."""
-    c = lambda x: F.col(x) if isinstance(x, str) else x
-    timed = F.when(c(mode) == SCHEDULED, F.array_max(F.map_values(json_int_map(schedule))))
-    return F.greatest(F.lit(fv.DEFAULT_LAG), F.coalesce(c(months), F.lit(0)), F.coalesce(timed, F.lit(0)))
-
-
 def apply_publication_lag(panel: DataFrame, policies: DataFrame) -> DataFrame:
     """value(d) = source(d - lag), looked up among the series' own months; NULL where none exists."""
     months = F.map_from_entries(F.collect_list(F.struct("date", "value")))

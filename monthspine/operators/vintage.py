@@ -2,7 +2,7 @@
 
 History rows carry series_id, obs_date, realtime_start, realtime_end (9999-12-31 while open)
 and value. As-of months are month-ends, so an interval of validity is turned into the months
-it covers and joined by equality; no range join is formed. Where several vintages of one cell
+it covers and joined by equality, or into two blocks of months; no range join is formed. Where several vintages of one cell
 compete, a map-side max_by picks, so a hot series never sits whole in one task.
 """
 
@@ -12,13 +12,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
-from ..functions.calendar import RELEASE_RULE_MONTHS, month_end, month_number, months_apart, per_month, release_cutoff, shift_literal, shift_months, with_months
+from ..functions.calendar import month_end, month_number, months_apart, per_month, release_cutoff, shift_literal, shift_months, with_months
 from ..functions.columns import ratio, to_number
-from .lags import lag_in_force, longest_lag
+from .lags import lag_in_force
 from .panel import densify, latest_at_or_before
 from .transforms import apply_tcodes, ffill
 
 OPEN_END = "9999-12-31"
+#: Observation months stand above this in packed ranks, vintages below.
+OBSERVED = 10_000_000_000_000
 
 
 def clean_history(raw: DataFrame) -> DataFrame:
@@ -202,24 +204,61 @@ def first_vintages(history: DataFrame) -> DataFrame:
     return history.groupBy("series_id").agg(F.min("realtime_start").alias("first_vintage"))
 
 
-def pick_strict(history: DataFrame, reads: DataFrame, first: str, last: str, fresh: Column | None = None) -> DataFrame:
+def _month_date(m: Column) -> Column:
+    """Month-end of a month number."""
+    return F.last_day(F.make_date(F.floor((m - 1) / 12).cast("int"), ((m - 1) % 12 + 1).cast("int"), F.lit(1)))
+
+
+def best_while_valid(spans: DataFrame, of: DataFrame, first: str | Column, last: str | Column) -> DataFrame:
+    """(keys, m, rank, value): for every month first..last the valid span of the highest rank; months without any are left out.
+
+    ``of`` holds the distinct keys asked for; ``spans`` is (keys, lo, hi, rank, value), valid from month number lo to hi. A span is not unfolded over its months: two
+    blocks of a power of two cover it, whatever its length. Blocks of equal place and length combine map-side to the best
+    one, so a key holds as many as there are months and lengths; a running maximum per length, over as many months as it
+    has, reads them off. One shuffle by the key and month, one by the key.
+    """
+    keys, lo, hi = of.columns, month_number(_as_date(first)), month_number(_as_date(last))
+    known = isinstance(first, str) and isinstance(last, str)
+    levels = (int(last[:4]) * 12 + int(last[5:7]) - int(first[:4]) * 12 - int(first[5:7]) + 1).bit_length() if known else 12
+    s = spans.withColumn("_a", F.greatest("lo", lo)).withColumn("_b", F.least("hi", hi)).where(F.col("_a") <= F.col("_b"))
+    s = s.withColumn("_k", F.length(F.bin(F.col("_b") - F.col("_a") + 1)) - 1)
+    starts = F.array(F.col("_a"), F.col("_b") - F.expr("shiftleft(1, _k)") + 1)
+    blocks = s.select(*keys, F.explode(starts).alias("m"), "_k", "rank", "value")
+    empty = [F.lit(None).cast(t).alias(c) for c, t in (("_k", "int"), ("rank", "bigint"), ("value", "double"))]
+    rows = blocks.unionByName(of.withColumn("m", F.explode(F.sequence(lo, hi))).select(*keys, "m", *empty))
+    of_length = [F.when(F.col("_k") == k, F.col("rank")) for k in range(levels)]
+    best = [F.struct(F.max(r).alias("rank"), F.max_by("value", r).alias("value")).alias(f"_t{k}") for k, r in enumerate(of_length)]
+    table = rows.groupBy(*keys, "m").agg(*best)
+    cells = [F.when(F.col(f"_t{k}.rank").isNotNull(), F.col(f"_t{k}")) for k in range(levels)]
+    over = Window.partitionBy(*keys).orderBy("m")
+    found = [F.max(c).over(over.rowsBetween(-(2**k - 1), 0)) for k, c in enumerate(cells)]
+    top = F.array_max(F.array(*found)) if levels > 1 else found[0]
+    out = table.select(*keys, "m", top.alias("_c")).where(F.col("_c").isNotNull())
+    return out.select(*keys, "m", "_c.rank", "_c.value")
+
+
+def pick_strict(history: DataFrame, reads: DataFrame, first: str, last: str) -> DataFrame:
     """Last observation at or before the cutoff among vintages valid at the decision.
 
-    ``reads`` (series_id, rule, plus anything) is a dimension: one row per rule a history is read
-    under. ``fresh`` leaves out observations further behind every cutoff than so many months; an open
-    vintage is then unfolded over a few months instead of the rest of the calendar.
+    ``reads`` (series_id, rule, plus anything) is a dimension: one row per rule a history is read under. A vintage counts
+    from the decision that is late enough for its observation and its start, up to its end.
     """
-    until = last
-    if fresh is not None:
-        until = F.least(F.lit(last).cast("date"), shift_months("obs_date", fresh + max(RELEASE_RULE_MONTHS.values())))
-    valid = expand_validity(history, first, until, "decision").join(reads, "series_id")
-    valid = valid.withColumn("cutoff", release_cutoff("decision", "rule")).where(F.col("obs_date") <= F.col("cutoff"))
+    any_day = F.lit("2000-12-31").cast("date")
+    asked = reads.withColumn("delay", months_apart(any_day, release_cutoff(any_day, "rule")))
+    delays = asked.select("series_id", "delay").distinct()
+    ended = F.when(F.last_day("realtime_end") == F.col("realtime_end"), month_number("realtime_end")).otherwise(month_number("realtime_end") - 1)
     # order by observation month, then vintage, packed into one long
-    last_seen = (month_number("obs_date") % 100_000).cast("bigint") * 10_000_000_000_000
+    last_seen = (month_number("obs_date") % 100_000).cast("bigint") * OBSERVED
     starts = F.unix_date("realtime_start").cast("bigint") - F.unix_date(F.last_day("obs_date"))
     rank = last_seen + (starts + 1_000_000) * 4_000_000 + F.unix_date("realtime_end")
-    keys = ["decision", *reads.columns, "cutoff"]
-    return valid.groupBy(*keys).agg(F.max_by("value", rank).alias("value"), F.max("obs_date").alias("obs_date"))
+    spans = history.join(delays, "series_id").select(
+        "series_id", "delay", F.greatest(month_number("realtime_start"), month_number("obs_date") + F.col("delay")).alias("lo"),
+        ended.alias("hi"), rank.alias("rank"), "value",
+    )
+    best = best_while_valid(spans, delays, first, last).withColumn("decision", _month_date(F.col("m")))
+    seen = _month_date(F.floor(F.col("rank") / F.lit(OBSERVED)).cast("int"))
+    out = best.withColumn("obs_date", seen).withColumn("cutoff", shift_months("decision", -F.col("delay")))
+    return out.join(asked, ["series_id", "delay"]).select("decision", *reads.columns, "cutoff", "value", "obs_date")
 
 
 def _monthly_asof(obs: DataFrame, last: str) -> DataFrame:
@@ -295,16 +334,12 @@ def balanced_cascade(
             F.col("role") != "direct",
             lag_in_force("decision", F.col("own_lag.lag_mode"), F.col("own_lag.lag_months"), F.col("own_lag.lag_schedule")),
         )
-        own_most = longest_lag(F.col("own_lag.lag_mode"), F.col("own_lag.lag_months"), F.col("own_lag.lag_schedule"))
     else:
-        own_most = F.lit(fv.DEFAULT_LAG)
         own_lag = F.when(F.col("role") != "direct", F.lit(fv.DEFAULT_LAG))
     limit = F.greatest(staleness_limit(max_gap), F.coalesce(own_lag, F.lit(0)))
     vintaged = F.col("kind").isin("direct_alfred", "derived_formula")
     keep = ["decision", "series", "role", "value"]
-    # a stale pick counts as none here, so observations beyond the largest limit need not be unfolded
-    fresh = reads.agg(F.max(F.greatest(F.lit(max_gap), longest_lag(), own_most))).scalar()
-    strict = guard_stale(pick_strict(history, reads.where(vintaged), first, last, fresh), max_gap, limit).select(*keep)
+    strict = guard_stale(pick_strict(history, reads.where(vintaged), first, last), max_gap, limit).select(*keep)
     latest = pick_latest(history, reads.where(~vintaged), first, last).select(*keep)
     earliest = pick_earliest(history, reads, first, last).select(*keep)
     staged = (

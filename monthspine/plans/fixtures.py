@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.calendar import month_end, shift_months
 from ..functions.literal import literal_rows
 from ..operators.vintage import expand_validity
-from ..session import ensure_checkpoint_dir
+from ..session import written
 
 FIRST_VINTAGE = "1996-01-31"
 
@@ -38,9 +38,8 @@ class Fixtures:
         return literal_rows(self.spark, values, schema)
 
     def shared(self, df: DataFrame) -> DataFrame:
-        """Compute once what a plan reads several times: a checkpoint in the shared folder."""
-        ensure_checkpoint_dir(self.spark)
-        return df.checkpoint()
+        """Compute once what a plan reads several times: a table in the shared folder."""
+        return written(df)
 
     @cached_property
     def stored_history(self) -> DataFrame:

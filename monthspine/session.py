@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import posixpath
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "monthspine", master: str | None = None, **conf: str) -> SparkSession:
@@ -38,3 +40,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="run-ckpt-")
     sc.setCheckpointDir(configured)
     return configured
+
+
+def written(df: DataFrame, tag: str = "table") -> DataFrame:
+    """The rows as Parquet in the shared checkpoint folder: computed once, with statistics, and kept if executors are lost."""
+    path = posixpath.join(ensure_checkpoint_dir(df.sparkSession), f"{tag}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -129,3 +129,27 @@ def test_features_need_every_macro_series_in_the_registry(spark):
     names = spark.createDataFrame([("a",)], "series string")
     with pytest.raises(Exception, match="without as-of data: z"):
         V.realtime_features(f.unionByName(f.withColumn("source", F.lit("curve"))), p, p, names, "2000-01-31", "2000-02-29").collect()
+
+
+def test_best_while_valid_equals_looking_at_every_month(spark):
+    import random
+
+    rnd = random.Random(2)
+    spans = []
+    for key in "ab":
+        for rank in range(60):
+            lo = rnd.randint(23990, 24080)
+            spans.append((key, lo, lo + rnd.choice([-1, 0, 1, 2, 7, 15, 31, 400]), rank, float(rank)))
+    df = spark.createDataFrame(spans, "key string, lo int, hi int, rank long, value double")
+    of = spark.createDataFrame([("a",), ("b",), ("c",)], "key string")
+    for first, last in (("2000-03-31", "2005-06-30"), ("2001-01-31", "2001-01-31")):
+        got = {(r.key, r.m): (r.rank, r.value) for r in V.best_while_valid(df, of, first, last).collect()}
+        a, b = (int(d[:4]) * 12 + int(d[5:7]) for d in (first, last))
+        live = lambda k, m: [s[3] for s in spans if s[0] == k and s[1] <= m <= s[2]]
+        assert got == {(k, m): (max(live(k, m)), float(max(live(k, m)))) for k in "abc" for m in range(a, b + 1) if live(k, m)}
+
+
+def test_a_span_is_never_unfolded_over_its_months(spark):
+    df = spark.createDataFrame([("a", 0, 999_999, 1, 1.0)], "key string, lo int, hi int, rank long, value double")
+    plan = V.best_while_valid(df, df.select("key").distinct(), "1900-01-31", "2150-12-31")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 2  # two blocks of the span, and the months of the key
