@@ -105,9 +105,9 @@ def fold(id_value) -> int:
     return zlib.crc32(str(id_value).encode()) % 5
 
 
-def sample_hash(key: Column) -> Column:
+def sample_hash(*key: Column) -> Column:
     """63 fair bits of a key."""
-    return F.xxhash64(key, F.lit("sample")).bitwiseAND(F.lit(2**63 - 1))
+    return F.xxhash64(*key, F.lit("sample")).bitwiseAND(F.lit(2**63 - 1))
 
 
 def sample_bound(rows: int, n: int) -> int:
@@ -115,18 +115,22 @@ def sample_bound(rows: int, n: int) -> int:
     return min(2**63 - 1, 2**63 * rows // n)
 
 
-def bounded_sample(df: DataFrame, rows: int, key: Column) -> DataFrame:
-    """About ``rows`` rows at most, by a hash of ``key``: the same rows in every run. Only for fitting models.
+def bounded_sample(df: DataFrame, rows: int, key: Column, *content: Column) -> DataFrame:
+    """About ``rows`` rows, by a hash of ``key``: the same in every run. Only for fitting models.
 
-    An empty sample of a table with rows is an error: a model of nothing would judge all of them.
+    A table of ``rows`` rows or fewer is its own sample. Rows with equal keys share their luck; where that leaves fewer than
+    half of ``rows`` or more than twice as many, keys are too few to draw by, and ``content`` joins them. Where even that
+    repeats too much, the rows of the least hashes are taken: those that compete for the last places are equal in key and
+    content. So a sample is never empty, never beyond twice ``rows``, and no row but its equals could stand in its place.
     """
     n = df.count()
     if n <= rows:
         return df
-    sample = df.filter(sample_hash(key) < sample_bound(rows, n))
-    if sample.isEmpty():
-        raise ValueError(f"no row of {n} is in a sample of {rows}: the keys are too few to sample by")
-    return sample
+    for drawn in ((key,), (key, *content)):
+        sample = df.filter(sample_hash(*drawn) < sample_bound(rows, n))
+        if rows <= 2 * sample.count() <= 4 * rows:
+            return sample
+    return df.orderBy(sample_hash(key, *content)).limit(rows)
 
 
 def unused_prefix(df: DataFrame, *names: str) -> str:

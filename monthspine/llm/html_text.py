@@ -31,6 +31,8 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
     re.S,
 )
+#: What may begin behind the last '>' and goes on to the end of the page.
+_UNENDED = re.compile(r"<!--.*|<!\[CDATA\[.*", re.S)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -85,6 +87,8 @@ def parse(page: str | None) -> list[Node]:
     nodes = [Node("#page", -1, 0)]
     page = page or ""
     open_, at, order, end = [0], 0, 0, len(page)
+    # behind the last '>' no tag ends, so none is looked for
+    last = page.rfind(">")
 
     def text(raw: str) -> None:
         nonlocal order
@@ -93,12 +97,14 @@ def parse(page: str | None) -> list[Node]:
             order += 1
 
     while at < end:
-        m = _TOKEN.search(page, at)
+        m = (_TOKEN if at <= last else _UNENDED).search(page, at)
         if not m:
             text(page[at:])
             break
         text(page[at : m.start()])
         at = m.end()
+        if m.re is _UNENDED:
+            break
         slash, tag, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if not tag:
             continue
@@ -432,7 +438,7 @@ def main_text(pages: DataFrame, trees: Trees, id_col: str = "page_id", html_col:
 
 def fit_pages(pages: DataFrame, rows: int = TRAINING_PAGES, id_col: str = "page_id", html_col: str = "html") -> Trees:
     """Trees from about ``rows`` pages at most."""
-    sample = bounded_sample(pages, rows, F.col(id_col)).select(id_col, html_col).limit(2 * rows).collect()
+    sample = bounded_sample(pages.select(id_col, html_col), rows, F.col(id_col), F.col(html_col)).collect()
     return fit_trees([r[1] for r in sorted(sample, key=str)])
 
 

@@ -111,11 +111,15 @@ class LanguageModel:
 
 
 def sample_of_each(known: DataFrame, rows: int) -> DataFrame:
-    """About ``rows`` rows of each language at most, by a hash of the id. The counts have a row for each language."""
-    counts = known.groupBy("lang").agg(F.count("*").alias("n_lang"))
+    """About ``rows`` rows of each language, by a hash of id and text; those with the least hash always, so none is left out.
+
+    The counts have a row for each language, as many as ``lang`` has values; they are joined as Spark sees fit.
+    """
+    drawn = known.withColumn("h", sample_hash(F.col("id"), F.col("text")))
+    counts = drawn.groupBy("lang").agg(F.count("*").alias("n_lang"), F.min("h").alias("least"))
     share = F.lit(float(rows)) / F.col("n_lang")
-    chosen = (share >= 1) | (sample_hash(F.col("id")).cast("double") < share * 2.0**63)
-    return known.join(F.broadcast(counts), "lang").filter(chosen).drop("n_lang")
+    chosen = (share >= 1) | (F.col("h").cast("double") < share * 2.0**63) | (F.col("h") == F.col("least"))
+    return drawn.join(counts, "lang").filter(chosen).drop("n_lang", "least", "h")
 
 
 def fit_language(docs: DataFrame, rows: int = TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:

@@ -225,7 +225,7 @@ def fit_quality(docs: DataFrame, rows: int = TRAINING_ROWS, id_col: str = "doc_i
 
         return step
 
-    sample = bounded_sample(docs, rows, F.col(id_col)).select(F.col(text_col).alias("text")).limit(2 * rows)
+    sample = bounded_sample(docs.select(id_col, text_col), rows, F.col(id_col), F.col(text_col)).select(F.col(text_col).alias("text"))
     got = map_batches(sample, ["text"], make_features, "good double, x binary").toPandas()
     x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(-1, BUCKETS)
     return QualityModel(model, fit_scorer(x, got["good"].to_numpy()))

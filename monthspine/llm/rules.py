@@ -118,7 +118,7 @@ def plan_cascade(
     docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int = 1000, id_col: str = "doc_id", text_col: str = "text"
 ) -> list[Rule]:
     """Order the rules on about ``sample`` documents, by a hash of the id. Only the order depends on the sample."""
-    rows = bounded_sample(docs, sample, F.col(id_col)).select(text_col).limit(2 * sample).collect()
+    rows = bounded_sample(docs.select(id_col, text_col), sample, F.col(id_col), F.col(text_col)).select(text_col).collect()
     return ordered(measure([r[0] for r in rows], rules))
 
 

@@ -387,12 +387,17 @@ def _calibrate(seen: np.ndarray, toxic: np.ndarray) -> np.ndarray:
 def training_rows(
     docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """(text, toxic) of at most about ``rows`` labelled documents outside the held-out fold, half of either label at most."""
+    """(id, text, toxic) of at most about ``rows`` labelled documents outside the held-out fold, half of either label at most.
+
+    An id that stands for several rows gives one, the text that comes first in code-point order; so no repeated row makes the
+    sample longer. Other columns of either table, also of these names, are not looked at.
+    """
+    docs = docs.select(F.col(id_col), F.col(text_col).alias("text"))
     known = labels.filter(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(id_col).agg(F.max("toxic").cast("int").alias("toxic"))
     parts = [bounded_sample(known.filter(F.col("toxic") == t), rows // 2, F.col(id_col)) for t in (1, 0)]
     chosen = parts[0].unionByName(parts[1])
-    return docs.join(chosen, id_col).select(id_col, F.col(text_col).alias("text"), "toxic")
+    return docs.join(chosen, id_col).groupBy(id_col).agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
 
 def toxicity_scores(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
