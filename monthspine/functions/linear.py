@@ -41,11 +41,17 @@ def least_squares(cov: np.ndarray, cross: np.ndarray) -> np.ndarray:
     return np.linalg.pinv(cov, rcond=1e-12, hermitian=True) @ cross
 
 
+def resolved(steps: list[tuple], target: int) -> list[tuple]:
+    """Steps with the fit's own target where a regressed factor names none."""
+    return [(*step[:2], target) if step[0] == "cp" and step[2] is None else step for step in steps]
+
+
 def feature_rows(s: np.ndarray, steps: list[tuple], width: int) -> np.ndarray:
     """Rows that map (1, predictors) to features, following ``steps``:
 
     ``("raw", cols)`` the columns themselves, ``("pca", cols, k, scaled)`` principal component
-    scores, ``("cp", cols, target)`` the fitted value of a target regressed on the columns.
+    scores, ``("cp", cols, target)`` the fitted value of a target regressed on the columns (``resolved`` puts in a
+    fit's own target for None).
     """
     rows = []
     for step in steps:
@@ -113,7 +119,7 @@ def standard_moments(s: np.ndarray, f: np.ndarray, target: int) -> tuple:
 
 def fit(s: np.ndarray, steps: list[tuple], width: int, target: int, kind: str = "ols", alpha: float = 0.0, mix: float = 1.0) -> np.ndarray:
     """Intercept and slopes on the raw predictors."""
-    f = feature_rows(s, steps, width)
+    f = feature_rows(s, resolved(steps, target), width)
     n, mu, sd, corr, cross, ym = standard_moments(s, f, target)
     b = least_squares(corr, cross) if kind == "ols" else penalised(corr, cross, n, kind, np.array([alpha]), np.array([mix]))[:, 0]
     b = b / sd
@@ -145,7 +151,7 @@ def tune(train: np.ndarray, whole: np.ndarray, steps: list[tuple], width: int, t
     if n_train < 10 or n_val < 3:
         return default_penalty(kind)
     alphas, mixes = grid_of(kind)
-    f = feature_rows(train, steps, width)
+    f = feature_rows(train, resolved(steps, target), width)
     n, mu, sd, corr, cross, ym = standard_moments(train, f, target)
     b = penalised(corr, cross, n, kind, alphas, mixes) / sd[:, None]
     coef = f.T @ b
@@ -154,3 +160,33 @@ def tune(train: np.ndarray, whole: np.ndarray, steps: list[tuple], width: int, t
     sse = held[target, target] - 2.0 * coef.T @ held[:width, target] + np.einsum("ik,ij,jk->k", coef, held[:width, :width], coef)
     best = int(np.argmin(sse))
     return float(alphas[best]), float(mixes[best])
+
+
+def held_out_error(coef: np.ndarray, held: np.ndarray, width: int, target: int) -> np.ndarray:
+    """Sums of squared errors of coefficient columns on the months whose moments are ``held``."""
+    return held[target, target] - 2.0 * coef.T @ held[:width, target] + np.einsum("ik,ij,jk->k", coef, held[:width, :width], coef)
+
+
+def fit_grid(s: np.ndarray, steps: list[tuple], width: int, target: int, alphas: np.ndarray | None) -> np.ndarray:
+    """Intercept and slopes on the raw predictors, a column per penalty of the lasso; one column without penalties."""
+    f = feature_rows(s, resolved(steps, target), width)
+    n, mu, sd, corr, cross, ym = standard_moments(s, f, target)
+    b = least_squares(corr, cross)[:, None] if alphas is None else descend(corr, cross, alphas, np.zeros(len(alphas)))
+    b = b / sd[:, None]
+    out = f.T @ b
+    out[0] += ym - mu @ b
+    return out
+
+
+def choose(train: np.ndarray, whole: np.ndarray, variants: list[list[tuple]], width: int, target: int, alphas: np.ndarray | None) -> tuple[int, int, float | None]:
+    """Numbers of the variant of features and of the penalty with the least held-out error, and its mean.
+
+    Of equal errors the first in trial order wins: penalties outermost. Without months to judge by it is the first of both.
+    """
+    n_val = whole[0, 0] - train[0, 0]
+    if train[0, 0] < 2 or n_val < 1:
+        return 0, 0, None
+    held = whole - train
+    sse = np.array([held_out_error(fit_grid(train, v, width, target, alphas), held, width, target) for v in variants]).T
+    at, variant = np.unravel_index(int(np.argmin(sse)), sse.shape)
+    return int(variant), int(at), float(sse[at, variant] / n_val)

@@ -102,41 +102,85 @@ def pearson(x: np.ndarray, y: np.ndarray) -> float | None:
 
 METHODS: dict[str, Callable] = {"kendall": kendall_tau_b, "pearson": pearson}
 
-
-def association(df: DataFrame, keys: list[str], item: str, value: str, method: str, min_periods: int = 1, blocks: int = 4) -> DataFrame:
+#: Items of one block: a task holds two blocks of monthly series.
+BLOCK_ITEMS = 64
+
+
+def pearson_blocks(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(common months, correlation) of all columns of x with all of y, NaN where missing, from masked products."""
+    mx, my = (~np.isnan(v) for v in (x, y))
+    # correlations do not change with the origin: centred columns lose no digits in the sums
+    cx, cy = (np.where(m, v - np.where(m, v, 0).sum(0) / np.maximum(m.sum(0), 1), 0.0) for v, m in ((x, mx), (y, my)))
+    mx, my = mx.astype(float), my.astype(float)
+    n = mx.T @ my
+    sx, sy = cx.T @ my, mx.T @ cy
+    some = np.maximum(n, 1)
+    vx, vy = (cx**2).T @ my - sx**2 / some, mx.T @ cy**2 - sy**2 / some
+    flat = (vx <= 1e-13 * ((cx**2).T @ my)) | (vy <= 1e-13 * (mx.T @ cy**2)) | (vx <= 0) | (vy <= 0)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return n, np.where(flat, np.nan, (cx.T @ cy - sx * sy / some) / np.sqrt(vx * vy))
+
+
+def kendall_blocks(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(common months, tau-b) of all columns of x with all of y: one product of signs for each distance between months."""
+    mx, my = (~np.isnan(v) for v in (x, y))
+    n = mx.astype(float).T @ my.astype(float)
+    score, by_x, by_y = (np.zeros(n.shape) for _ in range(3))
+    for gap in range(1, len(x)):
+        both_x, both_y = mx[gap:] & mx[:-gap], my[gap:] & my[:-gap]
+        sign_x = np.where(both_x, np.sign(x[gap:] - x[:-gap]), 0.0)
+        sign_y = np.where(both_y, np.sign(y[gap:] - y[:-gap]), 0.0)
+        score += sign_x.T @ sign_y
+        by_x += np.abs(sign_x).T @ both_y.astype(float)
+        by_y += both_x.astype(float).T @ np.abs(sign_y)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return n, np.where((by_x > 0) & (by_y > 0), score / (np.sqrt(by_x) * np.sqrt(by_y)), np.nan)
+
+
+BLOCKWISE: dict[str, Callable] = {"kendall": kendall_blocks, "pearson": pearson_blocks}
+
+
+def association(df: DataFrame, keys: list[str], item: str, value: str, method: str, min_periods: int = 1, blocks: int | None = None) -> DataFrame:
     """Correlation matrix of the items of each key (keys, a, b, n, corr) over common dates.
 
-    Items are hashed into blocks and each pair of blocks is one task holding two blocks of monthly
-    series; a value is repeated once per block, not once per partner. The rows produced are the
-    matrix itself. ``blocks`` grows with the number of items.
+    Items are hashed into blocks and each pair of blocks is one task holding two blocks of monthly series; a value is
+    repeated once per block, not once per partner. A task takes all its pairs at once, in matrix products. The rows produced
+    are the matrix itself. There are as many blocks as the items of the largest key need, unless ``blocks`` says.
     """
-    rule = METHODS[method]
+    rule = BLOCKWISE[method]
     names = [f"_k{i}" for i in range(len(keys))]
     fields = df.select(*keys).schema.fields
     head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields)
-    cells = df.where(F.col(value).isNotNull()).select(
+    known = df.where(F.col(value).isNotNull())
+    if blocks is None:
+        per_key = known.groupBy(*keys).agg(F.countDistinct(item).alias("n"))
+        number = F.greatest(F.lit(1), F.coalesce(per_key.select(F.ceil(F.max("n") / BLOCK_ITEMS).cast("int")).scalar(), F.lit(1)))
+    else:
+        number = F.lit(blocks)
+    cells = known.select(
         *[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(item).cast("string").alias("item"),
         F.unix_date("date").alias("t"), F.col(value).cast("double").alias("v"),
-        F.pmod(F.xxhash64(F.col(item).cast("string")), F.lit(blocks)).cast("int").alias("blk"),
+        F.pmod(F.xxhash64(F.col(item).cast("string")), number).cast("int").alias("blk"),
     )
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    other = F.explode(F.sequence(F.lit(0), number - 1))
     placed = cells.withColumn("o", other).withColumn("ba", F.least("blk", "o")).withColumn("bb", F.greatest("blk", "o")).drop("o")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         ba, bb = key[-2:]
         wide = pdf.pivot_table(index="t", columns="item", values="v", aggfunc="first")
-        of = dict(zip(pdf["item"], pdf["blk"]))
-        out = []
-        for a in [c for c in wide.columns if of[c] == ba]:
-            for b in [c for c in wide.columns if of[c] == bb]:
-                if ba == bb and a >= b:
-                    continue
-                x, y = wide[a].to_numpy(), wide[b].to_numpy()
-                both = ~(np.isnan(x) | np.isnan(y))
-                n = int(both.sum())
-                c = rule(x[both], y[both]) if n >= max(min_periods, 2) else None
-                out += [(*key[:-2], a, b, n, c), (*key[:-2], b, a, n, c)]
-        return pd.DataFrame(out, columns=[*keys, "a", "b", "n", "corr"])
+        of = pdf.drop_duplicates("item").set_index("item")["blk"].reindex(wide.columns).to_numpy()
+        a, b = (np.flatnonzero(of == k) for k in (ba, bb))
+        cells = wide.to_numpy()
+        n, corr = rule(cells[:, a], cells[:, b])
+        corr = np.where(n >= max(min_periods, 2), corr, np.nan)
+        i, j = np.nonzero((a[:, None] < b[None, :]) if ba == bb else np.ones(n.shape, bool))
+        items = wide.columns.to_numpy()
+        half = pd.DataFrame({"a": items[a[i]], "b": items[b[j]], "n": n[i, j].astype(np.int64), "corr": corr[i, j]})
+        out = pd.concat([half, half.rename(columns={"a": "b", "b": "a"})], ignore_index=True)
+        for k, v in zip(keys, key):
+            out[k] = v
+        out["corr"] = out["corr"].astype(object).where(out["corr"].notna(), None)
+        return out[[*keys, "a", "b", "n", "corr"]]
 
     return placed.groupBy(*names, "ba", "bb").applyInPandas(run, f"{head}a string, b string, n long, corr double")
 

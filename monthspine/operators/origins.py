@@ -212,3 +212,46 @@ def revised_fits(
     ).select("fit_m", "target", "fit.*")
     now = live.select("date", "fit_m", "z").join(solved, "fit_m")
     return solved, now.select("date", "target", dot(F.col("coef"), F.col("z"), layout.width).alias("y_hat"))
+
+
+# ---- grids over features and penalties ----------------------------------------------------------------
+
+
+def component_variants(lead: list[tuple], groups: list[list[int]], counts: list[int], scaled: bool = True) -> list[list[tuple]]:
+    """Feature sets to choose from: ``lead`` and so many components of each group, as many as it has columns at most."""
+    return [[*lead, *[("pca", g, min(k, len(g)), scaled) for g in groups]] for k in counts]
+
+
+def grid_forecast(
+    rows: DataFrame, layout: Design, variants: list[list[tuple]], start: str, gap: int, alphas: tuple[float, ...] | None = None, refit_every: int = 1,
+) -> DataFrame:
+    """(date, target, variant, alpha, val_loss, y_hat) of models whose features and lasso penalty are chosen at every refit.
+
+    All pairs of a variant of features and a penalty are judged on the last 15% of the training months; scalings, components
+    and slopes stem from the months before, and from all training months once the pair is chosen. Errors come from
+    differences of moment matrices. One variant and one penalty need no judging; without ``alphas`` fits are plain.
+    """
+    size, width = layout.size, layout.width
+    listed = None if alphas is None else np.asarray(alphas, float)
+    out = T.StructType([T.StructField("coef", T.ArrayType(T.DoubleType())), T.StructField("variant", T.IntegerType()), T.StructField("alpha", T.DoubleType()), T.StructField("val_loss", T.DoubleType())])
+
+    @F.pandas_udf(out)
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for a, b, t in zip(*batch):
+                cut, whole = (linear.unpack(np.asarray(s), size) for s in (a, b))
+                variant, at, loss = linear.choose(cut, whole, variants, width, int(t), listed)
+                only = None if listed is None else listed[at : at + 1]
+                coef = linear.fit_grid(whole, variants[variant], width, int(t), only)[:, 0]
+                found.append((coef.tolist(), variant, 0.0 if listed is None else float(listed[at]), loss))
+            yield pd.DataFrame(found, columns=[f.name for f in out.fields])
+
+    acc = cumulative_moments(rows, layout)
+    o = origins(rows, start, gap, refit_every, 1)
+    at = lambda name, c: acc.select(F.col("m").alias(name), F.col("moments").alias(c))
+    fits = o.select("fit_m", "_first").distinct().withColumn("end", _train_end("fit_m", gap)).withColumn("cut", _split_end("fit_m", gap))
+    each = per_target(fits.join(at("end", "b"), "end").join(at("cut", "a"), "cut"), layout, "fit_m")
+    solved = each.select("fit_m", "target", run("a", "b", "t").alias("fit")).select("fit_m", "target", "fit.*")
+    now = o.select("date", "fit_m", "z").join(solved, "fit_m")
+    return now.select("date", "target", "variant", "alpha", "val_loss", dot(F.col("coef"), F.col("z"), width).alias("y_hat"))

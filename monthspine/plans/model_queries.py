@@ -10,6 +10,7 @@ from ..functions import columns as C
 from ..operators import benchmarks as B
 from ..operators import curve as CV
 from ..operators import forest as FO
+from ..operators import origins as O
 from ..operators import transforms as T
 from ..operators import walkforward as W
 from .fixtures import Fixtures, add_view
@@ -116,6 +117,7 @@ def forecast(fx: Fixtures, steps: list[tuple], kind: str = "ols", every: int = 1
 
 FIVE = LAYOUT.cols("forward", 5)
 CP = ("cp", FIVE, LAYOUT.target("_mean"))
+OWN_CP = ("cp", FIVE, None)
 ALL_MACRO = LAYOUT.cols("macro")
 STEPS = {
     "fc_linear": [("raw", LAYOUT.cols("forward"))],
@@ -126,6 +128,8 @@ STEPS = {
     "fc_group_pcr": [("pca", LAYOUT.cols("yields"), 3, True), *[("pca", g, 1, True) for g in MACRO_GROUPS]],
     "fc_yield_macro_pcs": [("pca", LAYOUT.cols("yields"), 3, False), ("pca", ALL_MACRO, 8, True)],
     "fc_cp_factors": [CP, ("pca", ALL_MACRO, 8, True)],
+    "fc_cp_own": [OWN_CP],
+    "fc_cp_own_factors": [OWN_CP, ("pca", ALL_MACRO, 8, True)],
 }
 PENALISED = {
     "fc_ridge": ("ridge", [("raw", ALL_MACRO), ("raw", LAYOUT.cols("forward"))]),
@@ -191,7 +195,8 @@ def importance_sql(width: int) -> str:
     return least_squares_sql(width, " UNION ALL ".join(parts))
 
 
-LEAST_SQUARES = {"fc_linear": len(FWD), "fc_cp": 5}
+# a regression on its own fitted value is that fit: the own factor alone forecasts as its predictors do
+LEAST_SQUARES = {"fc_linear": len(FWD), "fc_cp": 5, "fc_cp_own": 5}
 
 
 def _linear(name: str, steps: list[tuple]) -> None:
@@ -255,3 +260,25 @@ def q_forest_pcs(fx):
     """Trees on three yield components and one of each macro group, yearly refits."""
     grid = FO.Grid((200,), (5,), (1,))
     return FO.forest_forecast(design(fx), LAYOUT, TREES_ON, OOS, WGAP, grid, refit_every=12, tune_every=1, steps=STEPS["fc_group_pcr"])
+
+
+GRID_ALPHAS = (1e-4, 1e-3, 1e-2, 0.1, 1.0, 10.0)
+PC_GRID = O.component_variants([("pca", LAYOUT.cols("forward"), 3, True)], MACRO_GROUPS, [1, 2, 3])
+
+
+@query("fc_group_pcr_grid")
+def q_pc_grid(fx):
+    """One, two or three components of every macro group, chosen at each refit."""
+    return O.grid_forecast(design(fx), LAYOUT, PC_GRID, OOS, WGAP)
+
+
+@query("fc_group_lasso_grid")
+def q_lasso_grid(fx):
+    """Components and the lasso's penalty chosen together."""
+    return O.grid_forecast(design(fx), LAYOUT, PC_GRID, OOS, WGAP, GRID_ALPHAS)
+
+
+@query("fc_group_lasso_fixed")
+def q_lasso_fixed(fx):
+    """One component of every macro group under a fixed penalty; the loss is reported, nothing is chosen by it."""
+    return O.grid_forecast(design(fx), LAYOUT, PC_GRID[:1], OOS, WGAP, (1e-4,))

@@ -178,3 +178,57 @@ def test_importance_names(rows):
     coefs = W.coefficients(rows, LAYOUT, [("raw", FW)], START, GAP, refit_every=6)
     got = {(r.target, r.name): r.mean_abs for r in W.importance(coefs, LAYOUT).collect()}
     assert set(got) == set(itertools.product(["a", "b"], ["(intercept)", *NAMES])) and got["a", "x5"] == 0.0
+
+
+def lasso(z, y, alpha):
+    """Plain coordinate descent on standardised features."""
+    mu, sd = z.mean(0), z.std(0)
+    q, c, b = (z - mu) / sd, y - y.mean(), np.zeros(z.shape[1])
+    for _ in range(5000):
+        before = b.copy()
+        for j in range(len(b)):
+            rho = q[:, j] @ (c - q @ b + q[:, j] * b[j]) / len(y)
+            b[j] = np.sign(rho) * max(abs(rho) - alpha, 0.0)
+        if np.abs(b - before).max() < 1e-10:
+            break
+    return lambda p: y.mean() + (p - mu) / sd @ b
+
+
+@pytest.mark.parametrize("alphas", [None, (0.01, 0.1, 1.0), (0.05,)])
+def test_grid_over_components_and_penalties(rows, alphas):
+    from monthspine.operators import origins as O
+
+    groups = [LAYOUT.cols("macro")[:3], LAYOUT.cols("macro")[3:]]
+    variants = O.component_variants([("pca", LAYOUT.cols("fwd"), 2, True)], groups, [1, 2, 3])
+    got = {(r.date.year * 12 + r.date.month - 24001, r.target): r for r in O.grid_forecast(rows, LAYOUT, variants, START, GAP, alphas, refit_every=4).collect()}
+
+    def model(x, y, k, alpha):
+        maps = [pca(x[:, :3], 2, True), pca(x[:, 3:6], k, True), pca(x[:, 6:], k, True)]
+        fmap = lambda p: np.column_stack([m(p[:, c]) for m, c in zip(maps, (slice(0, 3), slice(3, 6), slice(6, 9)))])
+        fit = ols(fmap(x), y) if alpha is None else lasso(fmap(x), y, alpha)
+        return lambda p: fit(fmap(p))
+
+    for t in range(48, T):
+        end = 48 + (t - 48) // 4 * 4 - GAP
+        cut = int(end * 0.85)
+        for j, g in enumerate(["a", "b"]):
+            y = YS[:, j]
+            tried = [(((model(X[:cut], y[:cut], k, al)(X[cut:end]) - y[cut:end]) ** 2).mean(), i, k - 1)
+                     for i, al in enumerate(alphas or [None]) for k in (1, 2, 3)]
+            loss, i, v = min(tried)
+            r = got[t, g]
+            assert (r.variant, r.alpha) == (v, alphas[i] if alphas else 0.0)
+            assert r.val_loss == pytest.approx(loss, rel=1e-3)
+            assert r.y_hat == pytest.approx(model(X[:end], y[:end], v + 1, alphas[i] if alphas else None)(X[t : t + 1])[0], abs=2e-3)
+
+
+def test_factor_of_the_own_target(rows):
+    steps = [("cp", LAYOUT.cols("fwd"), None), ("pca", LAYOUT.cols("macro"), 2, True)]
+    got = collected(W.linear_forecast(rows, LAYOUT, steps, START, GAP))
+
+    def make(x, y, mean):
+        cp, pcs = ols(x[:, :3], y), pca(x[:, 3:], 2, True)
+        return through(lambda p: np.column_stack([cp(p[:, :3]), pcs(p[:, 3:])]), x, y)
+
+    for k, v in direct(make).items():
+        assert got[k] == pytest.approx(v, abs=1e-8)

@@ -100,3 +100,29 @@ def test_expanding_quantiles_are_exact(spark, bins):
     for m in range(1, 9):
         past = [v for d, v in rows if int(d[5:7]) <= m]
         assert got[f"2000-{m:02d}"] == pytest.approx(tuple(np.quantile(past, [0.013, 0.9])))
+
+
+@pytest.mark.parametrize("method", ["pearson", "kendall"])
+def test_blocks_equal_pairs(method):
+    rng = np.random.default_rng(1)
+    x = np.round(rng.normal(size=(70, 6)), 1)
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:, 4] = 3.0
+    x[2:, 5] = np.nan
+    n, corr = K.BLOCKWISE[method](x[:, :3], x[:, 2:])
+    for i in range(3):
+        for j in range(4):
+            a, b = x[:, i], x[:, 2 + j]
+            both = ~np.isnan(a) & ~np.isnan(b)
+            assert n[i, j] == both.sum()
+            want = K.METHODS[method](a[both], b[both]) if both.sum() >= 2 else None
+            assert np.isnan(corr[i, j]) if want is None else corr[i, j] == pytest.approx(want)
+
+
+def test_several_blocks_give_one_matrix(spark):
+    rows = [(f"2000-{m:02d}-28", f"i{k}", float((m * (k + 3)) % 7)) for m in range(1, 13) for k in range(9)]
+    df = spark.createDataFrame(rows, "d string, item string, v double").selectExpr("CAST(d AS DATE) AS date", "item", "v")
+    one, many = ({(r.a, r.b): (r.n, r.corr) for r in K.association(df, [], "item", "v", "kendall", blocks=b).collect()} for b in (None, 4))
+    assert one.keys() == many.keys() and len(one) == 72
+    for k, (n, c) in one.items():
+        assert many[k] == (n, pytest.approx(c) if c is not None else None)
