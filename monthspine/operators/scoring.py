@@ -132,3 +132,22 @@ def fragility_summary(scores: DataFrame, key: str, config: str, baseline: str, v
         pct(F.col("max")).alias("max"), pct(F.col("max") - F.col("min")).alias("range"),
         share("positive_configs").alias("positive"), share("significant_configs").alias("significant"),
     )
+
+
+def variant_table(rows: DataFrame, shapes: dict[str, DataFrame], benchmarks: list[str], components: int) -> DataFrame:
+    """One row per (macro_source, feature_method): out-of-sample R2 against each benchmark, missing cells and effective columns.
+
+    ``rows`` are scored forecasts with the two keys; ``shapes`` gives each source's (nulls, cols, rows) panel shape. Raw
+    features use all columns, components as many as asked for, as the panel has months, or as it has columns.
+    """
+    keys = ["macro_source", "feature_method"]
+    score = rows.groupBy(*keys).agg(*[r2(both(b), b).alias(f"r2_{b}") for b in benchmarks])
+    shape = None
+    for source, frame in shapes.items():
+        named = frame.withColumn("macro_source", F.lit(source))
+        shape = named if shape is None else shape.unionByName(named)
+    width = F.when(F.col("feature_method") == "raw", F.col("cols")).otherwise(F.least(F.lit(components), "rows", "cols"))
+    return score.join(shape, "macro_source").select(
+        *keys, *[f"r2_{b}" for b in benchmarks], F.col("nulls").alias("macro_missing_cells"), F.col("cols").alias("macro_cols"),
+        width.cast("bigint").alias("feature_cols"),
+    )

@@ -101,12 +101,15 @@ def average_rank(value: str, keys: list[str]) -> Column:
     return F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2.0
 
 
-def mann_whitney(df: DataFrame, keys: list[str], value: str, flag: str) -> DataFrame:
+def mann_whitney(df: DataFrame, keys: list[str], value: str, flag: str, method: str = "auto") -> DataFrame:
     """Means, medians and the two-sided Mann-Whitney p of a regime against the rest.
 
-    Exact p when a sample has at most eight values and nothing ties, else the normal
-    approximation with tie and continuity correction; NULL below three values on a side.
+    ``method`` "normal" approximates, with tie and continuity correction; "exact" counts arrangements where nothing ties and
+    gives NULL elsewhere; "auto" is exact where a sample has at most eight untied values and normal elsewhere. NULL below
+    three values on a side.
     """
+    if method not in ("auto", "exact", "normal"):
+        raise ValueError(f"unknown method {method}")
     rows = df.where(F.col(value).isNotNull()).withColumn("_rank", average_rank(value, keys)).withColumn(
         "_ties", F.count(F.lit(1)).over(Window.partitionBy(*keys, value)).cast("double")
     )
@@ -125,11 +128,12 @@ def mann_whitney(df: DataFrame, keys: list[str], value: str, flag: str) -> DataF
     z = F.try_divide(F.greatest(u, n1 * n2 - u) - n1 * n2 / 2.0 - 0.5, sd)
     approx = F.least(2.0 * normal_upper(z), F.lit(1.0))
     enough = (F.col("n_in") >= 3) & (F.col("n_out") >= 3)
-    small = (F.least("n_in", "n_out") <= 8) & (F.col("_t") == 0)
+    untied = F.col("_t") == 0
+    small = {"auto": (F.least("n_in", "n_out") <= 8) & untied, "exact": untied, "normal": F.lit(False)}[method]
     g = g.withColumn("u_stat", F.when(F.col("n_in") > 0, u)).withColumn("mean_diff", F.col("mean_in") - F.col("mean_out"))
     exact = mann_whitney_exact(F.when(enough & small, F.col("u_stat")), F.col("n_in"), F.col("n_out"))
     return g.withColumn("_exact", exact).withColumn(
-        "p_value", F.when(enough & small, F.col("_exact")).when(enough, approx)
+        "p_value", F.when(enough & small, F.col("_exact")).when(enough & F.lit(method != "exact"), approx)
     ).drop("_r", "_t", "_exact")
 
 

@@ -179,9 +179,11 @@ def vintage_panels(
     if diagonal:
         tagged = tagged.where(months_apart("forecast_date", "date") <= 2)
     names = registry.where(~F.col("series").isin(list(drop))) if drop else registry
-    grid = selection.select(
-        "forecast_date", F.explode(names.agg(F.collect_set("series")).scalar()).alias("series")
-    )
+    # every forecast date with every series: an equality join on a few salts, so no task holds all of either side
+    salts = 16
+    dealt = names.select("series", F.pmod(F.xxhash64("series"), F.lit(salts)).alias("_s")).distinct()
+    grid = selection.select("forecast_date", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")).alias("_s"))
+    grid = grid.join(dealt, "_s").select("forecast_date", "series")
     lo = F.when(F.lit(diagonal), shift_months("forecast_date", -2)).otherwise(F.lit(warm).cast("date"))
     month_cells = F.map_from_entries(F.collect_list(F.struct("date", F.struct("raw", "tag"))))
     packed = tagged.groupBy("forecast_date", "series").agg(month_cells.alias("_m"))
@@ -467,7 +469,9 @@ def realtime_features(
     the registry does not carry fails the query.
     """
     wanted = features.where(F.col("source") == macro).select("series").distinct()
-    problem = wanted.join(names.select("series"), "series", "left_anti").agg(F.concat_ws(", ", F.collect_set("series"))).scalar()
+    # the error names the first offender and how many there are
+    lost = wanted.join(names.select("series"), "series", "left_anti")
+    problem = lost.agg(F.when(F.count("*") > 0, F.concat(F.min("series"), F.lit(" and others, in all "), F.count("*").cast("string"))).otherwise("")).scalar()
     origins = dates.select(F.col("forecast_date").alias("origin")).distinct()
     fixed = features.where(F.col("source") != macro).select("date", "source", "series", "value")
     plain = with_months(fixed, F.greatest("date", F.lit(first).cast("date")), F.lit(last), "origin").join(

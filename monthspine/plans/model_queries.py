@@ -77,7 +77,7 @@ def line(train: pd.DataFrame, rows: pd.DataFrame) -> np.ndarray:
 
 @query("walk_forward_udf", f"SELECT date, maturity, y_hat FROM ({ols_sql(12)}) q", "fx_xy")
 def q_walk_udf(fx):
-    return W.walk_forward(xy(fx), M, line, OOS, WGAP, 12).withColumn("y_hat", C.rnd("y_hat"))
+    return W.walk_forward(fx.shared(xy(fx)), M, line, OOS, WGAP, 12).withColumn("y_hat", C.rnd("y_hat"))
 
 
 # ---- several predictors -----------------------------------------------------------------------

@@ -193,7 +193,7 @@ add_view("fx_pairs", """
     FROM (SELECT *, CASE WHEN {hln_sql(4)} > 0 AND {lrv_sql(4)} > 0 THEN sqrt({hln_sql(4)})*mean/sqrt({lrv_sql(4)}/n) END AS s
           FROM ({moments_sql('maturity, model_a, model_b', 'fx_pairs', 'd', 3)}) m) q""", "fx_pairs")
 def q_dm_matrix(fx):
-    rows = fx.models.join(fx.curve, ["date", "maturity"])
+    rows = fx.shared(fx.models.join(fx.curve, ["date", "maturity"]))
     return rounded(G.dm_pairs(rows, "maturity", "model", 4), mean=10, dm_stat=6, p_value=6)
 
 
@@ -354,12 +354,9 @@ def q_variants(fx):
     rows = scored(fx, ["hist_mean", "zero"]).where(F.col("maturity") == 60).select(
         "*", F.when(F.col("model").isin("m0", "m2"), "dense").otherwise("sparse").alias("macro_source"),
         F.when(F.col("model").isin("m0", "m1"), "raw").otherwise("pca").alias("feature_method"))
-    keys = ["macro_source", "feature_method"]
-    score = rows.groupBy(*keys).agg(C.rnd(S.r2(S.both("hist_mean"), "hist_mean")).alias("r2_hist_mean"), C.rnd(S.r2(S.both("zero"), "zero")).alias("r2_zero"))
-    shape = panel_shape(dense(fx)).withColumn("macro_source", F.lit("dense")).unionByName(panel_shape(sparse_dense(fx)).withColumn("macro_source", F.lit("sparse")))
-    width = F.when(F.col("feature_method") == "raw", F.col("cols")).otherwise(F.least(F.lit(8), "rows", "cols"))
-    return score.join(shape, "macro_source").select(
-        *keys, "r2_hist_mean", "r2_zero", F.col("nulls").alias("macro_missing_cells"), F.col("cols").alias("macro_cols"), width.cast("bigint").alias("feature_cols"))
+    shapes = {"dense": panel_shape(fx.shared(dense(fx))), "sparse": panel_shape(fx.shared(sparse_dense(fx)))}
+    out = S.variant_table(fx.shared(rows), shapes, ["hist_mean", "zero"], 8)
+    return rounded(out, r2_hist_mean=6, r2_zero=6)
 
 
 # ---- ensembles --------------------------------------------------------------------------------
