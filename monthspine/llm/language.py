@@ -15,12 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, held_out, map_batches, sample_hash, slices
+from .common import arrow_schema, held_out, map_batches, sample_hash, slices, stored
 
 DIMENSIONS = 1024
 GRAM = 3
 #: Most labelled documents of a language, about, that train its prototype; all of a language with fewer.
 TRAINING_ROWS = 8000
+#: Counts of so many languages at most are broadcast.
+FEW_LANGUAGES = 10_000
 #: Columns of the table of n-gram counts that are in memory at once.
 _BLOCK = 4096
 _SPACE = 32
@@ -110,16 +112,23 @@ class LanguageModel:
         return [self.languages[b] if s else "und" for b, s in zip(best.tolist(), spoken.tolist())], score
 
 
-def sample_of_each(known: DataFrame, rows: int) -> DataFrame:
+def sample_of_each(known: DataFrame, rows: int, few: int = FEW_LANGUAGES) -> DataFrame:
     """About ``rows`` rows of each language, by a hash of id and text; those with the least hash always, so none is left out.
 
-    The counts have a row for each language, as many as ``lang`` has values; they are joined as Spark sees fit.
+    The counts have a row for each value of ``lang``. Up to ``few`` of them are broadcast; more join on salts, so that a
+    language with a third of all rows is no single task.
     """
     drawn = known.withColumn("h", sample_hash(F.col("id"), F.col("text")))
     counts = drawn.groupBy("lang").agg(F.count("*").alias("n_lang"), F.min("h").alias("least"))
+    counts = stored(known.sparkSession, counts, "languages")
+    if counts.count() <= few:
+        joined = drawn.join(F.broadcast(counts), "lang")
+    else:
+        salts = F.array(*[F.lit(i).cast("long") for i in range(64)])
+        joined = drawn.withColumn("salt", F.col("h") % 64).join(counts.withColumn("salt", F.explode(salts)), ["lang", "salt"]).drop("salt")
     share = F.lit(float(rows)) / F.col("n_lang")
     chosen = (share >= 1) | (F.col("h").cast("double") < share * 2.0**63) | (F.col("h") == F.col("least"))
-    return drawn.join(counts, "lang").filter(chosen).drop("n_lang", "least", "h")
+    return joined.filter(chosen).drop("n_lang", "least", "h")
 
 
 def fit_language(docs: DataFrame, rows: int = TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:

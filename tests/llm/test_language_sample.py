@@ -13,3 +13,9 @@ def test_rare_language_is_learned(spark):
     sizes = {r["lang"]: r["count"] for r in kept}
     assert sizes["en"] == 5 and 10 < sizes["de"] < 60
     assert language.fit_language(docs, rows=30).languages == ("de", "en")
+
+
+def test_many_languages_join_on_salts(spark):
+    rows = spark.range(4_000).selectExpr("id", "concat('t', id) AS text", "IF(id % 3 = 0, 'big', concat('l', id % 40)) AS lang")
+    draw = lambda few: sorted((r.lang, r.id) for r in language.sample_of_each(rows, 20, few).collect())
+    assert draw(0) == draw(1_000) and len({lang for lang, _ in draw(0)}) == 41
