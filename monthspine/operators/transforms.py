@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import insort
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
@@ -81,21 +84,47 @@ def availability_mask(value: str, keys: list[str]) -> Column:
     return F.col(value).isNull() & outside
 
 
+def running_medians(values: list[float | None], gap: int) -> list[float | None]:
+    """Median of the present values more than ``gap`` places before each place; None where there is none.
+
+    One ordered list takes each value once, by binary search.
+    """
+    seen: list[float] = []
+    out: list[float | None] = []
+    for i in range(len(values)):
+        new = values[i - gap - 1] if i > gap else None
+        if new is not None and new == new:
+            insort(seen, new)
+        n = len(seen)
+        low, high = (seen[(n - 1) // 2], seen[n // 2]) if n else (None, None)
+        out.append(low + (high - low) * 0.5 if n else None)
+    return out
+
+
 def training_median(df: DataFrame, keys: list[str], gap: int, all_missing: float = 0.0, value: str = "value", out: str = "fill") -> DataFrame:
     """Add the median of the rows an origin trains on; a constant when there is none.
 
-    Exact: the frame's values are one per month, so the list it sorts is bounded by the calendar.
+    Exact. A key's months (one row each, so bounded by the calendar) are gathered once and their medians follow from one
+    ordered list that grows month by month, instead of a sorted list per row. NULL and NaN count as missing.
     """
-    seen = df.withColumn("_seen", F.sort_array(F.collect_list(value).over(training_rows(keys, gap))))
-    n = F.size("_seen")
-    low = F.get("_seen", F.floor((n - 1) / 2).cast("int"))
-    high = F.get("_seen", F.floor(n / 2).cast("int"))
-    return seen.withColumn(out, F.when(n > 0, low + (high - low) * 0.5).otherwise(F.lit(all_missing))).drop("_seen")
+    @F.pandas_udf("array<double>")
+    def medians(lists: pd.Series) -> pd.Series:
+        return pd.Series([running_medians(list(x), gap) for x in lists], dtype=object)
+
+    columns = df.columns
+    months = F.sort_array(F.collect_list(F.struct("date", *[c for c in columns if c not in (*keys, "date")])))
+    rows = df.groupBy(*keys).agg(months.alias("_rows"))
+    listed = F.transform("_rows", lambda r: r[value].cast("double"))
+    rows = rows.withColumn("_medians", medians(listed)).select(*keys, F.explode(F.arrays_zip("_rows", "_medians")).alias("_r"))
+    fill = F.coalesce(F.col("_r._medians"), F.lit(all_missing)).alias(out)
+    return rows.select(*[F.col(c) if c in keys else F.col("_r._rows")[c].alias(c) for c in columns], fill)
 
 
 def impute_training_median(df: DataFrame, keys: list[str], gap: int = 0, keep_timing: bool = True, all_missing: float = 0.0) -> DataFrame:
     """Per origin: fill value, availability mask and the imputed cell of the origin's own row."""
-    out = training_median(df, keys, gap, all_missing).withColumn("masked", availability_mask("value", keys))
+    # the mask's window first: its partitioning serves the grouping too, while Python's output has none
+    masked = df.withColumn("masked", availability_mask("value", keys))
+    out = training_median(masked, keys, gap, all_missing).select(*df.columns, "fill", "masked")
     filled = F.coalesce("value", "fill")
     return out.withColumn(
         "imputed", F.when(F.col("masked"), F.lit(None)).otherwise(filled) if keep_timing else filled
