@@ -10,9 +10,14 @@ words around only, so a copied passage has the anchors of its item, wherever it
 no window at every word. From an anchor, walks of several lengths (size classes) are sampled: an item uses at each of its
 anchors the longest class that still lies within what is left of it, so the hashed window is as long as the item.
 
-Walks lose items with few anchors and many edits, so unedited pieces stand beside them: with e edits allowed, one of e + 1
-pieces of an item is unchanged, and the run of words at its beginning is looked up at every word. No stretch within
-``max_distance`` is missed.
+The number of walks follows from RECALL at the largest distance, with the chance that an anchor is unedited, for items of
+``ANCHORS`` anchors. Shorter items have too few, so their unedited pieces stand in: with e edits allowed, one of e + 1 pieces
+of an item is unchanged, and the run of words at its beginning is looked up at every word. ``complete`` gives every item
+its pieces, so that no stretch within ``max_distance`` is missed.
+
+Items may share beginnings (prompts). A hash that more than ``SHARED`` items have proposes only those of which ``WITNESSES``
+rare words are near: of any e + 3 words of an item three are unedited, and each item brings the e + 3 that fewest of the
+group have.
 
 Windows that share a hash with an item are verified: the item is aligned with the words around the window, and the edit
 distance (insertions, deletions and changes of words; free ends in the document) must be at most ``max_distance`` of the
@@ -36,15 +41,20 @@ from .common import arrow_schema, mix, slices, spans
 
 #: Items a task holds at once; an item has a few dozen hashes, so a block stays below some 50 MB.
 BLOCK_ITEMS = 20_000
-#: Words on either side of an anchor, none of which has a smaller hash.
-REACH = 3
+#: Words on either side of an anchor, none of which has a smaller hash: a third of all words are anchors.
+REACH = 1
+#: Anchors from which on an item comes through its walks alone (some 28 words).
+ANCHORS = 7
+#: Items of one hash up to which all are proposed.
+SHARED = 16
+#: Unedited rare words that an item of a more frequent hash must show.
+WITNESSES = 3
 #: Places sampled for a hash, and the walk lengths (in words) of the size classes.
 SAMPLES = 3
 CLASSES = (6, 12, 24, 48)
-#: Items are found up to this share of edited words, by pieces if not by walks; the walks' repeats are set for RECALL at
-#: DESIGN_DISTANCE from an unedited anchor.
+#: Items are found up to this share of edited words; the walks' repeats are set for RECALL at DESIGN_DISTANCE.
 MAX_DISTANCE = 0.2
-DESIGN_DISTANCE = 0.1
+DESIGN_DISTANCE = MAX_DISTANCE
 RECALL = 0.9
 #: Longest run of words that stands for a piece of an item; one in five edited leaves pieces of three or four words.
 PIECE = 4
@@ -68,14 +78,18 @@ class NormalHashes(dict):
         return h[h > 0]
 
 
-def repeats_for(recall: float, distance: float, samples: int = SAMPLES) -> int:
-    """Hashes needed for an anchor to meet its item with the given chance, if this share of words is edited.
+def repeats_for(recall: float, distance: float, samples: int = SAMPLES, n_anchors: int = ANCHORS) -> int:
+    """Walks needed for an item of so many anchors to be met with the given chance, if this share of its words is edited.
 
-    An edit puts a walk out of step for a few places and costs it about two of them on average, so a sampled place agrees
-    with chance 1 - 2 * distance. Long items have several anchors, which only helps.
+    An anchor survives if no word within REACH of it is edited. An edit puts a walk out of step for a few places and costs
+    it about two of them on average, so a sampled place agrees with chance 1 - 2 * distance.
     """
+    survives = (1 - distance) ** (2 * REACH + 1)
     agree = max(0.05, 1 - 2 * distance) ** samples
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree)))
+    wanted = 1 - (1 - recall) ** (1 / n_anchors)
+    if wanted >= survives:
+        raise ValueError(f"{n_anchors} anchors cannot reach a recall of {recall} at {distance}")
+    return max(1, math.ceil(math.log(1 - wanted / survives) / math.log(1 - agree)))
 
 
 def anchors(h: np.ndarray, reach: int = REACH) -> np.ndarray:
@@ -98,6 +112,13 @@ def runs(h: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts one after another, each closed by REACH paddings, and where each ends (behind its paddings)."""
+    pad = np.full(REACH, 2**64 - 1, np.uint64)
+    h = np.concatenate([np.empty(0, np.uint64), *(x for t in texts for x in (t, pad))])
+    return h, np.cumsum([len(t) + REACH for t in texts], dtype=np.int64)
+
+
 class Walks:
     """Sampled places of independent walks, and the hashes made of them."""
 
@@ -171,31 +192,69 @@ def best_stretch(item: np.ndarray, h: np.ndarray, low: int, high: int, limit: in
 class Items:
     """The hashes of a block of items, for looking up those of windows."""
 
-    def __init__(self, items: list[tuple[object, str | None]], walks: Walks, max_distance: float = MAX_DISTANCE):
+    def __init__(self, items: list[tuple[object, str | None]], walks: Walks, max_distance: float = MAX_DISTANCE, complete: bool = True):
         hashes = NormalHashes()
         self.ids, self.walks = [i for i, _ in items], walks
         self.words = [hashes.of(text) for _, text in items]
+        self.lens = np.array([len(h) for h in self.words], np.int64)
+        self.limits = np.array([math.floor(max_distance * len(h)) for h in self.words], np.int64)
+        # all items one after another, so that each step works on every one of them
+        h, ends = joined(self.words)
+        begins = ends - REACH - self.lens
+        starts = anchors(h)
+        owner = np.searchsorted(ends, starts, "right")
+        room = ends[owner] - REACH - starts
+        starts, owner, room = (x[room > 0] for x in (starts, owner, room))
+        useful = owner[(starts - begins[owner] >= REACH) & (room >= walks.classes[0])]
+        with_pieces = (self.lens > 0) & (complete | (np.bincount(useful, minlength=len(items)) < ANCHORS))
+        # with e edits one of e + 1 pieces is unchanged, so a run from each piece stands for it
+        pieces = np.where(with_pieces, self.limits + 1, 0)
+        sizes = np.minimum(PIECE, self.lens // (self.limits + 1))
+        self.run_sizes = set(sizes[with_pieces].tolist())
         found = [(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))]
-        self.run_sizes: set[int] = set()
-        for k, h in enumerate(self.words):
-            starts = anchors(h)
-            room = len(h) - starts
-            if len(h):
-                # with e edits one of e + 1 pieces is unchanged, so a run from each piece stands for it
-                pieces = math.floor(max_distance * len(h)) + 1
-                size = min(PIECE, len(h) // pieces)
-                at = np.arange(pieces) * (len(h) // pieces)
-                found.append((runs(h, size)[at], np.full(pieces, k), at))
-                self.run_sizes.add(size)
-            fitting = np.searchsorted(walks.classes, room, "right") - 1
-            for c, live, keys in walks.hashes(h, starts, np.full(len(starts), len(h))):
-                own = fitting[live] == c
-                found.append((keys[own], np.full(int(own.sum()), k), starts[live[own]]))
+        for size in self.run_sizes:
+            k = np.flatnonzero(with_pieces & (sizes == size))
+            of = np.repeat(k, pieces[k])
+            at = spans(np.zeros(len(k), np.int64), pieces[k]) * (self.lens[of] // pieces[of])
+            found.append((runs(h, size)[begins[of] + at], of, at))
+        fitting = np.searchsorted(walks.classes, room, "right") - 1
+        for c, live, keys in walks.hashes(h, starts, starts + room):
+            own = fitting[live] == c
+            found.append((keys[own], owner[live[own]], (starts - begins[owner])[live[own]]))
         keys, owners, offsets = (np.concatenate(x) for x in zip(*found))
         order = np.argsort(keys, kind="stable")
         self.keys, self.owners, self.offsets = keys[order], owners[order], offsets[order]
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(self.keys & np.uint64(0xFFFFF)).astype(np.int64)] = True
+        self.groups: dict[int, tuple] = {}
+
+    def _rare(self, a: int, n: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+        """Rare words of the items behind the entries a .. a + n - 1, sorted; the entry of each; words they reach back and on.
+
+        An item has as many of them as edits and ``WITNESSES`` together, a repeated word counted each time.
+        """
+        if a not in self.groups:
+            owners, offsets = self.owners[a : a + n], self.offsets[a : a + n]
+            members, entry_of = np.unique(owners, return_inverse=True)
+            item = np.repeat(np.arange(len(members)), self.lens[members])
+            word = np.concatenate([self.words[k] for k in members])
+            once = np.unique(np.stack([word, item.astype(np.uint64)]), axis=1)[0]
+            names, counts = np.unique(once, return_counts=True)
+            order = np.lexsort((word, counts[np.searchsorted(names, word)], item))
+            word, item = word[order], item[order]
+            place = np.arange(len(item)) - np.searchsorted(item, item, "left")
+            rare = place < self.limits[members][item] + WITNESSES
+            word, item = word[rare], item[rare]
+            # an item may stand behind several entries
+            by_item = np.argsort(entry_of, kind="stable")
+            first = np.searchsorted(entry_of[by_item], item, "left")
+            many = np.searchsorted(entry_of[by_item], item, "right") - first
+            word, entry = np.repeat(word, many), a + by_item[spans(first, many)]
+            order = np.argsort(word, kind="stable")
+            back = int((offsets + self.limits[owners]).max())
+            on = int((self.lens[owners] - offsets + self.limits[owners]).max())
+            self.groups[a] = word[order], entry[order], back, on
+        return self.groups[a]
 
     def candidates(self, h: np.ndarray, ends: np.ndarray) -> dict[tuple[int, int], set[int]]:
         """Texts are h[.. ends[0]], h[ends[0] ..] and so on, each closed by REACH paddings. (text, item): places in h."""
@@ -204,14 +263,27 @@ class Items:
         text = np.searchsorted(ends, starts, "right")
         places, owners, sources = [], [], []
 
+        def propose(entries, begin, of_text):
+            owners.append(self.owners[entries])
+            places.append(begin - self.offsets[entries])
+            sources.append(of_text)
+
         def look_up(keys, begin, of_text):
             hit = np.flatnonzero(self.seen[(keys & np.uint64(0xFFFFF)).astype(np.int64)])
             a = np.searchsorted(self.keys, keys[hit], "left")
             n = np.searchsorted(self.keys, keys[hit], "right") - a
-            at = spans(a, n)
-            owners.append(self.owners[at])
-            places.append(np.repeat(begin[hit], n) - self.offsets[at])
-            sources.append(np.repeat(of_text[hit], n))
+            few = n <= SHARED
+            propose(spans(a[few], n[few]), np.repeat(begin[hit[few]], n[few]), np.repeat(of_text[hit[few]], n[few]))
+            for i in np.flatnonzero(~few).tolist():
+                p, t = int(begin[hit[i]]), int(of_text[hit[i]])
+                word, entry, back, on = self._rare(int(a[i]), int(n[i]))
+                low, high = int(ends[t - 1]) if t else 0, int(ends[t]) - REACH
+                near = np.unique(h[max(low, p - back) : min(high, p + on)])
+                x = np.searchsorted(word, near, "left")
+                entries, shown = np.unique(entry[spans(x, np.searchsorted(word, near, "right") - x)], return_counts=True)
+                k = self.owners[entries]
+                entries = entries[shown >= np.minimum(WITNESSES, self.lens[k] - self.limits[k])]
+                propose(entries, np.full(len(entries), p), np.full(len(entries), t))
 
         for _, live, keys in self.walks.hashes(h, starts, ends[text] - REACH):
             look_up(keys, starts[live], text[live])
@@ -227,9 +299,7 @@ class Items:
 
     def matches(self, texts: list[np.ndarray], max_distance: float) -> list[tuple[int, int, int, int, int]]:
         """(text, item, distance, start, end) of the nearest verified stretch of each item in each text."""
-        pad = np.full(REACH, 2**64 - 1, np.uint64)
-        h = np.concatenate([x for t in texts for x in (t, pad)])
-        ends = np.cumsum([len(t) + REACH for t in texts])
+        h, ends = joined(texts)
         out = []
         for (t, k), places in sorted(self.candidates(h, ends).items()):
             low, high = int(ends[t]) - len(texts[t]) - REACH, int(ends[t]) - REACH
@@ -260,9 +330,9 @@ def _held(spark: SparkSession, items: DataFrame, item_col: str, text_col: str):
     return [spark.sparkContext.broadcast(sorted(map(tuple, query.filter(block == b).collect()), key=str)) for b in range(n)]
 
 
-def _finder(held, walks: Walks, max_distance: float):
+def _finder(held, walks: Walks, max_distance: float, complete: bool):
     """A function that finds the items of a block in texts, made once in a task."""
-    hashes, index = NormalHashes(), Items(held.value, walks, max_distance)
+    hashes, index = NormalHashes(), Items(held.value, walks, max_distance, complete)
 
     def find(texts):
         for t, k, distance, a, b in index.matches([hashes.of(x) for x in texts], max_distance) if texts else []:
@@ -281,11 +351,13 @@ def benchmark_hits(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
+    complete: bool = False,
 ) -> DataFrame:
     """(id, item, n_item_words, distance, start_word, end_word): benchmark items found in documents.
 
     Words are compared in lower case without punctuation at their ends; start_word and end_word count such words. A row
-    for each document and item: its nearest stretch. Items and texts that are null, empty or without a word match nothing;
+    for each document and item: its nearest stretch. Stretches at ``max_distance`` are met with a chance of RECALL at least;
+    ``complete`` meets all, for more look-ups. Items and texts that are null, empty or without a word match nothing;
     repeated rows and equal ids give rows each; other columns are not read. Empty tables give no row.
     """
     walks = Walks(repeats or repeats_for(RECALL, DESIGN_DISTANCE))
@@ -298,7 +370,7 @@ def benchmark_hits(
         def run(batches, held=held):
             find = None
             for piece in slices(batches):
-                find = find or _finder(held, walks, max_distance)
+                find = find or _finder(held, walks, max_distance, complete)
                 ids = piece.column(0).to_pylist()
                 found = [(ids[t], *rest) for t, *rest in find(piece.column(1).to_pylist())]
                 columns = list(zip(*found)) or [[] for _ in arrow]
@@ -318,18 +390,19 @@ def without_benchmark(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
+    complete: bool = False,
 ) -> DataFrame:
     """The rows of ``docs`` whose text holds no benchmark item. All columns are kept, also of rows with a null text or id."""
     walks = Walks(repeats or repeats_for(RECALL, DESIGN_DISTANCE))
     for held in _held(spark, items, item_col, item_text_col):
-        docs = docs.filter(_is_clean(held, walks, max_distance)(F.col(text_col)))
+        docs = docs.filter(_is_clean(held, walks, max_distance, complete)(F.col(text_col)))
     return docs
 
 
-def _is_clean(held, walks: Walks, max_distance: float):
+def _is_clean(held, walks: Walks, max_distance: float, complete: bool):
     @F.pandas_udf("boolean")
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        find = _finder(held, walks, max_distance)
+        find = _finder(held, walks, max_distance, complete)
         for texts in batches:
             out = np.ones(len(texts), bool)
             for i in range(0, len(texts), 500):
