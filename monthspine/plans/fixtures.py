@@ -333,6 +333,8 @@ def with_fixtures(needs: list[str], sql: str) -> str:
     if not done:
         return body
     head = ",\n".join(f"{n} AS ({t.strip()})" for n, t in done.items())
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head},\n{body[15:].lstrip()}"
     if body.upper().startswith("WITH "):
         return f"WITH {head},\n{body[5:].lstrip()}"
     return f"WITH {head}\n{body}"

@@ -14,6 +14,7 @@ from ..operators import origins as O
 from ..operators import transforms as T
 from ..operators import walkforward as W
 from .fixtures import Fixtures, add_view
+from .model_sql import linear_model_sql
 from .panel_queries import dense
 from .registry import query
 from .scoring_queries import GAP, mean_sql, truth
@@ -157,6 +158,19 @@ add_view("fx_design", f"""
     FROM f LEFT JOIN r ON r.date = f.date, known, ends WHERE f.date <= ends.last""", "fx_dense fx_curve fx_rx")
 
 
+add_view("fx_z", f"""
+    WITH t AS (SELECT series, date, CASE WHEN value > 0 THEN ln(value) END - lag(CASE WHEN value > 0 THEN ln(value) END) OVER (PARTITION BY series ORDER BY date) AS d FROM fx_dense),
+         k AS (SELECT series, date, last_value(d IGNORE NULLS) OVER (PARTITION BY series ORDER BY date ROWS UNBOUNDED PRECEDING) AS d FROM t),
+         c AS (SELECT date, {', '.join(f"max(y) FILTER (WHERE maturity = {m}) AS y{m}" for m in range(12, 85, 12))} FROM fx_curve GROUP BY 1),
+         w AS (SELECT date, {', '.join(f"max(d) FILTER (WHERE series = '{s}') AS k{i}" for i, s in enumerate(MACRO))} FROM k GROUP BY 1),
+         r AS (SELECT date, avg(rx) AS rmean, {', '.join(f"max(rx) FILTER (WHERE maturity = {m}) AS rx{m}" for m in range(24, 85, 12))} FROM fx_rx GROUP BY 1),
+         ends AS (SELECT least((SELECT max(date) FROM fx_curve), (SELECT max(date) FROM fx_dense)) AS last)
+    SELECT date, year(date)*12 + month(date) AS m, z, y, len(list_filter(list_concat(z, y), lambda v: v IS NULL)) = 0 AS ok
+    FROM (SELECT date, [1e0, {', '.join(f"{m / 12}e0*y{m}" + (f" - {m / 12 - 1}e0*y{m - 12}" if m > 12 else "") for m in range(12, 85, 12))},
+                 {', '.join(YLD)}, {', '.join(f"k{i}" for i in range(len(MACRO)))}] AS z, [{', '.join(GOALS)}, rmean] AS y
+          FROM c FULL JOIN w USING (date) LEFT JOIN r USING (date)), ends WHERE date <= last""", "fx_dense fx_curve fx_rx")
+
+
 def least_squares_sql(width: int, columns: str) -> str:
     """Fits of all targets on the first ``width`` forwards at every out-of-sample month; x<t>_<i> is coefficient i of target t."""
     xs = ["1e0", *FWD[:width]]
@@ -205,21 +219,37 @@ def _linear(name: str, steps: list[tuple]) -> None:
         def checked(fx):
             return forecast(fx, steps).withColumn("y_hat", C.rnd("y_hat", 6))
     else:
-        @query(name)
+        @query(name, linear_model_sql(LAYOUT, steps, OOS, WGAP), "fx_z")
         def q(fx):
-            return forecast(fx, steps)
+            return forecast(fx, steps).withColumn("y_hat", C.rnd("y_hat", 6))
 
 
 def _penalised(name: str, kind: str, steps: list[tuple]) -> None:
-    @query(name)
-    def q(fx):
-        return forecast(fx, steps, kind)
+    if kind == "ridge":
+        @query(name, linear_model_sql(LAYOUT, steps, OOS, WGAP, kind), "fx_z")
+        def checked(fx):
+            return forecast(fx, steps, kind).withColumn("y_hat", C.rnd("y_hat", 6))
+    else:
+        @query(name)
+        def q(fx):
+            return forecast(fx, steps, kind)
+
+
+CUBIC = (0, 2, 3, 7)
 
 
 def _cubic(name: str, kind: str, lead: list[tuple]) -> None:
-    @query(name)
-    def q(fx):
-        return W.cubic_forecast(design(fx), LAYOUT, lead, ALL_MACRO, OOS, WGAP, kind)
+    if kind == "lasso":
+        @query(name)
+        def q(fx):
+            return W.cubic_forecast(design(fx), LAYOUT, lead, ALL_MACRO, OOS, WGAP, kind, picked=CUBIC)
+    else:
+        steps = [*lead, ("pca", ALL_MACRO, max(CUBIC) + 1, True)]
+
+        @query(name, linear_model_sql(LAYOUT, steps, OOS, WGAP, kind, cubic=CUBIC), "fx_z")
+        def checked(fx):
+            out = W.cubic_forecast(design(fx), LAYOUT, lead, ALL_MACRO, OOS, WGAP, kind, picked=CUBIC)
+            return out.withColumn("y_hat", C.rnd("y_hat", 6))
 
 
 for _n, _s in STEPS.items():
@@ -233,11 +263,11 @@ _cubic("fc_lasso_factors_cp", "lasso", [CP])
 _cubic("fc_ridge_factors_cp", "ridge", [CP])
 
 
-@query("fc_ridge_cadence")
+@query("fc_ridge_cadence", linear_model_sql(LAYOUT, PENALISED["fc_ridge"][1], OOS, WGAP, "ridge", 3, 4), "fx_z")
 def q_cadence(fx):
     """Refit every third month and tune at every fourth refit."""
     kind, steps = PENALISED["fc_ridge"]
-    return forecast(fx, steps, kind, every=3, tune=4)
+    return forecast(fx, steps, kind, every=3, tune=4).withColumn("y_hat", C.rnd("y_hat", 6))
 
 
 @query("coef_importance", importance_sql(len(FWD)), "fx_design")
