@@ -11,12 +11,13 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.calendar import month_end, shift_months
+from ..functions.calendar import month_end, shift_literal, shift_months
 from ..functions.literal import literal_rows
 from ..operators.vintage import expand_validity
 from ..session import written
 
 FIRST_VINTAGE = "1996-01-31"
+SNAPSHOTS_AFTER = 4  # months of snapshots after the last observation
 
 
 def cents(c: str) -> Column:
@@ -41,6 +42,26 @@ class Fixtures:
         """Compute once what a plan reads several times: a table in the shared folder."""
         return written(df)
 
+    @cached_property
+    def _ends(self) -> tuple[str, str]:
+        day = F.last_day("o_orderdate").cast("string")
+        first, last = self.table("orders").select(F.min(day), F.max(day)).first()
+        return first or FIRST_VINTAGE, last or FIRST_VINTAGE
+
+    @property
+    def first_month(self) -> str:
+        """Month of the first order; one aggregated row is read for it, as calendars are parameters of the operators."""
+        return self._ends[0]
+
+    @property
+    def last_month(self) -> str:
+        """Month of the last order: the last that has observations, decisions and forecasts."""
+        return self._ends[1]
+
+    def after(self, months: int) -> str:
+        """Month so long after the last one, while revisions and snapshots still come in."""
+        return shift_literal(self.last_month, months)
+
     @cached_property
     def stored_history(self) -> DataFrame:
         return self.shared(self.history)
@@ -201,7 +222,7 @@ class Fixtures:
         """Vintage archive (vintage_month, date, series_id, value): the history as of each month
         from 1996 on, without the March and August snapshots."""
         return (
-            expand_validity(self.stored_history, FIRST_VINTAGE, "2001-12-31", "vintage_month")
+            expand_validity(self.stored_history, FIRST_VINTAGE, self.after(SNAPSHOTS_AFTER), "vintage_month")
             .where(~F.month("vintage_month").isin(3, 8))
             .select("vintage_month", F.col("obs_date").alias("date"), "series_id", "value")
         )
@@ -298,10 +319,11 @@ SQL_VIEWS: dict[str, tuple[list[str], str]] = {
         SELECT last_day(l_shipdate) AS date, l_suppkey AS series,
                CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS value
         FROM lineitem GROUP BY 1,2"""),
-    "fx_archive": (["fx_history"], """
+    "fx_ends": ([], "SELECT last_day(min(o_orderdate)) AS first, last_day(max(o_orderdate)) AS last FROM orders"),
+    "fx_archive": (["fx_history", "fx_ends"], f"""
         SELECT v.vintage_month, h.obs_date AS date, h.series_id, h.value
         FROM (SELECT last_day(CAST(m AS DATE)) AS vintage_month
-              FROM (SELECT unnest(generate_series(DATE '1996-01-01', DATE '2001-12-01', INTERVAL 1 MONTH)) AS m) g) v
+              FROM (SELECT unnest(generate_series(date_trunc('month', DATE '{FIRST_VINTAGE}'), CAST(last + to_months({SNAPSHOTS_AFTER}) AS DATE), INTERVAL 1 MONTH)) AS m FROM fx_ends) g) v
         JOIN fx_history h ON v.vintage_month BETWEEN h.realtime_start AND h.realtime_end
         WHERE month(v.vintage_month) NOT IN (3, 8)"""),
     "fx_registry": ([], values_sql(

@@ -103,8 +103,7 @@ def q_worst(fx):
     return rounded(Q.worst_dates(sparse_dense(fx), 15), missing_share=6)
 
 
-LAST_PANEL = "2001-08-31"
-add_view("fx_last_panel", f"SELECT * FROM fx_vpanel WHERE forecast_date = DATE '{LAST_PANEL}'", "fx_vpanel")
+add_view("fx_last_panel", "SELECT * FROM fx_vpanel WHERE forecast_date = (SELECT last FROM fx_ends)", "fx_vpanel fx_ends")
 
 
 def missing_sql(view: str, label: str) -> str:
@@ -118,7 +117,7 @@ def missing_sql(view: str, label: str) -> str:
 @query("missingness_summary", missing_sql("fx_diag", "stitched") + " UNION ALL " + missing_sql("fx_last_panel", "single_asof"), "fx_diag fx_last_panel")
 def q_missingness(fx):
     both = Q.missingness_summary(vpanels(fx, diagonal=True), "stitched").unionByName(
-        Q.missingness_summary(vpanels(fx).where(F.col("forecast_date") == LAST_PANEL), "single_asof"))
+        Q.missingness_summary(vpanels(fx).where(F.col("forecast_date") == fx.last_month), "single_asof"))
     return rounded(both, transformed_null_pct=6, source_missing_pct=6, transform_only_pct=6)
 
 
@@ -142,7 +141,7 @@ COMPLETE = "SELECT '{l}' AS measure, CAST(count(*) FILTER (WHERE k = 0) AS BIGIN
 def q_complete(fx):
     p = fx.shared(vpanels(fx))
     return (
-        Q.complete_columns(p.where(F.col("forecast_date") == LAST_PANEL), "single_panel_at_end")
+        Q.complete_columns(p.where(F.col("forecast_date") == fx.last_month), "single_panel_at_end")
         .unionByName(Q.complete_columns(p.where(F.col("forecast_date") == F.col("date")), "stitched_contemporaneous"))
         .unionByName(Q.complete_columns(p, "strict_expanding_intersection"))
     )
@@ -218,11 +217,11 @@ add_view("fx_revised", """
     WITH f AS (SELECT series_id, obs_date, arg_max(value, realtime_start) AS value FROM fx_history GROUP BY 1,2),
          c AS (SELECT r.series, r.tcode, m.as_of AS date, CASE WHEN r.kind = 'derived_formula' THEN a.value/nullif(b.value, 0) ELSE a.value END AS value
                FROM fx_registry r CROSS JOIN fx_asof_months m LEFT JOIN f a ON a.series_id = coalesce(r.target, r.num) AND a.obs_date = m.as_of LEFT JOIN f b ON b.series_id = r.den AND b.obs_date = m.as_of
-               WHERE m.as_of <= DATE '2001-08-31'),
+               WHERE m.as_of <= (SELECT last FROM fx_ends)),
          w AS (SELECT *, lag(value,1) OVER w AS v1, lag(value,2) OVER w AS v2, CASE WHEN value>0 THEN ln(value) END AS l0,
                       lag(CASE WHEN value>0 THEN ln(value) END,1) OVER w AS l1, lag(CASE WHEN value>0 THEN ln(value) END,2) OVER w AS l2 FROM c WINDOW w AS (PARTITION BY series ORDER BY date))
     SELECT date, series, CASE tcode WHEN 1 THEN value WHEN 2 THEN value - v1 WHEN 3 THEN (value - v1) - (v1 - v2) WHEN 4 THEN l0 WHEN 5 THEN l0 - l1 WHEN 6 THEN (l0 - l1) - (l1 - l2)
-           WHEN 7 THEN (value/nullif(v1,0) - 1) - (v1/nullif(v2,0) - 1) END AS revised FROM w""", "fx_history fx_registry fx_asof_months")
+           WHEN 7 THEN (value/nullif(v1,0) - 1) - (v1/nullif(v2,0) - 1) END AS revised FROM w""", "fx_history fx_registry fx_asof_months fx_ends")
 add_view("fx_revpairs", """
     SELECT p.forecast_date, p.series, p.date, p.transformed AS rt, r.revised AS rev, p.transformed IS NOT NULL AND r.revised IS NOT NULL AS ok
     FROM fx_vpanel p LEFT JOIN fx_revised r ON r.date = p.date AND r.series = p.series""", "fx_vpanel fx_revised")
@@ -248,7 +247,7 @@ def revised(fx: Fixtures):
     cells = combine_roles(final.join(source_roles(fx.registry), "series_id"), ["date", "series"])
     from ..operators.panel import densify
 
-    full = densify(cells, ["series"], ["value"], start="1995-01-31", end="2001-08-31").join(
+    full = densify(cells, ["series"], ["value"], start=fx.first_month, end=fx.last_month).join(
         fx.registry.select("series", "tcode"), "series")
     return T.apply_tcodes(full, ["series"], out="revised").select("date", "series", "revised")
 

@@ -7,18 +7,19 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions import columns as C
-from ..functions.calendar import calendar_months, release_cutoff, shift_months, with_months
+from ..functions.calendar import calendar_months, release_cutoff, shift_literal, shift_months, with_months
 from ..operators import grouping as G
 from ..operators import panel as P
 from ..operators import regimes as R
 from ..operators import registry as REG
 from ..operators import vintage as V
 from ..operators.transforms import by_date
-from .fixtures import Fixtures, add_view
+from .fixtures import SNAPSHOTS_AFTER, Fixtures, add_view
 from .registry import query
 
-FIRST, LAST = "1995-06-30", "2001-08-31"  # decision and forecast months
+FIRST = "1995-06-30"  # first decision and forecast month; the last is that of the last order
 START = "1996-01-31"  # first row of as-of panels
+WARM = shift_literal(START, -2)  # first month they are read from
 
 # ---- histories --------------------------------------------------------------------------------
 
@@ -47,20 +48,20 @@ def q_history_clean(fx):
 
 add_view("fx_asof_months", """
     SELECT last_day(CAST(m AS DATE)) AS as_of
-    FROM (SELECT unnest(generate_series(DATE '1995-01-01', DATE '2002-03-01', INTERVAL 1 MONTH)) AS m) g""")
+    FROM (SELECT unnest(generate_series(CAST(date_trunc('month', first) AS DATE), CAST(last + to_months(7) AS DATE), INTERVAL 1 MONTH)) AS m FROM fx_ends) g""", "fx_ends")
 
 
-@query("bitemporal_asof", """
+@query("bitemporal_asof", f"""
     SELECT as_of, series_id, obs_date, value FROM (
       SELECT a.as_of, h.*, row_number() OVER (PARTITION BY a.as_of, h.series_id, h.obs_date ORDER BY realtime_start DESC, realtime_end DESC) AS rn
       FROM fx_asof_months a JOIN fx_history h ON a.as_of BETWEEN h.realtime_start AND h.realtime_end AND h.obs_date <= a.as_of
-      WHERE a.as_of BETWEEN DATE '1996-01-31' AND DATE '2001-12-31') q WHERE rn = 1""", "fx_asof_months fx_history")
+      WHERE a.as_of BETWEEN DATE '{START}' AND (SELECT last_day(last + to_months({SNAPSHOTS_AFTER})) FROM fx_ends)) q WHERE rn = 1""", "fx_asof_months fx_history fx_ends")
 def q_asof(fx):
-    return V.asof_panel(fx.history, "1996-01-31", "2001-12-31")
+    return V.asof_panel(fx.history, START, fx.after(SNAPSHOTS_AFTER))
 
 
 add_view("fx_fdates", f"""
-    SELECT as_of AS forecast_date FROM fx_asof_months WHERE as_of BETWEEN DATE '{FIRST}' AND DATE '{LAST}'""", "fx_asof_months")
+    SELECT as_of AS forecast_date FROM fx_asof_months WHERE as_of BETWEEN DATE '{FIRST}' AND (SELECT last FROM fx_ends)""", "fx_asof_months fx_ends")
 add_view("fx_selection", """
     SELECT f.forecast_date, last_day(f.forecast_date + to_months(1)) AS requested_vintage_month,
            coalesce(max(v.vintage_month) FILTER (WHERE v.vintage_month <= last_day(f.forecast_date + to_months(1))), min(v.vintage_month)) AS selected_archive_month,
@@ -71,7 +72,7 @@ add_view("fx_selection", """
 
 
 def fdates(fx: Fixtures):
-    return calendar_months(fx.spark, FIRST, LAST, "forecast_date")
+    return calendar_months(fx.spark, FIRST, fx.last_month, "forecast_date")
 
 
 @query("vintage_select", "SELECT * FROM fx_selection", "fx_selection")
@@ -88,7 +89,7 @@ add_view("fx_asks", f"""
              WHEN 'month_end_plus_3m' THEN 3 ELSE 0 END)) AS cutoff,
            greatest(1, CASE WHEN r.lag_mode = 'decision_month_schedule' THEN (month(a.as_of) - 1) % 3 + 1 ELSE r.lag_months END,
                     CASE WHEN r.role <> 'direct' THEN 1 ELSE 0 END) AS max_gap
-    FROM fx_reads r CROSS JOIN fx_asof_months a WHERE a.as_of BETWEEN DATE '{FIRST}' AND DATE '{LAST}'""", "fx_reads fx_asof_months")
+    FROM fx_reads r CROSS JOIN fx_asof_months a WHERE a.as_of BETWEEN DATE '{FIRST}' AND (SELECT last FROM fx_ends)""", "fx_reads fx_asof_months fx_ends")
 add_view("fx_strict", """
     SELECT decision, series, role, cutoff, max_gap, kind, value, obs_date FROM (
       SELECT k.*, h.value, h.obs_date, row_number() OVER (PARTITION BY k.decision, k.series, k.role ORDER BY h.obs_date DESC, h.realtime_start DESC, h.realtime_end DESC) AS rn
@@ -112,7 +113,7 @@ PICK_COLS = ["decision", "series", "role", "cutoff", "value", "obs_date"]
 
 @query("pick_strict", "SELECT decision, series, role, cutoff, value, obs_date FROM fx_strict", "fx_strict")
 def q_strict(fx):
-    return V.pick_strict(fx.history, V.decision_reads(fx.registry), FIRST, LAST).select(*PICK_COLS)
+    return V.pick_strict(fx.history, V.decision_reads(fx.registry), FIRST, fx.last_month).select(*PICK_COLS)
 
 
 add_view("fx_late_history", """
@@ -149,12 +150,12 @@ for _v in ["fx_strict", "fx_earliest", "fx_latest"]:
 
 @query("pick_earliest", "SELECT decision, series, role, cutoff, value, obs_date FROM fx_earliest_late", "fx_earliest_late")
 def q_earliest(fx):
-    return V.pick_earliest(late_history(fx), V.decision_reads(fx.registry), FIRST, LAST).select(*PICK_COLS)
+    return V.pick_earliest(late_history(fx), V.decision_reads(fx.registry), FIRST, fx.last_month).select(*PICK_COLS)
 
 
 @query("pick_latest", "SELECT decision, series, role, cutoff, value, obs_date FROM fx_latest_late", "fx_latest_late")
 def q_latest(fx):
-    return V.pick_latest(late_history(fx), V.decision_reads(fx.registry), FIRST, LAST).select(*PICK_COLS)
+    return V.pick_latest(late_history(fx), V.decision_reads(fx.registry), FIRST, fx.last_month).select(*PICK_COLS)
 
 
 MONTHS_SQL = "((year(cutoff)*12 + month(cutoff)) - (year(obs_date)*12 + month(obs_date)))"
@@ -165,27 +166,27 @@ MONTHS_SQL = "((year(cutoff)*12 + month(cutoff)) - (year(obs_date)*12 + month(ob
              THEN (month(decision) - 1) % 3 + 1 ELSE lag_months END) THEN value END AS value
     FROM (SELECT s.*, r.lag_mode, r.lag_months FROM fx_strict s JOIN fx_registry r USING (series)) q""", "fx_strict fx_registry")
 def q_stale(fx):
-    return V.guard_stale(V.pick_strict(fx.history, V.decision_reads(fx.registry), FIRST, LAST), 1).select(*PICK_COLS)
+    return V.guard_stale(V.pick_strict(fx.history, V.decision_reads(fx.registry), FIRST, fx.last_month), 1).select(*PICK_COLS)
 
 
 # ---- as-of panels -----------------------------------------------------------------------------
 
-add_view("fx_asof_cells", """
+add_view("fx_asof_cells", f"""
     SELECT f.forecast_date, h.obs_date AS date, h.series_id, h.value
     FROM fx_selection f JOIN fx_history h ON f.as_of BETWEEN h.realtime_start AND h.realtime_end
-     AND h.obs_date BETWEEN DATE '1995-11-30' AND f.forecast_date""", "fx_selection fx_history")
+     AND h.obs_date BETWEEN DATE '{WARM}' AND f.forecast_date""", "fx_selection fx_history")
 add_view("fx_asof_series", """
     SELECT forecast_date, date, series, coalesce(max(value) FILTER (WHERE role = 'direct'),
            max(value) FILTER (WHERE role = 'num') / nullif(max(value) FILTER (WHERE role = 'den'), 0)) AS value
     FROM fx_asof_cells JOIN fx_reads USING (series_id) GROUP BY 1,2,3""", "fx_asof_cells fx_reads")
-add_view("fx_filled", """
+add_view("fx_filled", f"""
     SELECT coalesce(a.forecast_date, b.forecast_date) AS forecast_date, coalesce(a.date, b.date) AS date, coalesce(a.series, b.series) AS series,
            coalesce(a.value, b.value) AS raw,
            CASE WHEN a.value IS NOT NULL THEN 'ALFRED_ASOF' WHEN b.value IS NOT NULL THEN b.archive_source_tag ELSE 'MISSING' END AS tag
     FROM fx_asof_series a FULL OUTER JOIN (
       SELECT s.forecast_date, s.archive_source_tag, v.date, v.series_id AS series, v.value
       FROM fx_selection s JOIN fx_archive v ON v.vintage_month = s.selected_archive_month
-       AND v.date BETWEEN DATE '1995-11-30' AND s.forecast_date) b
+       AND v.date BETWEEN DATE '{WARM}' AND s.forecast_date) b
     ON a.forecast_date = b.forecast_date AND a.date = b.date AND a.series = b.series""", "fx_asof_series fx_selection fx_archive")
 add_view("fx_vpanel_all", f"""
     SELECT q.*, CASE tcode WHEN 1 THEN raw WHEN 2 THEN raw - v1 WHEN 3 THEN (raw - v1) - (v1 - v2) WHEN 4 THEN l0 WHEN 5 THEN l0 - l1
@@ -194,7 +195,7 @@ add_view("fx_vpanel_all", f"""
                  lag(CASE WHEN raw>0 THEN ln(raw) END,1) OVER w AS l1, lag(CASE WHEN raw>0 THEN ln(raw) END,2) OVER w AS l2
           FROM (SELECT f.forecast_date, r.series, r.tcode, r.grp, m.as_of AS date, x.raw, coalesce(x.tag, 'MISSING') AS tag
                 FROM fx_fdates f CROSS JOIN fx_registry r
-                JOIN fx_asof_months m ON m.as_of BETWEEN DATE '1995-11-30' AND f.forecast_date
+                JOIN fx_asof_months m ON m.as_of BETWEEN DATE '{WARM}' AND f.forecast_date
                 LEFT JOIN fx_filled x ON x.forecast_date = f.forecast_date AND x.date = m.as_of AND x.series = r.series) g
           WINDOW w AS (PARTITION BY forecast_date, series ORDER BY date)) q""", "fx_fdates fx_registry fx_asof_months fx_filled")
 add_view("fx_vpanel", f"SELECT * FROM fx_vpanel_all WHERE date >= DATE '{START}' AND series <> '5-LOW'", "fx_vpanel_all")
@@ -204,7 +205,7 @@ add_view("fx_diag", "SELECT * FROM fx_vpanel WHERE date = forecast_date", "fx_vp
 def vpanels(fx: Fixtures, diagonal: bool = False):
     first = START if diagonal else FIRST
     return V.vintage_panels(
-        fx.stored_history, fx.archive, fx.registry, fdates(fx), START, first, LAST, drop=["5-LOW"], diagonal=diagonal
+        fx.stored_history, fx.archive, fx.registry, fdates(fx), START, first, fx.last_month, drop=["5-LOW"], diagonal=diagonal
     )
 
 
@@ -213,7 +214,7 @@ def vpanels(fx: Fixtures, diagonal: bool = False):
 def q_ratio(fx):
     sel = V.vintage_selection(fdates(fx), fx.archive.select("vintage_month"))
     ratio = fx.registry.where(F.col("kind") == "derived_formula")
-    cells = V.asof_cells(fx.stored_history, ratio, sel, "1995-07-31", "2001-09-30", "1995-11-30")
+    cells = V.asof_cells(fx.stored_history, ratio, sel, shift_literal(FIRST, 1), fx.after(1), WARM)
     return cells.where(F.col("value").isNotNull()).withColumn("value", C.rnd("value", 10))
 
 
@@ -222,8 +223,8 @@ def q_ratio(fx):
 def q_fallback(fx):
     sel = V.vintage_selection(fdates(fx), fx.archive.select("vintage_month"))
     direct = fx.registry.where(F.col("kind") != "derived_formula")
-    cells = V.asof_cells(fx.stored_history, direct, sel, "1995-07-31", "2001-09-30", "1995-11-30")
-    return V.fill_from_archive(cells, fx.archive.withColumnRenamed("series_id", "series"), sel, "1995-11-30")
+    cells = V.asof_cells(fx.stored_history, direct, sel, shift_literal(FIRST, 1), fx.after(1), WARM)
+    return V.fill_from_archive(cells, fx.archive.withColumnRenamed("series_id", "series"), sel, WARM)
 
 
 @query("vintage_panel", """
@@ -245,16 +246,16 @@ add_view("fx_balanced", f"""
                UNION ALL SELECT decision, series, role, value FROM fx_latest_late JOIN (SELECT series, kind FROM fx_registry) r USING (series) WHERE kind NOT IN ('direct_alfred','derived_formula')),
          sv AS (SELECT decision, series, coalesce(max(value) FILTER (WHERE role='direct'), max(value) FILTER (WHERE role='num')/nullif(max(value) FILTER (WHERE role='den'),0)) AS v FROM s GROUP BY 1,2),
          ev AS (SELECT decision, series, coalesce(max(value) FILTER (WHERE role='direct'), max(value) FILTER (WHERE role='num')/nullif(max(value) FILTER (WHERE role='den'),0)) AS v FROM fx_earliest_late GROUP BY 1,2),
-         g AS (SELECT r.series, a.as_of AS decision, NOT (r.series = '3-MEDIUM' AND a.as_of < DATE '1996-06-30') AS open_now FROM fx_registry r CROSS JOIN fx_asof_months a WHERE a.as_of BETWEEN DATE '{FIRST}' AND DATE '{LAST}')
+         g AS (SELECT r.series, a.as_of AS decision, NOT (r.series = '3-MEDIUM' AND a.as_of < DATE '1996-06-30') AS open_now FROM fx_registry r CROSS JOIN fx_asof_months a WHERE a.as_of BETWEEN DATE '{FIRST}' AND (SELECT last FROM fx_ends))
     SELECT decision, series, CASE WHEN open_now THEN coalesce(sv.v, ev.v) END AS value,
            CASE WHEN open_now AND sv.v IS NOT NULL THEN 'STRICT' WHEN open_now AND ev.v IS NOT NULL THEN 'FILL_PRE_VINTAGE_EARLIEST' ELSE '' END AS tag
     FROM g LEFT JOIN sv USING (decision, series) LEFT JOIN ev USING (decision, series)""",
-    "fx_strict_late fx_latest_late fx_earliest_late fx_registry fx_asof_months")
+    "fx_strict_late fx_latest_late fx_earliest_late fx_registry fx_asof_months fx_ends")
 STARTS = {"3-MEDIUM": "1996-06-30"}
 
 
 def balanced(fx: Fixtures):
-    return V.balanced_cascade(late_history(fx), fx.registry, FIRST, LAST, 1, STARTS)
+    return V.balanced_cascade(late_history(fx), fx.registry, FIRST, fx.last_month, 1, STARTS)
 
 
 @query("balanced_cascade", "SELECT decision, series, round(value, 6) + 0 AS value, tag FROM fx_balanced", "fx_balanced")
@@ -274,7 +275,7 @@ def q_earliest_vintage(fx):
     GROUP BY 1,2,3""", "fx_asks fx_archive")
 def q_nearest(fx):
     reads = V.decision_reads(fx.registry).where(F.col("role") == "direct")
-    asked = with_months(reads, F.lit(FIRST), F.lit(LAST), "decision").select(
+    asked = with_months(reads, F.lit(FIRST), F.lit(fx.last_month), "decision").select(
         "decision", "series", "series_id", F.col("decision").alias("vintage_month"),
         release_cutoff("decision", "rule").alias("cutoff"), V.staleness_limit(1).alias("max_gap"),
     )
@@ -333,7 +334,7 @@ def backfill(fx, tag):
         F.max_by("value", "realtime_start").alias("value"))
     return V.anchor_backfill(
         fx.shared(lost(fx)), fx.registry, late_columns(fx), final, tag=tag, blocked=["2-HIGH"], starts=STARTS,
-        first="1995-01-31", last=LAST,
+        first=fx.first_month, last=fx.last_month,
     )
 
 
@@ -474,7 +475,7 @@ def q_realtime(fx):
     final = fx.stored_history.groupBy(F.col("obs_date").alias("date"), "series_id").agg(V.newest().alias("value"))
     macro = V.combine_roles(final.join(V.source_roles(names), "series_id"), ["date", "series"])
     macro = macro.select("date", F.lit("macro").alias("source"), "series", "value")
-    out = V.realtime_features(curve.unionByName(macro), vpanels(fx), fdates(fx), names, FIRST, LAST)
+    out = V.realtime_features(curve.unionByName(macro), vpanels(fx), fdates(fx), names, FIRST, fx.last_month)
     return out.withColumn("value", C.rnd("value"))
 
 
