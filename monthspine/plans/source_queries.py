@@ -19,9 +19,6 @@ from .panel_queries import tcode_of
 from .registry import query
 from .scoring_queries import r2_sql, rounded, rw
 
-SERIES = [f"{p}|{s}" for p in ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"] for s in "FOP"]
-
-
 def folder(fx: Fixtures, name: str) -> str:
     """A new folder inside the shared checkpoint folder."""
     return f"{ensure_checkpoint_dir(fx.spark)}/{name}-{uuid.uuid4().hex}"
@@ -31,24 +28,22 @@ def folder(fx: Fixtures, name: str) -> str:
     SELECT last_day(p.date - to_months(1)) AS date, p.series, p.value, CAST((CAST(substr(p.series,1,1) AS INTEGER) + ascii(right(p.series,1))) % 7 + 1 AS INTEGER) AS tcode FROM fx_panel p""", "fx_panel")
 def q_wide_csv(fx):
     path = folder(fx, "wide")
-    wide = fx.panel.groupBy(F.date_format(F.trunc("date", "MM"), "M/d/yyyy").alias("date")).pivot("series", SERIES).agg(F.max("value"))
-    text = wide.select("date", *[F.col(f"`{s}`").cast("string").alias(s) for s in SERIES])
-    names = fx.rows([(s,) for s in SERIES], "series string").select("series", tcode_of().cast("string").alias("code"))
-    codes = names.groupBy(F.lit("Transform:").alias("date")).pivot("series", SERIES).agg(F.max("code"))
+    wide = fx.panel.groupBy(F.date_format(F.trunc("date", "MM"), "M/d/yyyy").alias("date")).pivot("series").agg(F.max("value"))
+    series = wide.columns[1:]
+    text = wide.select("date", *[F.col(f"`{s}`").cast("string").alias(s) for s in series])
+    names = fx.rows([(s,) for s in series], "series string").select("series", tcode_of().cast("string").alias("code"))
+    codes = names.groupBy(F.lit("Transform:").alias("date")).pivot("series", series).agg(F.max("code"))
     codes.unionByName(text).write.option("header", True).csv(path)
     values, found = P.read_wide_csv(fx.spark, path)
     return values.where(F.col("value").isNotNull()).join(found, "series").select("date", "series", "value", "tcode")
 
 
-IDS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
-
-
 @query("vintage_archive_scan", """
     SELECT vintage_month, date, CASE series_id WHEN '5-LOW' THEN 'low' ELSE series_id END AS series, value FROM fx_archive""", "fx_archive")
 def q_archive_scan(fx):
     path = folder(fx, "archive")
     month = F.date_format("vintage_month", "yyyy-MM").alias("vintage")
-    wide = fx.archive.groupBy(month, F.date_format(F.trunc("date", "MM"), "M/d/yyyy").alias("sasdate")).pivot("series_id", IDS).agg(F.max("value"))
+    wide = fx.archive.groupBy(month, F.date_format(F.trunc("date", "MM"), "M/d/yyyy").alias("sasdate")).pivot("series_id").agg(F.max("value"))
     wide.repartition("vintage").write.option("header", True).partitionBy("vintage").csv(path)
     read = P.read_vintage_archive(fx.spark, path, r"vintage=(\d{4}-\d{2})/", aliases={"5-LOW": "low"})
     return read.where(F.col("value").isNotNull())

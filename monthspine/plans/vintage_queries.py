@@ -46,9 +46,9 @@ def q_history_clean(fx):
     return V.clean_history(raw)
 
 
-add_view("fx_asof_months", """
+add_view("fx_asof_months", f"""
     SELECT last_day(CAST(m AS DATE)) AS as_of
-    FROM (SELECT unnest(generate_series(CAST(date_trunc('month', first) AS DATE), CAST(last + to_months(7) AS DATE), INTERVAL 1 MONTH)) AS m FROM fx_ends) g""", "fx_ends")
+    FROM (SELECT unnest(generate_series(CAST(date_trunc('month', least(first, DATE '{FIRST}')) AS DATE), CAST(last + to_months(7) AS DATE), INTERVAL 1 MONTH)) AS m FROM fx_ends) g""", "fx_ends")
 
 
 @query("bitemporal_asof", f"""
