@@ -130,8 +130,8 @@ def q_registry_read(fx):
 @query("balanced_csv", "SELECT date, series, value FROM fx_panel WHERE date BETWEEN DATE '1996-01-31' AND DATE '1998-12-31'", "fx_panel")
 def q_balanced_csv(fx):
     path = folder(fx, "balanced")
-    wide = fx.panel.groupBy(F.col("date").cast("string").alias("decision_date")).pivot("series", SERIES).agg(F.max("value"))
-    wide.select("decision_date", *[F.col(f"`{s}`").cast("string").alias(s) for s in SERIES]).write.option("header", True).csv(path)
+    wide = fx.panel.groupBy(F.col("date").cast("string").alias("decision_date")).pivot("series").agg(F.max("value"))
+    wide.select("decision_date", *[F.col(f"`{s}`").cast("string").alias(s) for s in wide.columns[1:]]).write.option("header", True).csv(path)
     return P.read_balanced_csv(fx.spark, path, "1996-01-31", "1998-12-31").where(F.col("value").isNotNull())
 
 
