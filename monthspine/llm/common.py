@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -169,6 +170,18 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
             yield batch.slice(i, rows)
 
 
+def text_slices(batches: Iterator[pa.RecordBatch], column: int, n_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most so many bytes of text, or of one row."""
+    for batch in batches:
+        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy().astype(np.int64)
+        ends, i = np.cumsum(sizes), 0
+        while i < batch.num_rows:
+            before = ends[i] - sizes[i]
+            n = max(1, int(np.searchsorted(ends, before + n_bytes, "right")) - i)
+            yield batch.slice(i, n)
+            i += n
+
+
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
 
 

@@ -80,3 +80,36 @@ def test_files_and_manifest(spark, full):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert T.op4_tokens(spark, docs).collect() == []
+
+
+def test_words_are_encoded_once_by_their_letters(full):
+    """Words that differ in case and closing punctuation only are one word for the library, in all pieces of a task."""
+    encoder, asked = T.WordEncoder(PATH), []
+
+    class Counted:
+        def __init__(self, model):
+            self.model = model
+
+        def tokenize(self, word):
+            asked.append(word)
+            return self.model.tokenize(word)
+
+    encoder.merge = Counted(encoder.merge)
+    texts = ["Straße, straße STRASSE. Été été! Word word; WORD", "word... Été? ÀÖØ× \x0bàö", None]
+    for _ in range(2):
+        ids, lens = encoder.encode(texts, 2)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(lens)[:-1])] == [expected(full, t) for t in texts]
+    assert len(asked) == len(set(asked)) == 5
+
+
+def test_texts_reach_the_encoder_in_pieces_of_bounded_size():
+    import pyarrow as pa
+
+    from monthspine.llm.common import text_slices
+
+    texts = ["a" * 10, None, "b" * 25, "", "c" * 9, "ü" * 5, "d"]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(7)), "text": texts})
+    pieces = [p.column(1).to_pylist() for p in text_slices([batch.slice(0, 0), batch], 1, 20)]
+    assert sum(pieces, []) == texts
+    assert all(len(p) == 1 or sum(len((t or "").encode()) for t in p) <= 20 for p in pieces) and len(pieces) == 3
+    assert [p.column(1).to_pylist() for p in text_slices([batch.slice(2, 3)], 1, 20)] == [["b" * 25], ["", "c" * 9]]
