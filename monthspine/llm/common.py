@@ -31,6 +31,30 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
 
+def split_words(texts: list[str | None]) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts one after another, and the number of words of each text; no word is empty."""
+    trimmed = pc.ascii_trim_whitespace(pa.array(texts, pa.large_string()))
+    split = pc.ascii_split_whitespace(trimmed)
+    # a text without words splits into one empty word
+    some = pc.greater(pc.binary_length(trimmed), 0).fill_null(False).to_numpy(zero_copy_only=False)
+    words = split.flatten()
+    counts = pc.list_value_length(split).fill_null(0).to_numpy().astype(np.int64)
+    return words.filter(pc.greater(pc.binary_length(words), 0)), np.where(some, counts, 0)
+
+
+def distinct_words(words: pa.Array) -> tuple[list[str], np.ndarray]:
+    """Different words, and the place of each word among them."""
+    words = words.dictionary_encode()
+    return words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy()
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of all texts, and the number of words of each text; each different word is hashed once."""
+    words, counts = split_words(texts)
+    listed, place = distinct_words(words)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, listed), np.uint64, len(listed))[place], counts
+
+
 class WordHashes(dict):
     """64-bit hash of each word, remembered up to a bound."""
 

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, mix, slices, spans
+from .common import arrow_schema, distinct_words, mix, slices, spans, split_words
 
 #: Items a task holds at once; an item has a few dozen hashes, so a block stays below some 50 MB.
 BLOCK_ITEMS = 20_000
@@ -65,17 +65,24 @@ _PUNCTUATION = ".,;:!?\"'()[]{}<>#*$%&|"
 class NormalHashes(dict):
     """Hash of a word in lower case without punctuation at its ends; 0 if nothing is left. Remembered up to a bound."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
-            self.clear()
-        core = word.decode().lower().strip(_PUNCTUATION)
+    def __missing__(self, word: str) -> int:
+        core = word.lower().strip(_PUNCTUATION)
         value = self[word] = (xxhash.xxh3_64_intdigest(core) >> 1) + 1 if core else 0
         return value
 
+    def of_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The hashes of each text's words, without zeros; a word is looked up once for all texts."""
+        if len(self) >= 1_000_000:
+            self.clear()
+        words, counts = split_words(texts)
+        listed, place = distinct_words(words)
+        h = np.fromiter(map(self.__getitem__, listed), np.uint64, len(listed))[place]
+        left = h > 0
+        ends = np.concatenate([[0], np.cumsum(left)])[np.cumsum(counts)]
+        return np.split(h[left], ends[:-1]) if texts else []
+
     def of(self, text: str | None) -> np.ndarray:
-        ws = text.encode().split() if text else []
-        h = np.fromiter(map(self.__getitem__, ws), np.uint64, len(ws))
-        return h[h > 0]
+        return self.of_all([text])[0]
 
 
 def repeats_for(recall: float, distance: float, samples: int = SAMPLES, n_anchors: int = ANCHORS) -> int:
@@ -180,7 +187,7 @@ def best_stretch(item: np.ndarray, h: np.ndarray, low: int, high: int, limit: in
     limit = len(item) if limit is None else limit
     # an edit touches one word of the item at most, so all others must be there
     there = set(window.tolist())
-    if sum(w in there for w in item.tolist()) < len(item) - limit:
+    if sum(map(there.__contains__, item.tolist())) < len(item) - limit:
         return None
     distance, end = edit_end(item, window)
     if distance > limit:
@@ -195,7 +202,7 @@ class Items:
     def __init__(self, items: list[tuple[object, str | None]], walks: Walks, max_distance: float = MAX_DISTANCE, complete: bool = True):
         hashes = NormalHashes()
         self.ids, self.walks = [i for i, _ in items], walks
-        self.words = [hashes.of(text) for _, text in items]
+        self.words = hashes.of_all([text for _, text in items])
         self.lens = np.array([len(h) for h in self.words], np.int64)
         self.limits = np.array([math.floor(max_distance * len(h)) for h in self.words], np.int64)
         # all items one after another, so that each step works on every one of them
@@ -311,7 +318,7 @@ class Items:
     @staticmethod
     def _nearest(h, low, high, item, places, limit):
         for at in places:
-            if low <= at and at + len(item) <= high and np.array_equal(h[at : at + len(item)], item):
+            if low <= at and at + len(item) <= high and (h[at : at + len(item)] == item).all():
                 return 0, at, at + len(item)
         best, reached = (limit + 1, 0, 0), low
         for at in places:
@@ -335,7 +342,7 @@ def _finder(held, walks: Walks, max_distance: float, complete: bool):
     hashes, index = NormalHashes(), Items(held.value, walks, max_distance, complete)
 
     def find(texts):
-        for t, k, distance, a, b in index.matches([hashes.of(x) for x in texts], max_distance) if texts else []:
+        for t, k, distance, a, b in index.matches(hashes.of_all(texts), max_distance) if texts else []:
             yield t, index.ids[k], len(index.words[k]), distance, a, b
 
     return find

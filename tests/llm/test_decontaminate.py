@@ -116,3 +116,23 @@ def test_odd_rows(spark):
 def test_anchors_are_local():
     h = np.random.default_rng(3).integers(1, 2**63, 500).astype(np.uint64)
     assert set(D.anchors(h[100:300])[(lambda a: (a >= D.REACH) & (a < 200 - D.REACH))(D.anchors(h[100:300]))] + 100) <= set(D.anchors(h))
+
+
+def test_a_word_is_looked_up_once_for_many_texts():
+    import numpy as np
+
+    class Counted(D.NormalHashes):
+        looked = 0
+
+        def __getitem__(self, word):
+            Counted.looked += 1
+            return super().__getitem__(word)
+
+    texts = ["One two, TWO! (three) ... two", None, "", " \n", "ΣΑΣ İx   two", "!!", "two " * 50]
+    hashes = Counted()
+    got = hashes.of_all(texts)
+    assert Counted.looked == len({w for t in texts if t for w in t.encode().split()})
+    for h, t in zip(got, texts, strict=True):
+        cores = [w.decode().lower().strip(D._PUNCTUATION) for w in (t or "").encode().split()]
+        assert h.tolist() == [(D.xxhash.xxh3_64_intdigest(c) >> 1) + 1 for c in cores if c] and h.dtype == np.uint64
+    assert hashes.of_all([]) == [] and len(hashes.of(None)) == 0
