@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Windows, WordHashes, arrow_schema, covered
+from .common import Windows, arrow_schema, covered, word_hashes, words
 
 WINDOW = 20
 DEPTH = 2
@@ -73,16 +73,13 @@ class Block:
     """The windows of a block's texts in document order."""
 
     def __init__(self, texts: list[str | None], size: int):
-        self.words = [t.encode().split() if t else [] for t in texts]
-        hashes, rolling = WordHashes(), [Windows(size, b) for b in _BASES]
-        found = [[], []]
-        for ws in self.words:
-            h = hashes.of(ws)
-            for i in range(2):
-                found[i].append(rolling[i].of(h))
-        self.counts = np.array([len(x) for x in found[0]], np.int64)
-        empty = [np.empty(0, np.uint64)]
-        self.h1, self.h2 = (np.concatenate(x or empty) for x in found)
+        h, n_words = word_hashes(texts)
+        ends = np.cumsum(n_words)
+        # windows of all words one after another; those that reach into the next text are none
+        starts = np.arange(max(0, len(h) - size + 1))
+        inside = starts + size <= np.repeat(ends, n_words)[: len(starts)]
+        self.counts = np.maximum(n_words - size + 1, 0)
+        self.h1, self.h2 = (Windows(size, b).of(h)[inside] for b in _BASES)
 
 
 def _shards(numbers: np.ndarray, width: int, shards: int):
@@ -174,8 +171,8 @@ class Plan:
         for (block, shard, _), flags in zip(rows, np.split(seen, np.cumsum([len(p[0]) for p in pieces])[:-1])):
             yield block, shard, 1, np.packbits(flags).tobytes()
 
-    def remove(self, texts: list, sketch: dict[int, bytes], exact: dict[int, bytes]) -> tuple[Block, list[np.ndarray]]:
-        """Pass 3: for each text, which of its words go."""
+    def remove(self, texts: list, sketch: dict[int, bytes], exact: dict[int, bytes]) -> tuple[list[list[bytes]], list[np.ndarray]]:
+        """Pass 3: the words of each text, and which of them go."""
         block = Block(texts, self.size)
         order, first, place = self.distinct(block, sketch)
         earlier = np.zeros(len(first), bool)
@@ -184,9 +181,10 @@ class Plan:
         gone = np.zeros(len(block.h1), bool)
         gone[order] = earlier[place] | (order != first[place])
         ends = np.cumsum(block.counts)
-        return block, [
+        listed = [words(t) for t in texts]
+        return listed, [
             covered(gone[e - n : e], self.size, len(ws)) if n and gone[e - n : e].any() else np.zeros(len(ws), bool)
-            for e, n, ws in zip(ends.tolist(), block.counts.tolist(), block.words)
+            for e, n, ws in zip(ends.tolist(), block.counts.tolist(), listed)
         ]
 
 
@@ -262,8 +260,8 @@ def removed_words(
         ids, texts = _ids_and_texts(table)
         kind = answers.column("kind").to_numpy()
         estimated, known = (_by_shard(answers.filter(pa.array(kind == k))) for k in (0, 1))
-        block, gone = plan.remove(texts, estimated, known)
-        return _table(((i, *finish(ws, g)) for i, ws, g in zip(ids, block.words, gone)), out_schema)
+        listed, gone = plan.remove(texts, estimated, known)
+        return _table(((i, *finish(ws, g)) for i, ws, g in zip(ids, listed, gone)), out_schema)
 
     piece, answer = "block long, shard long, payload binary", "block long, shard long, kind long, answer binary"
     by_block = rows.groupBy("block")
@@ -274,11 +272,15 @@ def removed_words(
     return by_block.cogroup(both.groupBy("block")).applyInArrow(cut, f"id long, {schema}").withColumnRenamed("id", id_col)
 
 
+def _kept(ws: list[bytes], gone: np.ndarray) -> bytes:
+    return b" ".join(itertools.compress(ws, (~gone).tolist()) if gone.any() else ws)
+
+
 def kept_text(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text): the kept words joined by one space."""
 
     def finish(ws, gone):
-        return (b" ".join(itertools.compress(ws, ~gone)).decode(),)
+        return (_kept(ws, gone).decode(),)
 
     return removed_words(docs, finish, "text string", size, id_col, text_col).withColumnRenamed("text", text_col)
 
@@ -287,8 +289,7 @@ def op5_substrings(docs: DataFrame) -> DataFrame:
     """The contract's digest: doc_id, n_words, n_removed, kept_sha256."""
 
     def finish(ws, gone):
-        kept = b" ".join(itertools.compress(ws, ~gone))
-        return len(ws), int(gone.sum()), hashlib.sha256(kept).hexdigest()
+        return len(ws), int(gone.sum()), hashlib.sha256(_kept(ws, gone)).hexdigest()
 
     return removed_words(docs, finish, "n_words long, n_removed long, kept_sha256 string")
 

@@ -106,3 +106,25 @@ def test_sketch_never_underestimates():
 
 def test_empty_table(spark):
     assert S.op5_substrings(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_words_and_windows_of_a_block_are_taken_at_once(monkeypatch):
+    import numpy as np
+
+    from monthspine.llm import common as C
+
+    texts = ["a b c a b c a", None, "", " \t\n", "a b", "  a\x0bb\x0cc\rd ", "x y   z\x1cw a b c", "a b c"]
+    words, counts = C.split_words(texts)
+    assert words.to_pylist() == [w.decode() for t in texts for w in C.words(t)]
+    assert counts.tolist() == [len(C.words(t)) for t in texts]
+    plain = C.WordHashes()
+    want = [[C.Windows(3, b).of(plain.of(C.words(t))).tolist() for t in texts] for b in S._BASES]
+    calls, of = [], S.Windows.of
+    monkeypatch.setattr(S.Windows, "of", lambda self, h: calls.append(len(h)) or of(self, h))
+    block = S.Block(texts, 3)
+    assert len(calls) == 2
+    assert [block.h1.tolist(), block.h2.tolist()] == [sum(w, []) for w in want]
+    assert block.counts.tolist() == list(map(len, want[0]))
+    for few in ([], [None], ["a b"]):
+        block = S.Block(few, 3)
+        assert len(block.h1) == 0 and np.array_equal(block.counts, np.zeros(len(few)))
