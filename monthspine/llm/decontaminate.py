@@ -41,6 +41,8 @@ from .common import arrow_schema, distinct_words, mix, slices, spans, split_word
 
 #: Items a task holds at once; an item has a few dozen hashes, so a block stays below some 50 MB.
 BLOCK_ITEMS = 20_000
+#: Texts whose walks are made at once, so few that their arrays stay in a core's cache.
+AT_ONCE = 100
 #: Words on either side of an anchor, none of which has a smaller hash: a third of all words are anchors.
 REACH = 1
 #: Anchors from which on an item comes through its walks alone (some 28 words).
@@ -65,17 +67,15 @@ _PUNCTUATION = ".,;:!?\"'()[]{}<>#*$%&|"
 class NormalHashes(dict):
     """Hash of a word in lower case without punctuation at its ends; 0 if nothing is left. Remembered up to a bound."""
 
-    def __missing__(self, word: str) -> int:
-        core = word.lower().strip(_PUNCTUATION)
-        value = self[word] = (xxhash.xxh3_64_intdigest(core) >> 1) + 1 if core else 0
-        return value
-
     def of_all(self, texts: list[str | None]) -> list[np.ndarray]:
         """The hashes of each text's words, without zeros; a word is looked up once for all texts."""
         if len(self) >= 1_000_000:
             self.clear()
         words, counts = split_words(texts)
         listed, place = distinct_words(words)
+        new = [w for w in listed if w not in self]
+        cores = [w.lower().strip(_PUNCTUATION) for w in new]
+        self.update(zip(new, [(xxhash.xxh3_64_intdigest(c) >> 1) + 1 if c else 0 for c in cores]))
         h = np.fromiter(map(self.__getitem__, listed), np.uint64, len(listed))[place]
         left = h > 0
         ends = np.concatenate([[0], np.cumsum(left)])[np.cumsum(counts)]
@@ -139,30 +139,40 @@ class Walks:
         edges = [np.linspace(0, s, samples + 1).astype(int) for s in self.steps]
         self.places = [[[int(rng.integers(a, b)) for a, b in zip(e[:-1], e[1:])] for e in edges] for _ in range(repeats)]
 
-    def hashes(self, h: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-        """(class, indices into starts, hashes) of all walks from starts that have room for the class before their ends."""
+    def hashes(self, h: np.ndarray, starts: np.ndarray, ends: np.ndarray, wanted: set[int] | None = None):
+        """(class, indices into starts, hashes) of all walks from starts that have room for the class before their ends.
+
+        With ``wanted`` only of these classes; a walk ends at the last place that one of them samples.
+        """
+        wanted = set(range(len(self.classes))) if wanted is None else wanted
         room = ends - starts
         for r, salt in enumerate(self.salts):
             coin = mix(h ^ salt)
-            live, at, last = np.arange(len(starts)), starts, ends - 1
+            live, at, last = np.arange(len(starts)), starts.copy(), ends - 1
             sums = [np.zeros(len(starts), np.uint64) for _ in self.classes]
             step = 0
             for c, size in enumerate(self.classes):
                 inside = room[live] >= size
                 live, at, last = live[inside], at[inside], last[inside]
                 sums = [s[inside] if k >= c else s for k, s in enumerate(sums)]
-                if not len(live):
+                if not len(live) or c > max(wanted, default=-1):
                     break
-                while step < self.steps[c]:
+                end = self.places[r][c][-1] + 1 if c == max(wanted) else self.steps[c]
+                while step < end:
                     for k in range(c, len(self.classes)):
-                        if step in self.places[r][k]:
-                            sums[k] = mix(sums[k] + h[at])
+                        if k in wanted and step in self.places[r][k]:
+                            sums[k] = mix(sums[k] + np.take(h, at))
                     # 64 fair bits of each word; later steps read them again, turned by the salt
                     if step and step % 64 == 0:
                         coin = mix(coin + salt)
-                    bit = (coin[at] >> np.uint64(step % 64)) & np.uint64(1)
-                    at = np.minimum(at + bit.view(np.int64), last)
+                    bit = np.take(coin, at)
+                    bit >>= np.uint64(step % 64)
+                    bit &= np.uint64(1)
+                    at += bit.view(np.int64)
+                    np.minimum(at, last, out=at)
                     step += 1
+                if c not in wanted:
+                    continue
                 tag = np.uint64((r * len(self.classes) + c + 1) * 0x9E3779B97F4A7C15 % 2**64)
                 yield c, live, mix(sums[c] ^ tag)
 
@@ -219,6 +229,8 @@ class Items:
         sizes = np.minimum(PIECE, self.lens // (self.limits + 1))
         self.run_sizes = set(sizes[with_pieces].tolist())
         found = [(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))]
+        # texts are walked for the classes that items use
+        self.used: set[int] = set()
         for size in self.run_sizes:
             k = np.flatnonzero(with_pieces & (sizes == size))
             of = np.repeat(k, pieces[k])
@@ -227,6 +239,7 @@ class Items:
         fitting = np.searchsorted(walks.classes, room, "right") - 1
         for c, live, keys in walks.hashes(h, starts, starts + room):
             own = fitting[live] == c
+            self.used |= {c} if own.any() else set()
             found.append((keys[own], owner[live[own]], (starts - begins[owner])[live[own]]))
         keys, owners, offsets = (np.concatenate(x) for x in zip(*found))
         order = np.argsort(keys, kind="stable")
@@ -292,7 +305,7 @@ class Items:
                 entries = entries[shown >= np.minimum(WITNESSES, self.lens[k] - self.limits[k])]
                 propose(entries, np.full(len(entries), p), np.full(len(entries), t))
 
-        for _, live, keys in self.walks.hashes(h, starts, ends[text] - REACH):
+        for _, live, keys in self.walks.hashes(h, starts, ends[text] - REACH, self.used):
             look_up(keys, starts[live], text[live])
         for size in sorted(self.run_sizes):
             keys = runs(h, size)
@@ -306,6 +319,9 @@ class Items:
 
     def matches(self, texts: list[np.ndarray], max_distance: float) -> list[tuple[int, int, int, int, int]]:
         """(text, item, distance, start, end) of the nearest verified stretch of each item in each text."""
+        if len(texts) > AT_ONCE:
+            parts = ((i, self.matches(texts[i : i + AT_ONCE], max_distance)) for i in range(0, len(texts), AT_ONCE))
+            return [(i + t, *rest) for i, part in parts for t, *rest in part]
         h, ends = joined(texts)
         out = []
         for (t, k), places in sorted(self.candidates(h, ends).items()):
@@ -317,8 +333,9 @@ class Items:
 
     @staticmethod
     def _nearest(h, low, high, item, places, limit):
+        first, end = (item[0], len(item) - 1) if len(item) else (None, 0)
         for at in places:
-            if low <= at and at + len(item) <= high and (h[at : at + len(item)] == item).all():
+            if low <= at and at + end < high and h[at] == first and (h[at : at + len(item)] == item).all():
                 return 0, at, at + len(item)
         best, reached = (limit + 1, 0, 0), low
         for at in places:

@@ -136,3 +136,18 @@ def test_a_word_is_looked_up_once_for_many_texts():
         cores = [w.decode().lower().strip(D._PUNCTUATION) for w in (t or "").encode().split()]
         assert h.tolist() == [(D.xxhash.xxh3_64_intdigest(c) >> 1) + 1 for c in cores if c] and h.dtype == np.uint64
     assert hashes.of_all([]) == [] and len(hashes.of(None)) == 0
+
+
+def test_texts_are_walked_for_the_classes_of_the_items_only():
+    import numpy as np
+
+    ws = [f"w{i}" for i in range(400)]
+    short, long = " ".join(ws[10:40]), " ".join(ws[100:200])
+    for items, classes in (([(1, short)], {0, 1, 2}), ([(1, short), (2, long)], {0, 1, 2, 3}), ([(1, "w1")], set())):
+        index = D.Items(items, D.Walks(4), complete=False)
+        assert index.used <= classes and (index.used >= {2} or not classes)
+        h = D.NormalHashes().of(" ".join(ws))
+        starts = np.arange(0, 390, 3)
+        every = {(r, c): keys.tolist() for r, (c, _, keys) in enumerate(D.Walks(4).hashes(h, starts, np.full(len(starts), 400)))}
+        some = [(c, keys.tolist()) for c, _, keys in D.Walks(4).hashes(h, starts, np.full(len(starts), 400), index.used)]
+        assert some == [(c, keys) for (_, c), keys in every.items() if c in index.used]
