@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import text_slices
 from .tokens import WordEncoder
 
 WINDOW = 4096
@@ -147,9 +147,9 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, window: int, id_c
 
     def run(batches):
         encoder = None
-        for piece in slices(batches, 256):
+        for piece in text_slices(batches, 1):
             encoder = encoder or WordEncoder(tokenizer_path)
-            flat, lens = encoder.encode(piece.column(1).to_pylist(), end_id)
+            flat, lens = encoder.encode(piece.column(1), end_id)
             full, rest, cut, raw, at = [], [], [], [], 0
             for n in lens.tolist():
                 ids = flat[at : at + n]

@@ -111,3 +111,19 @@ def test_training_rows_hold_all_ids(spark):
         n = len(r.input_ids)
         assert n & (n - 1) == 0 and n <= 256 and len(r.segments) == n
     assert sum(s > 0 for r in got for s in r.segments) == sum(len(encode(t)) for _, t in rows(60, 2))
+
+
+def test_texts_are_read_from_arrow_columns():
+    """Slices of a column, also with nulls, give the ids of their texts; the tokenizer's file is read once in a process."""
+    import pyarrow as pa
+
+    from monthspine.llm.tokens import WordEncoder
+
+    texts = [t for _, t in rows(40, 7)]
+    encoder = WordEncoder(PATH)
+    assert WordEncoder(PATH).full is encoder.full
+    for kind in (pa.string(), pa.large_string()):
+        column = pa.array(texts, kind)
+        for i in range(0, len(texts), 9):
+            ids, lens = encoder.encode(column[i : i + 9], 2)
+            assert [x.tolist() for x in np.split(ids, np.cumsum(lens)[:-1])] == [encode(t) for t in texts[i : i + 9]]
